@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import components as comp
-from lumenry.llm import mixture, terms
+from lumenry.llm import mixture, near_equal, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPTIONS = "flickr8k_emotional_captions"
@@ -39,6 +39,15 @@ def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     return terms.marked_terms(_table(spark, folder, "train"), "emotion_caption")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = near_equal.near_equal_rows(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
+    return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_equal.near_equal_groups(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
+
+
 def _report(spark: SparkSession, folder: str, sized: DataFrame) -> DataFrame:
     return mixture.mixture_report(sized, _table(spark, folder, "mix_targets"), "doc_id")
 
@@ -66,6 +75,7 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance,
         "p3_found": p3_found, "p3_terms": p3_terms,
+        "p4_found": p4_found, "p4_groups": p4_groups,
         "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     }
 
@@ -100,6 +110,18 @@ def oracle_sql() -> dict[str, str]:
             WHERE a.number <> '' AND a.code <> ''""",
         "p3_found": _term_sql("term, mark", "WHERE mark IS NOT NULL"),
         "p3_terms": _term_sql("*", ""),
+        "p4_found": f"""
+            WITH texts AS (
+                SELECT row_id, list_sort(list_distinct({WORDS.format('neutral_caption')})) AS n,
+                    list_sort(list_distinct({WORDS.format('emotion_caption')})) AS e
+                FROM {CAPTIONS} WHERE neutral_caption IS NOT NULL AND emotion_caption IS NOT NULL),
+            long AS (SELECT * FROM texts WHERE len(n) >= 5 AND len(e) >= 5),
+            firsts AS (SELECT DISTINCT n FROM long),
+            linked AS (SELECT a.n AS n_a, b.n AS n_b FROM firsts a, firsts b
+                WHERE 17 * len(list_intersect(a.n, b.n)) >= 7 * (len(a.n) + len(b.n)))
+            SELECT x.row_id AS row_id_a, y.row_id AS row_id_b
+            FROM linked l JOIN long x ON x.n = l.n_a JOIN long y ON y.n = l.n_b AND x.row_id < y.row_id
+            WHERE 17 * len(list_intersect(x.e, y.e)) >= 7 * (len(x.e) + len(y.e))""",
         "p8_found": f"""
             WITH sized AS (SELECT lower(trim(source)) AS source, len({WORDS.format('text')}) AS n FROM documents),
             own AS (SELECT t.source, any_value(t.target_share) AS share, any_value(t.max_repeats) AS repeats, coalesce(sum(s.n), 0) AS n
