@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import components as comp
-from lumenry.llm import mixture, near_equal, terms
+from lumenry.llm import mixture, near_equal, templates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPTIONS = "flickr8k_emotional_captions"
@@ -54,7 +54,7 @@ def _report(spark: SparkSession, folder: str, sized: DataFrame) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     sized = mixture.word_sizes(_table(spark, folder, "documents"), "doc_id", "text")
-    return _report(spark, folder, sized).where("short").select("source")
+    return _report(spark, folder, sized).where("short and reached_size < wanted_size or own_size = 0").select("source")
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,12 +71,21 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.template_residue(_table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p9_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.template_residue(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance,
         "p3_found": p3_found, "p3_terms": p3_terms,
         "p4_found": p4_found, "p4_groups": p4_groups,
         "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+        "p9_found": p9_found, "p9_defects": p9_defects,
     }
 
 
