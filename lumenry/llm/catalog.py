@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import components as comp
-from lumenry.llm import mixture, near_equal, templates, terms
+from lumenry.llm import leaks, mixture, near_equal, templates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPTIONS = "flickr8k_emotional_captions"
@@ -48,6 +48,18 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_equal.near_equal_groups(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_passages(_table(spark, folder, "eval_items"), _table(spark, folder, "documents"), "item_id", "doc_id")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where("longest_run >= 12").select("item_id", "doc_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder)
+
+
 def _report(spark: SparkSession, folder: str, sized: DataFrame) -> DataFrame:
     return mixture.mixture_report(sized, _table(spark, folder, "mix_targets"), "doc_id")
 
@@ -84,6 +96,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance,
         "p3_found": p3_found, "p3_terms": p3_terms,
         "p4_found": p4_found, "p4_groups": p4_groups,
+        "p7_found": p7_found, "p7_leaks": p7_leaks,
         "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
         "p9_found": p9_found, "p9_defects": p9_defects,
     }
@@ -131,6 +144,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT x.row_id AS row_id_a, y.row_id AS row_id_b
             FROM linked l JOIN long x ON x.n = l.n_a JOIN long y ON y.n = l.n_b AND x.row_id < y.row_id
             WHERE 17 * len(list_intersect(x.e, y.e)) >= 7 * (len(x.e) + len(y.e))""",
+        "p7_found": f"""
+            WITH items AS (SELECT item_id, {WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+            docs AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+            a AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS passage
+                FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM items)),
+            b AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS passage
+                FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM docs))
+            SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (passage)""",
         "p8_found": f"""
             WITH sized AS (SELECT lower(trim(source)) AS source, len({WORDS.format('text')}) AS n FROM documents),
             own AS (SELECT t.source, any_value(t.target_share) AS share, any_value(t.max_repeats) AS repeats, coalesce(sum(s.n), 0) AS n
