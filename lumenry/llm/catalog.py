@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import components as comp
-from lumenry.llm import leaks, mixture, near_equal, templates, terms
+from lumenry.llm import leaks, mixture, near_equal, overlap, templates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPTIONS = "flickr8k_emotional_captions"
@@ -48,6 +48,25 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_equal.near_equal_groups(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
 
 
+def _splits(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    return _table(spark, folder, "train"), {name: _table(spark, folder, name) for name in ("test", "val")}
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    train, held_out = _splits(spark, folder)
+    pairs = overlap.overlapping_rows(train, list(held_out.values()))
+    return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(*_splits(spark, folder))
+
+
+def p6_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    train, held_out = _splits(spark, folder)
+    return overlap.covered_words(train, list(held_out.values()))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_passages(_table(spark, folder, "eval_items"), _table(spark, folder, "documents"), "item_id", "doc_id")
 
@@ -96,6 +115,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance,
         "p3_found": p3_found, "p3_terms": p3_terms,
         "p4_found": p4_found, "p4_groups": p4_groups,
+        "p6_found": p6_found, "p6_report": p6_report, "p6_coverage": p6_coverage,
         "p7_found": p7_found, "p7_leaks": p7_leaks,
         "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
         "p9_found": p9_found, "p9_defects": p9_defects,
@@ -144,6 +164,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT x.row_id AS row_id_a, y.row_id AS row_id_b
             FROM linked l JOIN long x ON x.n = l.n_a JOIN long y ON y.n = l.n_b AND x.row_id < y.row_id
             WHERE 17 * len(list_intersect(x.e, y.e)) >= 7 * (len(x.e) + len(y.e))""",
+        "p6_found": f"""
+            WITH held AS (SELECT * FROM test UNION ALL SELECT * FROM val),
+            a AS (SELECT DISTINCT list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w FROM train WHERE emotion_caption IS NOT NULL),
+            b AS (SELECT DISTINCT list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w FROM held WHERE emotion_caption IS NOT NULL),
+            near AS (SELECT a.w AS w_a, b.w AS w_b FROM a, b WHERE len(a.w) >= 5 AND len(b.w) >= 5
+                AND 17 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w))),
+            x AS (SELECT row_id, emotion_id, list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w,
+                regexp_extract(lower(image_id), '[0-9]{{10}}[^0-9a-z]+[0-9a-f]{{10}}') AS photo FROM train),
+            y AS (SELECT row_id, emotion_id, list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w,
+                regexp_extract(lower(image_id), '[0-9]{{10}}[^0-9a-z]+[0-9a-f]{{10}}') AS photo FROM held)
+            SELECT least(x.row_id, y.row_id) AS row_id_a, greatest(x.row_id, y.row_id) AS row_id_b
+            FROM near JOIN x ON x.w = w_a JOIN y ON y.w = w_b
+            UNION
+            SELECT least(x.row_id, y.row_id), greatest(x.row_id, y.row_id)
+            FROM x JOIN y ON x.photo = y.photo AND x.emotion_id = y.emotion_id WHERE x.photo <> ''""",
         "p7_found": f"""
             WITH items AS (SELECT item_id, {WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL),
             docs AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
