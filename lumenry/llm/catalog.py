@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenry.llm import components as comp
-from lumenry.llm import leaks, mixture, near_equal, overlap, templates, terms
+from lumenry.llm import leaks, mixture, near_equal, overlap, pairs, templates, terms, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPTIONS = "flickr8k_emotional_captions"
@@ -18,6 +18,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated_rows(_table(spark, folder, CAPTIONS), "row_id", "emotion_caption", "neutral_caption")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder).select("row_id").distinct()
+
+
+def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder)
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(_table(spark, folder, CAPTIONS), "row_id", "emotion_caption", "source", "neutral_caption")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return comp.same_photo_names(_table(spark, folder, CAPTIONS))
 
@@ -40,22 +56,32 @@ def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = near_equal.near_equal_rows(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
-    return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+    found = near_equal.near_equal_rows(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
+    return found.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_equal.near_equal_groups(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, folder, CAPTIONS), "row_id", "neutral_caption", "emotion_caption")
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    captions = _table(spark, folder, CAPTIONS)
+    found = p5_found(spark, folder)
+    return captions.select("row_id", "source").join(found, "row_id", "left").groupBy("source", "defect").agg(F.count("*").alias("n_rows"))
+
+
 def _splits(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     return _table(spark, folder, "train"), {name: _table(spark, folder, name) for name in ("test", "val")}
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     train, held_out = _splits(spark, folder)
-    pairs = overlap.overlapping_rows(train, list(held_out.values()))
-    return pairs.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
+    found = overlap.overlapping_rows(train, list(held_out.values()))
+    return found.select(F.least("train_row", "eval_row").alias("row_id_a"), F.greatest("train_row", "eval_row").alias("row_id_b"))
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,9 +138,11 @@ def p9_defects(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found, "p1_reasons": p1_reasons, "p1_rates": p1_rates,
         "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance,
         "p3_found": p3_found, "p3_terms": p3_terms,
         "p4_found": p4_found, "p4_groups": p4_groups,
+        "p5_found": p5_found, "p5_rates": p5_rates,
         "p6_found": p6_found, "p6_report": p6_report, "p6_coverage": p6_coverage,
         "p7_found": p7_found, "p7_leaks": p7_leaks,
         "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
