@@ -41,7 +41,8 @@ def ending(text: Column) -> Column:
     dots = tail.rlike(r"(\.{3,}|…)[\"”’']?$")
     cut = bare.rlike(r"(�|\s\[|\\u[0-9a-fA-F]{0,3}|&#?\w{1,6}|[,;:(/\[{<&+]|\w[-–])$")
     closed = tail.rlike(r"([.!?。！？]|\w\s*\))[\"”’'\])»]*$|[\"”»]$")
-    return F.when(cut, MARKED).when(dots, DOTS).when(closed, CLOSED).otherwise(OPEN)
+    plain = tail.rlike(r"[^.…][.!?]$")  # most texts; the others are looked at more closely
+    return F.when(plain, CLOSED).when(cut, MARKED).when(dots, DOTS).when(closed, CLOSED).otherwise(OPEN)
 
 
 def _word_marks(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -177,31 +178,41 @@ _CHUNKS = 64
 
 def _bitmap(column: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, dtype=bool)
+        once, twice = np.zeros(1 << bits, dtype=bool), np.zeros(1 << bits, dtype=bool)
         for batch in batches:
             marks = batch.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            seen[(marks >> np.uint64(64 - bits)).astype(np.int64)] = True
-        packed = np.packbits(seen).reshape(_CHUNKS, -1)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["chunk", "bits"])
+            at, count = np.unique((marks >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            twice[at[once[at] | (count > 1)]] = True
+            once[at] = True
+        once, twice = np.packbits(once).reshape(_CHUNKS, -1), np.packbits(twice).reshape(_CHUNKS, -1)
+        some = np.flatnonzero(once.any(axis=1))
+        yield pa.record_batch(
+            [pa.array(some.astype(np.int32)), *(pa.array([x[i].tobytes() for i in some], pa.binary()) for x in (once, twice))],
+            ["chunk", "once", "twice"],
+        )
 
     return run
 
 
 def _union(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()]
-    whole = np.bitwise_or.reduce(parts)
-    return pa.table({"chunk": table.column("chunk").slice(0, 1).cast(pa.int32()), "bits": pa.array([whole.tobytes()], pa.binary())})
+    once = twice = None
+    for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist()):
+        a, b = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+        once, twice = (a, b) if once is None else (once | a, twice | b | once & a)
+    return pa.table(
+        {"chunk": table.column("chunk").slice(0, 1).cast(pa.int32()), "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())}
+    )
 
 
-def _collect_bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Which marks occur, as a bitmap of fixed size; another mark of the same bit only makes more work."""
-    parts = rows.select(column).mapInArrow(_bitmap(column, bits), "chunk int, bits binary")
-    merged = parts.groupBy("chunk").applyInArrow(_union, "chunk int, bits binary").collect()
-    out = np.zeros((_CHUNKS, (1 << bits) // 8 // _CHUNKS), dtype=np.uint8)
+def _collect_bitmap(rows: DataFrame, column: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which marks occur, and which more than once, as bitmaps of fixed size; another mark of the same bit only makes more work."""
+    parts = rows.select(column).mapInArrow(_bitmap(column, bits), "chunk int, once binary, twice binary")
+    merged = parts.groupBy("chunk").applyInArrow(_union, "chunk int, once binary, twice binary").collect()
+    out = np.zeros((2, _CHUNKS, (1 << bits) // 8 // _CHUNKS), dtype=np.uint8)
     for r in merged:
-        out[r["chunk"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out.reshape(-1)
+        for i in (0, 1):
+            out[i, r["chunk"]] = np.frombuffer(bytes(r[i + 1]), dtype=np.uint8)
+    return out[0].reshape(-1), out[1].reshape(-1)
 
 
 def _has(bitmap: np.ndarray, bits: int, marks: np.ndarray) -> np.ndarray:
@@ -224,8 +235,11 @@ def _fact(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarra
     )
 
 
-def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray):
-    """Over all texts: how often each context of an open end goes on and closes; bands and texts that may match one."""
+def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np.ndarray):
+    """Over all texts: how often each context of an open end goes on and closes; bands and texts that may match one.
+
+    An open end has all its own bands, so only those count that another has too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, totals, ends, held = [], [], [], 0
@@ -271,6 +285,8 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray):
                     keys, totals, ends, held = [], [], [], 0
             rows, bands = w.bands()
             hit = _has(bands_at_ends, BAND_BITS, bands.reshape(-1)).reshape(bands.shape)
+            own = (how[rows] == OPEN) | (how[rows] == DOTS)
+            hit[own] = _has(bands_twice, BAND_BITS, bands[own].reshape(-1)).reshape(-1, BANDS)
             if hit.any():
                 r, b = np.nonzero(hit)
                 text = w.text_marks()
@@ -345,22 +361,22 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
         said.where(ending(F.col(text)) != CLOSED).select(*base, asked).mapInArrow(_open_ends, _OPEN_SCHEMA), "open_ends"
     )
     judged = open_ends.where(F.col("how") != MARKED)
-    contexts = _collect_bitmap(judged, "keys", MARK_BITS)
+    contexts, _ = _collect_bitmap(judged, "keys", MARK_BITS)
     bands = _collect_bitmap(judged, "bands", BAND_BITS)
     facts = stage(
         said.select(*base).mapInArrow(
-            _facts(contexts, bands), "kind int, key bigint, x bigint, y bigint, n int, words array<string>"
+            _facts(contexts, *bands), "kind int, key bigint, x bigint, y bigint, n int, words array<string>"
         ),
         "facts",
     )
     aligned = _aligned(judged, facts)
     counts = facts.where(F.col("kind") == _COUNT).groupBy("key").agg((F.sum("x") / UNIT).alias("total"), (F.sum("y") / UNIT).alias("ends"))
-    asked = judged.select("row_id", F.posexplode("keys").alias("k", "key")).join(counts, "key", "left")
-    each = asked.groupBy("row_id").agg(
+    asked = judged.select("row_id", F.posexplode("keys").alias("k", "key")).join(counts, "key")
+    each = asked.repartition("row_id").groupBy("row_id").agg(
         *(F.max(F.when(F.col("k") == k, F.col("total"))).alias(f"t{k}") for k in range(LONGER + 1)),
         *(F.max(F.when(F.col("k") == k, F.col("ends"))).alias(f"e{k}") for k in range(LONGER)),
     )
-    seen = judged.select("row_id", "text_mark", "at_prompt").join(each, "row_id").join(aligned, "text_mark", "left")
+    seen = judged.select("row_id", "text_mark", "at_prompt").join(each, "row_id", "left").join(aligned, "text_mark", "left")
     by_words = seen.withColumn("terminality", _terminality()).select("row_id", _reason().alias("reason")).where("reason is not null")
     by_mark = open_ends.where(F.col("how") == MARKED).select("row_id", F.lit("mark").alias("reason"))
     return by_mark.unionByName(by_words).withColumnRenamed("row_id", key)
@@ -368,13 +384,15 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
 
 def _aligned(judged: DataFrame, facts: DataFrame) -> DataFrame:
     """What near-copies tell of open texts: ``(text_mark, aligned)``."""
-    asked = judged.select("text_mark", "n", F.explode("bands").alias("key")).distinct()
+    asked = judged.select("text_mark", "n", F.explode("bands").alias("key"))
     given = facts.where(F.col("kind") == _BAND).select("key", F.col("x").alias("other"), F.col("y").alias("m")).distinct()
+    asked = asked.join(given.select("key").distinct(), "key", "left_semi").distinct()
     pairs = asked.join(given, "key").where("text_mark <> other and m >= n - 1").select("text_mark", "other").distinct()
-    texts = facts.where(F.col("kind") == _TEXT).groupBy(F.col("key").alias("other")).agg(
-        F.max("x").alias("closed"), F.first("words").alias("said")
-    )
-    cut = judged.groupBy("text_mark").agg(F.first("words").alias("words"))
+    pairs = stage(pairs, "near_copies")
+    texts = facts.where(F.col("kind") == _TEXT).select(F.col("key").alias("other"), F.col("x").alias("closed"), F.col("words").alias("said"))
+    texts = texts.join(pairs.select("other").distinct(), "other", "left_semi").groupBy("other").agg(F.max("closed").alias("closed"), F.first("said").alias("said"))
+    cut = judged.select("text_mark", "words").join(pairs.select("text_mark").distinct(), "text_mark", "left_semi")
+    cut = cut.groupBy("text_mark").agg(F.first("words").alias("words"))
     both = pairs.join(texts, "other").join(cut, "text_mark").select("text_mark", "words", "said", "closed")
     found = both.mapInArrow(_compare, "text_mark bigint, aligned string")
     return found.groupBy("text_mark").agg(F.max("aligned").alias("aligned"))  # "same" is the greater
