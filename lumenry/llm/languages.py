@@ -34,8 +34,19 @@ def foreign_words(words: list[str]) -> bool:
     return False
 
 
-def is_foreign(text: str) -> bool:
-    """Whether a text is mostly in letters other than Latin ones, or in another language by its stopwords."""
+_OTHERS = frozenset().union(*(known for name, known in _SETS.items() if name != "en"))
+
+
+def is_foreign(text: str, words: list[str] | None = None) -> bool:
+    """Whether a text is mostly in letters other than Latin ones, or in another language by its stopwords.
+
+    ``words`` are its plain words, if they are known: a text in which English
+    stopwords are a fifth and outvote all other languages' together is English.
+    """
+    if words:
+        english = sum(map(_SETS["en"].__contains__, words))
+        if english * 5 >= len(words) and english >= sum(map(_OTHERS.__contains__, words)):
+            return False
     words = _WORD.findall(text.lower())
     letters = sum(map(len, words))
     if not letters:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.functions.text import tokenize
 from lumenry.llm.languages import is_foreign
-from lumenry.llm.truncation import OPEN, ending, truncated_rows
+from lumenry.llm.truncation import truncated_rows
 from lumenry.stage import stage
 
 SPAN = 2  # words of a copied span
@@ -35,6 +35,7 @@ REFUSALS = (
 )
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _CLOSERS = set(_PAIRS.values())
+_ENDS = frozenset(".!?\"”’')]}»")
 
 
 class SuffixAutomaton:
@@ -97,9 +98,6 @@ def is_copy(prompt: list[str] | None, response: list[str]) -> bool:
         return False
     if prompt == response:
         return True
-    known = set(prompt)
-    if sum(w in known for w in response) < COPIED_PROMPT * len(prompt):  # what runs cover is no more than this
-        return False
     covered = _automaton(tuple(prompt)).covered(response)
     return covered >= COPIED_PROMPT * len(prompt) and covered >= COPIED_RESPONSE * len(response)
 
@@ -124,31 +122,57 @@ def unclosed(text: str) -> bool:
     return bool(stack)
 
 
+# Of each phrase one word that a text must have before the automaton is asked: its longest, without an apostrophe.
+_CONTRACTED = frozenset(("cant", "dont", "id"))
+_TRIGGERS = frozenset(max((w for w in p.split() if w not in _CONTRACTED), key=lambda w: (len(w), w)) for p in REFUSALS)
+_DROPPED = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace() or chr(c) == "'"))
+_ODD = re.compile(r"[^a-z0-9\s']")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, as ``tokenize`` gives them."""
+    low = text.lower()
+    if low.isascii():
+        return low.encode().translate(None, _DROPPED).decode().split()
+    return _ODD.sub("", low).split()
+
+
+@lru_cache(maxsize=4096)
+def _prompt(text: str) -> tuple[list[str], frozenset[str]]:
+    words = words_of(text)
+    return words, frozenset(words)
+
+
+def _defect(text: str | None, prompt: str | None, refusal) -> str | None:
+    if is_nothing(text):
+        return "empty"
+    words = words_of(text)
+    if not _TRIGGERS.isdisjoint(words) and next(refusal.iter(f" {' '.join(words).replace(chr(39), '')} "), None):
+        return "refusal"
+    if prompt:
+        asked, known = _prompt(prompt)
+        # What runs of the prompt cover is no more than the words it knows.
+        if sum(map(known.__contains__, words)) >= COPIED_PROMPT * len(asked) and is_copy(asked, words):
+            return "copy"
+    if is_foreign(text, words):
+        return "language"
+    if not _PAIRS.keys().isdisjoint(text) and text.rstrip()[-1:] not in _ENDS and unclosed(text):
+        return "truncated"
+    return None
+
+
 def _defects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
     refusal = ahocorasick.Automaton()
     for phrase in REFUSALS:
-        refusal.add_word(f" {phrase}", phrase)
+        refusal.add_word(f" {phrase} ", phrase)
     refusal.make_automaton()
     for batch in batches:
-        ids, found = [], []
-        for row, text, how, prompt, words in zip(*(batch.column(c).to_pylist() for c in range(5))):
-            defect = None
-            if is_nothing(text):
-                defect = "empty"
-            elif next(refusal.iter(" " + " ".join(words).replace("'", "")), None):
-                defect = "refusal"
-            elif is_copy(prompt, words):
-                defect = "copy"
-            elif is_foreign(text):
-                defect = "language"
-            elif how == OPEN and unclosed(text):
-                defect = "truncated"
-            if defect:
-                ids.append(row)
-                found.append(defect)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["row_id", "defect"])
+        found = [_defect(text, prompt, refusal) for text, prompt in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        defects = pa.array(found, pa.string())
+        kept = defects.is_valid()
+        yield pa.record_batch([batch.column(0).filter(kept), defects.filter(kept)], ["row_id", "defect"])
 
 
 def broken_pairs(rows: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
@@ -161,10 +185,7 @@ def broken_pairs(rows: DataFrame, key: str, prompt: str, response: str) -> DataF
     ``truncated`` (as ``truncated_rows``, or with a bracket left open). A null
     prompt is not copied. Repeated rows are judged alike.
     """
-    said = rows.select(
-        F.col(key).cast("bigint").alias("row_id"), F.col(response).alias("said"), ending(F.col(response)).alias("how"),
-        tokenize(F.col(prompt)).alias("asked"), F.coalesce(tokenize(F.col(response)), F.array().cast("array<string>")).alias("words"),
-    )
+    said = rows.select(F.col(key).cast("bigint").alias("row_id"), F.col(response).alias("said"), F.col(prompt).alias("asked"))
     plain = stage(said.mapInArrow(_defects, "row_id bigint, defect string"), "defects")
     cut = truncated_rows(rows, key, response, prompt).select(F.col(key).alias("row_id"), F.lit("truncated").alias("defect"))
     order = {name: i for i, name in enumerate(("empty", "refusal", "copy", "language", "truncated"))}
