@@ -1 +1 @@
-
+"""Caption models in NumPy, run behind Arrow batches."""

@@ -150,7 +150,7 @@ def decode(rows: DataFrame, ids: str, vocabulary: DataFrame, keys: list[str], on
     ends = F.array_position(F.transform("_ids", lambda i: i.isin(EOS, PAD)), F.lit(True))
     kept = asked.withColumn("_kept", F.when(ends > 0, F.slice("_ids", F.lit(1), (ends - 1).cast("int"))).otherwise(F.col("_ids")))
     placed = kept.select(*keys, F.posexplode_outer("_kept").alias("_pos", "id")).join(words, "id", "left")
-    word = F.when(F.col("id") == SOS, None).when(F.col("id") == UNK, "<UNK>").otherwise(F.coalesce("word", F.lit(unknown)))
+    word = F.when(F.col("id").isNull() | (F.col("id") == SOS), None).when(F.col("id") == UNK, "<UNK>").otherwise(F.coalesce("word", F.lit(unknown)))
     said = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(word.isNotNull(), F.struct("_pos", word.alias("w"))))).alias("_s"))
     return said.select(*keys, F.array_join(F.transform("_s", lambda x: x["w"]), " ").alias("caption"))
 

@@ -2,6 +2,78 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lumenry.functions.style import STYLES
+from lumenry.models import decoders, inference
+from lumenry.operators import captions as ops
+from lumenry.operators import vocabulary
+from lumenry.stage import stage
+
+DIM = 64  # of the test data's vectors, which stand for image features
+HELD = 2000
+
+
+def _table(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _words(spark, folder):
+    """The first words of the vocabulary: seeded models speak these."""
+    fitted = vocabulary.fit(_table(spark, folder, "train"), "emotion_caption", "row_id")
+    return stage(fitted.where(F.col("id") < HELD), "spoken")
+
+
+def _sizes(width: int = DIM) -> decoders.Sizes:
+    return decoders.Sizes(vocab=HELD, word=32, style=16, hidden=48, visual=width)
+
+
+def _asked(spark, folder):
+    features = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("feature"))
+    return features.crossJoin(F.broadcast(_table(spark, folder, "styles")))
+
+
+def _generate(kind: str):
+    def query(spark, folder):
+        weights = decoders.init(kind, _sizes(), seed=decoders.KINDS.index(kind))
+        asked = _asked(spark, folder)
+        if kind == "Baseline":  # the style plays no part: decode once per feature
+            asked = asked.where("emotion_id = 0")
+        ids = inference.generate_ids(asked, kind, weights, ["vec_id", "emotion_id"])
+        said = vocabulary.decode(ids, "token_ids", _words(spark, folder), ["vec_id", "emotion_id"], "drop")
+        if kind == "Baseline":
+            said = said.drop("emotion_id").crossJoin(F.broadcast(_table(spark, folder, "styles").select("emotion_id")))
+        return said.join(F.broadcast(_table(spark, folder, "styles")), "emotion_id").select("vec_id", "emotion", "caption")
+
+    return query
+
+
+def interpolate_captions(spark, folder):
+    weights = decoders.init("Emotion@Every", _sizes(), seed=2)
+    rows = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("feature"))
+    ids = inference.interpolate_ids(rows, weights, "vec_id", STYLES.index("joyful"), STYLES.index("sad"))
+    return vocabulary.decode(ids, "token_ids", _words(spark, folder), ["vec_id", "step", "alpha"], "drop")
+
+
+def attention_trace(spark, folder):
+    """The first vectors as grids of 7 x 7 cells: where a seeded model looks for each word."""
+    weights = decoders.init(decoders.SPATIAL, _sizes(8), seed=4)
+    v = F.col("embedding")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(48)), lambda i: F.slice(v, i + 1, F.lit(8)))
+    rows = _table(spark, folder, "embeddings").select("vec_id", cells.alias("cells")).crossJoin(
+        F.broadcast(_table(spark, folder, "styles").where(F.col("emotion").isin("joyful", "sad", "tense")).select("emotion_id"))
+    )
+    return inference.attention_trace(rows, weights, "vec_id", max_words=8)
+
+
+def styled_rewrites(spark, folder):
+    grid = ops.style_grid(ops.first_captions(_table(spark, folder, "raw_captions")), _table(spark, folder, "styles"))
+    made = inference.rewrite(grid, inference.stub_rewriter, ["image_id", "emotion"])
+    return made.where("ok").select("image_id", "emotion", F.col("text").alias("emotion_caption"))
+
 
 def queries() -> dict:
-    return {}
+    names = {"Baseline": "baseline", "Emotion@Start": "start", "Emotion@Every": "every", "CrossAttention": "xattn"}
+    return {f"caption_generate_{short}": _generate(kind) for kind, short in names.items()} | {
+        f.__name__: f for f in (interpolate_captions, attention_trace, styled_rewrites)
+    }
