@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.functions.text import tokenize
 from lumenry.llm.languages import foreign_words
+from lumenry.llm.words import tokenised
 from lumenry.stage import stage
 
 SHINGLE = 5
@@ -34,15 +36,27 @@ _P = np.uint64(0x100000001B3)
 _MULT = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def ending(text: Column) -> Column:
-    """How a text ends: 0 closed, 1 trailing off in dots, 2 open, 3 with the traces of a cut."""
-    tail = F.regexp_replace(F.substring(text, -40, 40), r"(?U)\s+$", "")
-    bare = F.regexp_replace(tail, r"(\.{3,}|…)[\"”’']?$", "")
-    dots = tail.rlike(r"(\.{3,}|…)[\"”’']?$")
-    cut = bare.rlike(r"(�|\s\[|\\u[0-9a-fA-F]{0,3}|&#?\w{1,6}|[,;:(/\[{<&+]|\w[-–])$")
-    closed = tail.rlike(r"([.!?。！？]|\w\s*\))[\"”’'\])»]*$|[\"”»]$")
-    plain = tail.rlike(r"[^.…][.!?]$")  # most texts; the others are looked at more closely
-    return F.when(plain, CLOSED).when(cut, MARKED).when(dots, DOTS).when(closed, CLOSED).otherwise(OPEN)
+_PLAIN = r"[^.…][.!?]$"
+_ENDING_DOTS = re.compile(r"(?:\.{3,}|…)[\"”’']?$")
+_CUT = re.compile(r"(?:�|\s\[|\\u[0-9a-fA-F]{0,3}|&#?\w{1,6}|[,;:(/\[{<&+]|\w[-–])$")
+_CLOSING = re.compile(r"(?:(?:[.!?。！？]|\w\s*\))[\"”’'\])»]*|[\"”»])$")
+
+
+def _ending(text: str) -> int:
+    bare = _ENDING_DOTS.sub("", text)
+    if _CUT.search(bare):
+        return MARKED
+    return DOTS if bare != text else CLOSED if _CLOSING.search(text) else OPEN
+
+
+def endings(texts: pa.Array) -> np.ndarray:
+    """How each text ends: 0 closed, 1 trailing off in dots, 2 open, 3 with the traces of a cut."""
+    texts = pc.utf8_rtrim_whitespace(texts)
+    plain = pc.match_substring_regex(texts, _PLAIN).to_numpy(zero_copy_only=False).astype(bool)  # most texts
+    out = np.zeros(len(texts), dtype=np.int32)
+    for i in np.flatnonzero(~plain):
+        out[i] = _ending(texts[int(i)].as_py())
+    return out
 
 
 def _word_marks(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -143,13 +157,17 @@ _AS_PROMPT, _IN_PROMPT, _BEGINS_PROMPT = 1, 2, 4
 def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that may be cut: contexts of the last word, bands, and what their prompt tells."""
     for batch in batches:
+        how = endings(batch.column(1))
+        doubtful = np.flatnonzero(how != CLOSED)
+        batch, how = batch.take(pa.array(doubtful)), how[doubtful]
+        words = tokenised(batch.column(1))
         keep, told = [], []
-        for i, (how, words, prompt) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-            if not words or how != MARKED and (len(words) < 3 or foreign_words(words)):
+        for i, (said, prompt) in enumerate(zip(words.to_pylist(), tokenised(batch.column(2)).to_pylist())):
+            if not said or how[i] != MARKED and (len(said) < 3 or foreign_words(said)):
                 continue
-            last, flags = words[-1], 0
+            last, flags = said[-1], 0
             if prompt:
-                if prompt[-3:] == words[-3:]:
+                if prompt[-3:] == said[-3:]:
                     flags |= _AS_PROMPT
                 if last in prompt:
                     flags |= _IN_PROMPT
@@ -157,8 +175,9 @@ def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     flags |= _BEGINS_PROMPT
             keep.append(i)
             told.append(flags)
-        part = batch.take(pa.array(keep, pa.int64()))
-        w = _Words(part.column(2))
+        kept = pa.array(keep, pa.int64())
+        words = words.take(kept)
+        w = _Words(words)
         last = w.first + w.n - 1
         keys = np.stack([*(w.context(k, last) for k in range(LONGER)), w.longer(w.marks[last])], axis=1) if len(keep) else np.zeros((0, LONGER + 1), np.uint64)
         rows, bands = w.bands()
@@ -166,8 +185,8 @@ def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count[rows] = BANDS
         yield pa.record_batch(
             [
-                part.column(0), part.column(1), pa.array(w.n.astype(np.int32)), pa.array(w.text_marks().view(np.int64)), pa.array(told, pa.int32()),
-                _lists(keys.reshape(-1), np.full(len(keep), LONGER + 1)), _lists(bands.reshape(-1), count), part.column(2),
+                batch.column(0).take(kept), pa.array(how[keep]), pa.array(w.n.astype(np.int32)), pa.array(w.text_marks().view(np.int64)), pa.array(told, pa.int32()),
+                _lists(keys.reshape(-1), np.full(len(keep), LONGER + 1)), _lists(bands.reshape(-1), count), words,
             ],
             ["row_id", "how", "n", "text_mark", "at_prompt", "keys", "bands", "words"],
         )
@@ -252,8 +271,8 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
             keys, totals, ends, held = [key], [total], [end], len(key)
 
         for batch in batches:
-            how = batch.column(1).to_numpy(zero_copy_only=False)
-            w = _Words(batch.column(2))
+            how, said = endings(batch.column(0)), tokenised(batch.column(0))
+            w = _Words(said)
             last = np.zeros(len(w.marks), dtype=bool)
             last[(w.first + w.n - 1)[w.n > 0]] = True
             last = last[w.at]
@@ -292,7 +311,7 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
                 text = w.text_marks()
                 yield _fact(_BAND, bands[r, b], text[rows[r]].view(np.int64), w.n[rows[r]])
                 some = rows[hit.any(axis=1)]
-                yield _fact(_TEXT, text[some], whole[some] & (how[some] == CLOSED), w.n[some], w.n[some], batch.column(2).take(pa.array(some)))
+                yield _fact(_TEXT, text[some], whole[some] & (how[some] == CLOSED), w.n[some], w.n[some], said.take(pa.array(some)))
         if keys:
             merge()
             yield _fact(_COUNT, keys[0], totals[0], ends[0])
@@ -355,16 +374,16 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
     fixed size, so that only what can match one is counted and moved.
     """
     said = rows.where(F.col(text).isNotNull())
-    base = [F.col(key).cast("bigint").alias("row_id"), ending(F.col(text)).alias("how"), tokenize(F.col(text)).alias("words")]
-    asked = (tokenize(F.col(prompt)) if prompt else F.lit(None).cast("array<string>")).alias("prompt")
+    asked = F.col(prompt) if prompt else F.lit(None).cast("string")
     open_ends = stage(
-        said.where(ending(F.col(text)) != CLOSED).select(*base, asked).mapInArrow(_open_ends, _OPEN_SCHEMA), "open_ends"
+        said.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("said"), asked.alias("asked")).mapInArrow(_open_ends, _OPEN_SCHEMA),
+        "open_ends",
     )
     judged = open_ends.where(F.col("how") != MARKED)
     contexts, _ = _collect_bitmap(judged, "keys", MARK_BITS)
     bands = _collect_bitmap(judged, "bands", BAND_BITS)
     facts = stage(
-        said.select(*base).mapInArrow(
+        said.select(F.col(text).alias("said")).mapInArrow(
             _facts(contexts, *bands), "kind int, key bigint, x bigint, y bigint, n int, words array<string>"
         ),
         "facts",
