@@ -12,6 +12,11 @@ def _zero() -> Column:
     return F.lit(0.0).cast("double")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def vsum(v: Column) -> Column:
     return F.aggregate(v, _zero(), lambda a, x: a + x.cast("double"))
 
@@ -40,14 +45,14 @@ def interpolate(a: Column, b: Column, alpha: Column) -> Column:
 
 def min_max(v: Column, epsilon: float = 1e-8) -> Column:
     """Values moved to 0..1; a constant array gives zeros."""
-    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    return F.transform(v, lambda x: (x.cast("double") - low) / (high - low + epsilon))
+    ends = F.struct(v.alias("v"), F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"))
+    return let(ends, lambda s: F.transform(s["v"], lambda x: (x.cast("double") - s["low"]) / (s["high"] - s["low"] + epsilon)))
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v).cast("double")
-    raised = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(raised, lambda x: x / vsum(raised))
+    known = F.struct(v.alias("v"), F.array_max(v).cast("double").alias("top"))
+    raised = let(known, lambda s: F.transform(s["v"], lambda x: F.exp(x.cast("double") - s["top"])))
+    return let(let(raised, lambda r: F.struct(r.alias("r"), vsum(r).alias("all"))), lambda s: F.transform(s["r"], lambda x: x / s["all"]))
 
 
 def mapped(v: Column, f: Callable[[Column], Column]) -> Column:
@@ -63,9 +68,9 @@ def tanh(v: Column) -> Column:
 
 
 def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
-    m = mean(v)
-    spread = vsum(F.transform(v, lambda x: F.pow(x.cast("double") - m, F.lit(2)))) / F.size(v)
-    return F.transform(v, lambda x: (x.cast("double") - m) / F.sqrt(spread + epsilon))
+    centred = let(F.struct(v.alias("v"), mean(v).alias("m")), lambda s: F.transform(s["v"], lambda x: x.cast("double") - s["m"]))
+    spread = let(centred, lambda c: F.struct(c.alias("c"), F.sqrt(dot(c, c) / F.size(c) + epsilon).alias("d")))
+    return let(spread, lambda s: F.transform(s["c"], lambda x: x / s["d"]))
 
 
 def cells_mean(cells: Column) -> Column:
@@ -82,7 +87,7 @@ def weighted_cells(cells: Column, weights: Column) -> Column:
 
 def grid(v: Column, side: int = 7) -> Column:
     """A flat array as rows of ``side``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice(v, i * side + 1, F.lit(side)))
+    return let(v, lambda whole: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice(whole, i * side + 1, F.lit(side))))
 
 
 def steps(n: int) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenry.functions import arrays
 from lumenry.functions.style import STYLES
+from lumenry.functions.text import tokenize
 from lumenry.models import decoders, inference
+from lumenry.operators import bleu, vocabulary
 from lumenry.operators import captions as ops
-from lumenry.operators import vocabulary
 from lumenry.stage import stage
 
 DIM = 64  # of the test data's vectors, which stand for image features
@@ -72,8 +74,95 @@ def styled_rewrites(spark, folder):
     return made.where("ok").select("image_id", "emotion", F.col("text").alias("emotion_caption"))
 
 
+MODELS = ((0, "Baseline"), (1, "Emotion@Start"), (2, "Emotion@Every"), (3, "CrossAttention"))
+
+
+def _features(spark, folder, images):
+    """``(image_id, vec_id, feature)``: each distinct image gets one of the vectors, computed once and joined back."""
+    vectors = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("feature"))
+    n = vectors.count()
+    keyed = images.select("image_id").where(F.col("image_id").isNotNull()).distinct()
+    return keyed.withColumn("vec_id", F.pmod(F.xxhash64("image_id"), F.lit(max(1, n)))).join(vectors, "vec_id")
+
+
+def _decoded(spark, folder, asked, models=MODELS):
+    """Captions of all models for distinct ``(vec_id, emotion_id)``; the style-blind model is decoded once per vector."""
+    words = _words(spark, folder)
+    parts = None
+    for order, kind in models:
+        rows = asked.select("vec_id", "emotion_id", "feature")
+        if kind == "Baseline":
+            rows = rows.withColumn("emotion_id", F.lit(0))
+        rows = rows.dropDuplicates(["vec_id", "emotion_id"])
+        ids = inference.generate_ids(rows, kind, decoders.init(kind, _sizes(), seed=order), ["vec_id", "emotion_id"])
+        said = vocabulary.decode(ids, "token_ids", words, ["vec_id", "emotion_id"], "drop")
+        if kind == "Baseline":
+            styles = F.broadcast(_table(spark, folder, "styles").select("emotion_id"))
+            said = said.drop("emotion_id").crossJoin(styles)
+        said = said.withColumns({"model": F.lit(kind), "model_ord": F.lit(order)})
+        parts = said if parts is None else parts.unionByName(said)
+    return parts
+
+
+def _scored(spark, folder):
+    """Row counts of every model's captions against the test captions."""
+    test = _table(spark, folder, "test").select("image_id", "emotion", "emotion_id", F.coalesce("emotion_caption", F.lit("nan")).alias("said"))
+    rows = test.join(_features(spark, folder, test), "image_id")
+    hyps = stage(_decoded(spark, folder, rows), "decoded")
+    pairs = rows.select("vec_id", "emotion_id", "emotion", "said").join(hyps, ["vec_id", "emotion_id"])
+    return bleu.row_counts(pairs.select("model", "model_ord", "emotion", tokenize(F.col("caption")).alias("hyp"), tokenize(F.col("said")).alias("ref")))
+
+
+def model_bleu(spark, folder):
+    return bleu.overall(_scored(spark, folder), "model", "model_ord")
+
+
+def model_bleu_by_style(spark, folder):
+    return bleu.by_style(_scored(spark, folder), "model")
+
+
+def _chosen(spark, folder, n, seed):
+    test = _table(spark, folder, "test")
+    return _features(spark, folder, ops.fixed_sample(test, "image_id", n, seed))
+
+
+def _in_all_styles(spark, folder, images, models):
+    asked = images.crossJoin(F.broadcast(_table(spark, folder, "styles")))
+    return asked.drop("feature").join(_decoded(spark, folder, asked, models), ["vec_id", "emotion_id"])
+
+
+def gallery(spark, folder):
+    """Three test images in all styles by the model that takes the style at every step."""
+    return _in_all_styles(spark, folder, _chosen(spark, folder, 3, 7), MODELS[2:3]).select("image_id", "emotion", "caption")
+
+
+def model_survey(spark, folder):
+    said = _in_all_styles(spark, folder, _chosen(spark, folder, 5, 1), MODELS[2:3])
+    return said.select("image_id", "emotion", "caption", F.format_string(ops.QUESTION, "emotion").alias("question"))
+
+
+def demo_two_models(spark, folder):
+    """The first test image in all styles by two models."""
+    first = ops.nth_unique(_table(spark, folder, "test"), "image_id", "row_id", 0)
+    said = _in_all_styles(spark, folder, _features(spark, folder, first), MODELS[2:4])
+    return said.select("model", "emotion", F.format_string("[%s] %s", F.rpad("emotion", 10, " "), "caption").alias("line"))
+
+
+def attention_maps(spark, folder):
+    """The first eight words of each traced caption with where the model looked, as a 7 x 7 map from 0 to 1."""
+    traced = attention_trace(spark, folder).where("pos < 8")
+    words = _words(spark, folder).select(F.col("id").alias("word_id"), "word")
+    named = traced.join(F.broadcast(words), "word_id", "left")
+    return named.select(
+        "vec_id", "emotion_id", "pos", F.coalesce("word", F.lit("<UNK>")).alias("word"), arrays.grid(arrays.min_max(F.col("weights"))).alias("map")
+    )
+
+
 def queries() -> dict:
     names = {"Baseline": "baseline", "Emotion@Start": "start", "Emotion@Every": "every", "CrossAttention": "xattn"}
     return {f"caption_generate_{short}": _generate(kind) for kind, short in names.items()} | {
-        f.__name__: f for f in (interpolate_captions, attention_trace, styled_rewrites)
+        f.__name__: f for f in (
+            interpolate_captions, attention_trace, styled_rewrites, model_bleu, model_bleu_by_style, gallery, model_survey, demo_two_models,
+            attention_maps,
+        )
     }
