@@ -150,7 +150,8 @@ class TemplateTree:
 
 def classify(template: str) -> str | None:
     """``error``, ``script`` or ``filler`` for a template of such messages, else null."""
-    low = re.sub(r"</?(?!code>)[a-z][a-z0-9]*>", " ", template.lower().replace("’", "'")) if "noscript" not in template.lower() else template.lower()
+    template = template.replace("’", "'").replace("â€™", "'")
+    low = re.sub(r"</?(?!code>)[a-z][a-z0-9]*>", " ", template.lower()) if "noscript" not in template.lower() else template.lower()
     quoted = re.sub(r"\"[^\"]{0,60}\"|“[^”]{0,60}”", " ", low)
     told = _TOLD.search(low) is not None
     if _BARE.fullmatch(re.sub(rf"{CODE}|{re.escape(ANY)}", " ", low)):
