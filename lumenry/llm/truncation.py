@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenry.llm.languages import foreign_words
-from lumenry.llm.words import tokenised
+from lumenry.llm.words import mix, tokenised, word_marks
 from lumenry.stage import stage
 
 SHINGLE = 5
@@ -32,7 +32,6 @@ NEVER_SEEN, NEVER_SHARE = 1500, 0.0005  # a word so frequent that closes so few
 
 CLOSED, DOTS, OPEN, MARKED = 0, 1, 2, 3
 UNIT, DOTS_UNIT = 4, 1  # a text that trails off in dots may be cut as well: it closes a context by a quarter, and makes no word known
-_P = np.uint64(0x100000001B3)
 _MULT = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,36 +58,6 @@ def endings(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _word_marks(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A mark of each word, and for each length the words longer than that with the marks of their beginnings."""
-    raw = [w.encode() for w in words]
-    long = [i for i, w in enumerate(raw) if len(w) > 48]
-    short = np.array([w if len(w) <= 48 else b"" for w in raw], dtype=np.bytes_)
-    width = max(1, short.dtype.itemsize)
-    table = short.view(np.uint8).reshape(len(raw), width) if len(raw) else np.zeros((0, 1), np.uint8)
-    length = (table != 0).sum(axis=1)
-    mark = np.full(len(raw), 0xCBF29CE484222325, dtype=np.uint64)
-    begun = []
-    for j in range(width):
-        on = length > j
-        mark = np.where(on, (mark ^ table[:, j].astype(np.uint64)) * _P, mark)
-        more = np.flatnonzero(length > j + 1)
-        if len(more):
-            begun.append((more, mark[more]))
-    for i in long:
-        h = 0xCBF29CE484222325
-        for c in raw[i]:
-            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        mark[i] = h
-    return _mix(mark), [(at, _mix(m)) for at, m in begun]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 class _Words:
     """The words of a batch as marks, each row with ``PAD`` blanks before it."""
 
@@ -97,7 +66,7 @@ class _Words:
         self.vocabulary = flat.dictionary.to_pylist()
         codes = flat.indices.to_numpy(zero_copy_only=False)
         self.counts = np.bincount(codes, minlength=len(self.vocabulary))
-        marks, self.begun = _word_marks(self.vocabulary)
+        marks, self.begun = word_marks(self.vocabulary)
         self.n = np.diff(column.offsets.to_numpy())
         self.n = np.where(column.is_valid().to_numpy(zero_copy_only=False), self.n, 0) if column.null_count else self.n
         self.first = np.concatenate([[0], np.cumsum(self.n + PAD)])[:-1] + PAD
@@ -116,17 +85,17 @@ class _Words:
         return key
 
     def longer(self, marks: np.ndarray) -> np.ndarray:
-        return _mix(marks ^ np.uint64(0xD1B54A32D192ED03))
+        return mix(marks ^ np.uint64(0xD1B54A32D192ED03))
 
     def text_marks(self) -> np.ndarray:
         """A mark of each row's whole text."""
         place = np.arange(len(self.at), dtype=np.uint64) - np.repeat((self.first - PAD * (np.arange(len(self.n)) + 1)).astype(np.uint64), self.n)
-        each = _mix(self.marks[self.at] ^ (place + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+        each = mix(self.marks[self.at] ^ (place + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
         out = np.zeros(len(self.n), dtype=np.uint64)
         some = self.n > 0
         if some.any():
             out[some] = np.add.reduceat(each, (self.first - PAD * (np.arange(len(self.n)) + 1))[some])
-        return _mix(out + self.n.astype(np.uint64))
+        return mix(out + self.n.astype(np.uint64))
 
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows with a shingle, and for each its marks of all bands."""
@@ -138,12 +107,12 @@ class _Words:
         at = np.arange(count.sum()) - np.repeat(starts, count) + np.repeat(self.first[rows], count)
         shingle = np.zeros(len(at), dtype=np.uint64)
         for j in range(SHINGLE):
-            shingle = _mix(shingle * np.uint64(3) + self.marks[at + j])
+            shingle = mix(shingle * np.uint64(3) + self.marks[at + j])
         out = np.zeros((len(rows), BANDS), dtype=np.uint64)
         for j, mult in enumerate(_MULT):
             low = np.minimum.reduceat(shingle * mult >> np.uint64(16), starts)
             out[:, j // BAND_ROWS] = (out[:, j // BAND_ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-        return rows, _mix(out)
+        return rows, mix(out)
 
 
 def _lists(values: np.ndarray, count: np.ndarray) -> pa.ListArray:

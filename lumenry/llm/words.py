@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_PRIME = np.uint64(0x100000001B3)
 _DELETED = r"[^a-z0-9\s'\p{Z}\x{85}]"
 
 
@@ -18,3 +19,33 @@ def tokenised(texts: pa.Array) -> pa.ListArray:
     flat = split.flatten()
     offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, flat.filter(pc.not_equal(flat, "")))
+
+
+def word_marks(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A mark of each word, and for each length the words longer than that with the marks of their beginnings."""
+    raw = [w.encode() for w in words]
+    long = [i for i, w in enumerate(raw) if len(w) > 48]
+    short = np.array([w if len(w) <= 48 else b"" for w in raw], dtype=np.bytes_)
+    width = max(1, short.dtype.itemsize)
+    table = short.view(np.uint8).reshape(len(raw), width) if len(raw) else np.zeros((0, 1), np.uint8)
+    length = (table != 0).sum(axis=1)
+    mark = np.full(len(raw), 0xCBF29CE484222325, dtype=np.uint64)
+    begun = []
+    for j in range(width):
+        on = length > j
+        mark = np.where(on, (mark ^ table[:, j].astype(np.uint64)) * _PRIME, mark)
+        more = np.flatnonzero(length > j + 1)
+        if len(more):
+            begun.append((more, mark[more]))
+    for i in long:
+        h = 0xCBF29CE484222325
+        for c in raw[i]:
+            h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        mark[i] = h
+    return mix(mark), [(at, mix(m)) for at, m in begun]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
