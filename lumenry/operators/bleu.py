@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenry.functions.arrays import let
+
 # Weights of BLEU-1 to BLEU-4 and the constant of the smoothing.
 WEIGHTS = {1: (1.0, 0.0, 0.0, 0.0), 2: (0.5, 0.5, 0.0, 0.0), 3: (0.34, 0.33, 0.33, 0.0), 4: (0.25, 0.25, 0.25, 0.25)}
 SMOOTHING = 5.0
@@ -28,7 +30,8 @@ def row_counts(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFram
     """``pairs`` with matches ``m1..m4``, totals ``t1..t4`` and lengths; token arrays in, narrow."""
     out = pairs.withColumn("hyp_len", F.size(hyp)).withColumn("ref_len", F.size(ref))
     for n in range(1, 5):
-        out = out.withColumn(f"m{n}", _clipped(ngrams(F.col(hyp), n), ngrams(F.col(ref), n)))
+        both = F.struct(ngrams(F.col(hyp), n).alias("h"), ngrams(F.col(ref), n).alias("r"))
+        out = out.withColumn(f"m{n}", let(both, lambda s: _clipped(s["h"], s["r"])))
         out = out.withColumn(f"t{n}", F.greatest(F.lit(0), F.col("hyp_len") - (n - 1)))
     return out
 

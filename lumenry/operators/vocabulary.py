@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenry.functions.text import tokenize
+from lumenry.stage import stage
 
 # Reserved words and their ids.
 RESERVED = ("<PAD>", "<SOS>", "<EOS>", "<UNK>")
@@ -39,14 +40,18 @@ def fit(rows: DataFrame, text: str, order: str, min_freq: int = 2) -> DataFrame:
     the occurrences, are ordered, in ranges over the cluster: each word's
     number is its place in its range and the sizes of the ranges before.
     """
+    # Row and place as one decimal: unlike a pair of them, its least is kept by a hash aggregation.
+    place = F.col(order).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(11,0)")
     firsts = (
-        word_positions(rows, text, order).groupBy("word")
-        .agg(F.count("*").alias("freq"), F.min(F.struct(F.col(order).alias("row"), "pos")).alias("first"))
+        word_positions(rows, text, order).select("word", place.cast("decimal(38,0)").alias("at")).groupBy("word")
+        .agg(F.count("*").alias("freq"), F.min("at").alias("first"))
         .where(F.col("freq") >= min_freq)
     )
-    low = firsts.agg(F.min("first.row").alias("low"), F.max("first.row").alias("high"))
+    firsts = stage(firsts, "first_occurrences")  # read three times
+    at = F.col("first").cast("double")
+    ends = firsts.agg(F.min(at).alias("low"), F.max(at).alias("high"))
     width = F.greatest((F.col("high") - F.col("low")) / 1024.0, F.lit(1.0))
-    placed = firsts.crossJoin(F.broadcast(low)).withColumn("_range", F.floor((F.col("first.row") - F.col("low")) / width))
+    placed = firsts.crossJoin(F.broadcast(ends)).withColumn("_range", F.floor((at - F.col("low")) / width))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ranges = placed.groupBy("_range").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     within = F.row_number().over(W.partitionBy("_range").orderBy("first"))
