@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 # Frequent small words by language, as words without accents or with them.
 STOPWORDS = {
     "en": "the a an of in and by at with as to that from is are was for no one on it this these watch so but under over while who where "
@@ -34,6 +36,15 @@ def foreign_words(words: list[str]) -> bool:
     return False
 
 
+def foreign_rows(vocabulary: list[str], codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """``foreign_words`` of ``n`` texts at once, given as places in a vocabulary and the text of each."""
+    votes = {name: np.bincount(row, weights=np.fromiter((w in known for w in vocabulary), bool, len(vocabulary))[codes], minlength=n) for name, known in _SETS.items()}
+    out = np.zeros(n, dtype=bool)
+    for name, vote in votes.items():
+        out |= (name != "en") & (vote >= 2) & (vote > votes["en"])
+    return out
+
+
 _OTHERS = frozenset().union(*(known for name, known in _SETS.items() if name != "en"))
 
 

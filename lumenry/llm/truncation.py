@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.languages import foreign_words
+from lumenry.llm.languages import foreign_rows, foreign_words
 from lumenry.llm.words import mix, tokenised, word_marks
 from lumenry.stage import stage
 
@@ -26,6 +26,10 @@ PAD = 5  # words of context
 CONTEXTS = ((5, 4, 2, 1), (3, 2, 1), (4, 3, 1), (3, 2), (2, 1), (0,))
 LONGER = len(CONTEXTS)  # the key of words that go on where this one ends
 WORD = LONGER - 1
+# Words before the last under which closed texts are compared: those that close with this word, and those with one it begins.
+CLOSINGS = ((2, 1), (1,))
+KEYS = LONGER + 1 + 2 * len(CLOSINGS)
+RATHER = 20  # times as often
 PRIOR, PULL = 0.05, 10.0
 TERMINAL = 0.025
 NEVER_SEEN, NEVER_SHARE = 1500, 0.0005  # a word so frequent that closes so few texts closes none
@@ -65,7 +69,6 @@ class _Words:
         flat = column.flatten().dictionary_encode()
         self.vocabulary = flat.dictionary.to_pylist()
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        self.counts = np.bincount(codes, minlength=len(self.vocabulary))
         marks, self.begun = word_marks(self.vocabulary)
         self.n = np.diff(column.offsets.to_numpy())
         self.n = np.where(column.is_valid().to_numpy(zero_copy_only=False), self.n, 0) if column.null_count else self.n
@@ -75,7 +78,9 @@ class _Words:
         self.row = np.repeat(np.arange(len(self.n)), self.n)
         self.at = np.arange(len(codes)) + (self.row + 1) * PAD
         self.marks[self.at] = marks[codes]
-        self.word_marks = marks
+        self.codes = codes
+        self.english = ~foreign_rows(self.vocabulary, codes, self.row, len(self.n))
+        self.counts = np.bincount(codes[self.english[self.row]], minlength=len(self.vocabulary))
 
     def context(self, k: int, at: np.ndarray) -> np.ndarray:
         key = np.full(len(at), 1000003 * (k + 1), dtype=np.uint64)
@@ -87,6 +92,26 @@ class _Words:
     def longer(self, marks: np.ndarray) -> np.ndarray:
         return mix(marks ^ np.uint64(0xD1B54A32D192ED03))
 
+    def closing(self, c: int, at: np.ndarray, marks: np.ndarray, begun: bool) -> np.ndarray:
+        """Keys of closing words, or of beginnings of them, after the words before ``at``."""
+        key = np.full(len(at), 7000003 * (2 * c + begun + 1), dtype=np.uint64)
+        for back in CLOSINGS[c]:
+            key = mix(key ^ self.marks[at - back])
+        return mix(key ^ marks)
+
+    def closings(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Of rows with words, the keys of their closing words and of all beginnings of these."""
+        at = self.first[rows] + self.n[rows] - 1
+        codes = self.codes[at - PAD * (rows + 1)]
+        for c in range(len(CLOSINGS)):
+            yield self.closing(c, at, self.marks[at], False)
+        for word_at, mark in self.begun:
+            place = np.full(len(self.vocabulary), -1)
+            place[word_at] = np.arange(len(word_at))
+            some = place[codes] >= 0
+            for c in range(len(CLOSINGS)):
+                yield self.closing(c, at[some], mark[place[codes[some]]], True)
+
     def text_marks(self) -> np.ndarray:
         """A mark of each row's whole text."""
         place = np.arange(len(self.at), dtype=np.uint64) - np.repeat((self.first - PAD * (np.arange(len(self.n)) + 1)).astype(np.uint64), self.n)
@@ -148,14 +173,16 @@ def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words.take(kept)
         w = _Words(words)
         last = w.first + w.n - 1
-        keys = np.stack([*(w.context(k, last) for k in range(LONGER)), w.longer(w.marks[last])], axis=1) if len(keep) else np.zeros((0, LONGER + 1), np.uint64)
+        asked = [*(w.context(k, last) for k in range(LONGER)), w.longer(w.marks[last])]
+        asked += [w.closing(c, last, w.marks[last], begun) for c in range(len(CLOSINGS)) for begun in (False, True)]
+        keys = np.stack(asked, axis=1) if len(keep) else np.zeros((0, KEYS), np.uint64)
         rows, bands = w.bands()
         count = np.zeros(len(keep), dtype=np.int64)
         count[rows] = BANDS
         yield pa.record_batch(
             [
                 batch.column(0).take(kept), pa.array(how[keep]), pa.array(w.n.astype(np.int32)), pa.array(w.text_marks().view(np.int64)), pa.array(told, pa.int32()),
-                _lists(keys.reshape(-1), np.full(len(keep), LONGER + 1)), _lists(bands.reshape(-1), count), words,
+                _lists(keys.reshape(-1), np.full(len(keep), KEYS)), _lists(bands.reshape(-1), count), words,
             ],
             ["row_id", "how", "n", "text_mark", "at_prompt", "keys", "bands", "words"],
         )
@@ -250,7 +277,7 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
             at = w.at[counted]
             closes = np.where(last[counted], np.where(how[w.row[counted]] == CLOSED, UNIT, DOTS_UNIT), 0)
             for k in range(LONGER):
-                some = closes != DOTS_UNIT if k == WORD else slice(None)
+                some = (closes != DOTS_UNIT) & w.english[w.row[counted]] if k == WORD else slice(None)
                 key = w.context(k, at[some])
                 seen = _has(marks_at_ends, MARK_BITS, key)
                 key, end = key[seen], closes[some][seen]
@@ -266,6 +293,12 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
                 totals.append(UNIT * w.counts[word_at[seen]].astype(float))
                 ends.append(np.zeros(int(seen.sum())))
                 held += int(seen.sum())
+            for key in w.closings(np.flatnonzero((how == CLOSED) & (w.n > 0))):
+                unique, count = np.unique(key[_has(marks_at_ends, MARK_BITS, key)], return_counts=True)
+                keys.append(unique)
+                totals.append(UNIT * count.astype(float))
+                ends.append(np.zeros(len(unique)))
+                held += len(unique)
             if held > 3_000_000:
                 merge()
                 if held > 2_000_000:
@@ -333,8 +366,9 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
     five-word shingles and verified (similarity 0.8 or more): if the alignment
     with one ends early, the text is cut; if one closes at the same place, it
     is whole. What is left is judged by its closing word: it is cut if it is no
-    word of the collection but begins one (of ``prompt`` first), or if the
-    words before it, or else itself, practically never stand at the close of a
+    word of the collection but begins one (of ``prompt`` first), if it begins
+    words far more frequent and closed texts don't close with it there but with
+    what it begins, or if the words before it, or else itself, practically never stand at the close of a
     text in the whole collection. A text that ends as its prompt does is whole,
     and one in another language than English is judged by marks only. Null
     and empty texts, and open ones of fewer than three words, are not cut.
@@ -361,7 +395,7 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
     counts = facts.where(F.col("kind") == _COUNT).groupBy("key").agg((F.sum("x") / UNIT).alias("total"), (F.sum("y") / UNIT).alias("ends"))
     asked = judged.select("row_id", F.posexplode("keys").alias("k", "key")).join(counts, "key")
     each = asked.repartition("row_id").groupBy("row_id").agg(
-        *(F.max(F.when(F.col("k") == k, F.col("total"))).alias(f"t{k}") for k in range(LONGER + 1)),
+        *(F.max(F.when(F.col("k") == k, F.col("total"))).alias(f"t{k}") for k in range(KEYS)),
         *(F.max(F.when(F.col("k") == k, F.col("ends"))).alias(f"e{k}") for k in range(LONGER)),
     )
     seen = judged.select("row_id", "text_mark", "at_prompt").join(each, "row_id", "left").join(aligned, "text_mark", "left")
@@ -397,12 +431,16 @@ def _terminality() -> Column:
 
 def _reason() -> Column:
     flags = F.col("at_prompt")
-    own, closes = F.coalesce(f"t{WORD}", F.lit(0)), F.coalesce(f"e{WORD}", F.lit(0))
-    longer = F.coalesce(F.col(f"t{LONGER}"), F.lit(0))
+    count = lambda k: F.coalesce(F.col(f"t{k}"), F.lit(0))
+    own, closes, longer = count(WORD), F.coalesce(f"e{WORD}", F.lit(0)), count(LONGER)
+    # Whether closed texts show that the word stands at a close: after the same two words, else after the same one, else anywhere.
+    stands = closes * RATHER > own
+    for c in reversed(range(len(CLOSINGS))):
+        same, begun = count(LONGER + 1 + 2 * c), count(LONGER + 2 + 2 * c)
+        stands = F.when(same + begun > 0, same * RATHER > begun).otherwise(stands)
     begins = (flags.bitwiseAND(_IN_PROMPT) == 0) & (
         ((own == 0) & ((longer > 0) | (flags.bitwiseAND(_BEGINS_PROMPT) > 0)))
-        | ((own <= 3) & (flags.bitwiseAND(_BEGINS_PROMPT) > 0))
-        | ((own <= 3) & (longer >= 20 * own))
+        | (~stands & ((longer >= RATHER * own) | (flags.bitwiseAND(_BEGINS_PROMPT) > 0)))
     )
     never = (own >= NEVER_SEEN) & (closes < NEVER_SHARE * own)
     return (

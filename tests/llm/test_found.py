@@ -4,9 +4,10 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lumenry.llm import components, leaks, mixture, near_equal, overlap, pairs, templates, terms, truncation
+from lumenry.llm import components, languages, leaks, mixture, near_equal, overlap, pairs, templates, terms, truncation
 
 
 def tok(text):
@@ -241,6 +242,26 @@ def test_truncated_rows(spark):
     assert rates["src"][0] == 900 and rates[None][0] == 6 and rates["src"][1] == len(got)
 
 
+@pytest.mark.parametrize("times", [1, 8])
+def test_beginnings_that_stand_elsewhere_are_cut_at_any_size(spark, times):
+    rng = random.Random(2)
+    said = [f"{s} answers with nothing but silence." for s in written(3, 90 * times)]
+    said += [f"The {w} {i} says si to the moon beside the sea." for i, w in enumerate(["clown", "nurse"] * times)]
+    said += [f"Nadie espera cuando el {rng.random()} dice si."] * 3 * times
+    said += [f"The nurse number {i} looks at the wide open sea." for i in range(20 * times)] + [f"A {i} season of the sea begins." for i in range(20 * times)]
+    rows = [(i, t, None) for i, t in enumerate(said)]
+    rows += [(-1, "The old lamp of the tower answers with nothing but si", None), (-2, "A man on the hill looks at the wide open sea", None)]
+    df = spark.createDataFrame(rows, "row_id long, said string, asked string")
+    assert {r.row_id: r.reason for r in truncation.truncated_rows(df, "row_id", "said", "asked").collect()} == {-1: "word"}
+
+
+def test_foreign_rows_judge_as_one_by_one():
+    texts = [tok(x) for x in ("der alte hund und die katze", "the dog and the cat", "", "el perro de la casa in the house", "a la el")]
+    words = sorted({w for t in texts for w in t})
+    codes, row = (np.array(x) for x in zip(*((words.index(w), i) for i, t in enumerate(texts) for w in t)))
+    assert languages.foreign_rows(words, codes, row, len(texts)).tolist() == [languages.foreign_words(t) for t in texts]
+
+
 def test_near_copy_tells_a_cut():
     full = tok("the quick brown fox jumps over the lazy dog near the river bank today")
     assert truncation.aligned_end(full[:-2], full) == "early"
