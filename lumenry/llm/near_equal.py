@@ -19,6 +19,7 @@ from lumenry.stage import stage
 
 COMMON_WORDS = 4096  # words whose order is by count; all others come before them, in hash order
 COMBINATION = 3
+COMBINED = ((64, 3), (256, 2))  # words of the larger text of a pair up to which so many are combined; beyond, single words are
 BLOCK_ROWS = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -34,21 +35,37 @@ def _bounds(n: int, t: Fraction, k: int) -> tuple[int, int]:
     return small, large
 
 
-def _incidence(ranks: dict[str, int], t: Fraction, k: int):
-    """Rows of the incidence matrix: text by combination of ``k`` of its rarest words."""
-    shapes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _order(n: int, k: int) -> int:
+    """Words combined in pairs whose larger set has ``n``: fewer for long texts, as the combinations grow with that power."""
+    return min(k, next((order for most, order in COMBINED if n <= most), 1))
 
-    def shape(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _orders(n: int, t: Fraction, k: int) -> list[int]:
+    """Of all pairs in which a set of ``n`` words can be, the words combined; the first are those of pairs where it is the larger."""
+    return list(range(_order(n, k), _order(math.floor(n / t), k) - 1, -1))
+
+
+def _incidence(ranks: dict[str, int], t: Fraction, k: int, across: bool):
+    """Rows of the incidence matrix: text by combination of a few of its rarest words, as the larger or the smaller of a pair."""
+    shapes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def shape(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if n not in shapes:
-            small, large = _bounds(n, t, k)
-            combos = np.array(list(combinations(range(large), k)), dtype=np.int64).reshape(-1, k)
-            shapes[n] = combos, combos[:, -1] < small
+            if len(shapes) > 256:
+                shapes.clear()
+            shapes[n] = []
+            for order in _orders(n, t, k):
+                small, large = _bounds(n, t, order)
+                own = order == _order(n, k)
+                combos = np.array(list(combinations(range(large if own else small), order)), dtype=np.int64).reshape(-1, order)
+                shapes[n].append((combos, np.full(len(combos), own), combos[:, -1] < small))
         return shapes[n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
         for batch in batches:
-            sigs, owners, counts, sizes, smalls = [], [], [], [], []
+            sigs, owners, counts, sizes, larges, smalls = [], [], [], [], [], []
+            owned = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 order = []
                 words = text.split(" ")
@@ -59,17 +76,19 @@ def _incidence(ranks: dict[str, int], t: Fraction, k: int):
                         known[w] = ranks.get(w, 0), xxhash.xxh64_intdigest(w)
                     order.append(known[w])
                 order.sort()
-                combos, small = shape(len(words))
                 hashes = np.fromiter((h for _, h in order), dtype=np.uint64, count=len(order))
-                sig = np.zeros(len(combos), dtype=np.uint64)
-                for j in range(k):
-                    sig = (sig ^ hashes[combos[:, j]]) * _MIX[j % 3]
-                    sig ^= sig >> np.uint64(29)
-                sigs.append(sig)
-                smalls.append(small)
-                owners.append(key)
-                counts.append(len(sig))
-                sizes.append(len(words))
+                for combos, large, small in shape(len(words)):
+                    sig = np.full(len(combos), combos.shape[1], dtype=np.uint64)
+                    for j in range(combos.shape[1]):
+                        sig = (sig ^ hashes[combos[:, j]]) * _MIX[j % 3]
+                        sig ^= sig >> np.uint64(29)
+                    sigs.append(sig)
+                    larges.append(large)
+                    smalls.append(small)
+                    owners.append(key)
+                    counts.append(len(sig))
+                    sizes.append(len(words))
+                owned.append(sum(len(combos) for combos, _, _ in shape(len(words))))
             if not sigs:
                 continue
             yield pa.record_batch(
@@ -77,20 +96,23 @@ def _incidence(ranks: dict[str, int], t: Fraction, k: int):
                     pa.array(np.concatenate(sigs).view(np.int64)),
                     pa.array(np.repeat(np.array(owners, dtype=np.int64), counts)),
                     pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
+                    pa.array(np.concatenate(larges)),
                     pa.array(np.concatenate(smalls)),
+                    *([pa.array(np.repeat(batch.column(2).to_numpy(zero_copy_only=False), owned).astype(np.int32))] if across else []),
                 ],
-                ["sig", "id", "n", "small"],
+                ["sig", "id", "n", "large", "small", *(["side"] if across else [])],
             )
 
     return run
 
 
-def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION) -> DataFrame:
+def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION, across: bool = False) -> DataFrame:
     """``(a, b)``, a < b, of all pairs of word sets with shared / union >= ``threshold``.
 
     ``sets`` has ``id bigint`` (unique) and ``text string``, the distinct words
     joined by single spaces; texts of fewer than ``min_words`` words link to
-    nothing. Words are ordered rarest first (counted over all sets; the
+    nothing. With ``across`` it has ``side`` too (1, 2, or 3 for both), and
+    only pairs of the one and the other side are made. Words are ordered rarest first (counted over all sets; the
     ``COMMON_WORDS`` most frequent go to the driver, a fixed bound, any others
     count as rarer). Two sets that are near-equal share at least ``k`` of the
     first words of that order whose number follows from their sizes, so the
@@ -100,15 +122,25 @@ def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5
     that the two sizes give are discarded, and the rest is compared word by word.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    sets = sets.select(F.col("id").cast("bigint").alias("id"), "text").where(F.size(F.split("text", " ")) >= max(min_words, k))
+    sided = ["side"] if across else []
+    sets = sets.select(F.col("id").cast("bigint").alias("id"), "text", *sided).where(F.size(F.split("text", " ")) >= max(min_words, k))
     counted = sets.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
     ranks = {r["word"]: len(top) - i for i, r in enumerate(top)}  # the most frequent comes last
-    matrix = sets.mapInArrow(_incidence(ranks, t, k), "sig bigint, id bigint, n int, small boolean")
-    large = matrix.select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    small = matrix.where("small").select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    matrix = sets.mapInArrow(
+        _incidence(ranks, t, k, across), "sig bigint, id bigint, n int, large boolean, small boolean" + (", side int" if across else "")
+    )
+    large = matrix.where("large").select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), *sided)
+    small = matrix.where("small").select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), *sided)
+    if across:
+        # ``turn`` 1: the larger is of side 1 and the smaller of side 2; ``turn`` 2: the other way.
+        large = large.withColumn("turn", F.explode(F.expr("filter(array(1, 2), x -> (side & x) > 0)"))).withColumnRenamed("side", "side_a")
+        small = small.withColumn("turn", F.explode(F.expr("filter(array(1, 2), x -> (side & (3 - x)) > 0)"))).withColumnRenamed("side", "side_b")
+    joined = large.join(small, ["sig", "turn"] if across else ["sig"])
+    if across:
+        joined = joined.where("turn = 1 or (side_a & 1) = 0 or (side_b & 2) = 0")
     product = (
-        large.join(small, "sig")
+        joined
         .where((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
         .where(F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
         .groupBy("a", "b", "n_a", "n_b")
@@ -116,12 +148,17 @@ def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5
     )
     # Shared words needed of two sets; words of either that lie behind those compared so far.
     need = F.ceil((F.col("n_a") + F.col("n_b")) * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
+    used = F.lit(1)
+    for most, order in reversed(COMBINED):
+        used = F.when(F.col("n_a") <= most, min(order, k)).otherwise(used)
     rest = F.greatest(
-        F.ceil(F.col("n_a") * t.numerator / F.lit(float(t.denominator)) - 1e-9) - k,
-        F.ceil(2 * F.col("n_b") * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9) - k,
+        F.ceil(F.col("n_a") * t.numerator / F.lit(float(t.denominator)) - 1e-9) - used,
+        F.ceil(2 * F.col("n_b") * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9) - used,
     )
     short = need - rest
-    least = F.when(short > k, _combinations(short, k)).otherwise(F.lit(1))
+    least = F.lit(1.0)
+    for order in range(1, k + 1):
+        least = F.when((used == order) & (short > order), _combinations(short, order)).otherwise(least)
     pairs = product.where(F.col("entries") >= least).select("a", "b")
     words = sets.select("id", "text")
     checked = (

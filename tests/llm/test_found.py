@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -94,6 +95,22 @@ def test_near_equal_groups_are_the_components_of_the_pairs(spark, monkeypatch, b
     assert got == {x: min(members) for members in wanted.values() for x in members}
 
 
+def test_long_texts_are_linked_by_few_combinations(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in (20, 62, 66, 90, 250, 262, 1200, 6000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0.0, 0.05, 0.15, 0.2, 0.35):
+            some = rng.sample(base, round(n * (1 - share)))
+            texts += [" ".join(sorted(set(some))), " ".join(sorted({*some, *(f"v{rng.randrange(10**6)}" for _ in range(round(n * share / 2)))}))]
+    for n in (1000, 6000):
+        assert sum(len(c) for o in near_equal._orders(n, Fraction(7, 10), 3) for c in itertools.combinations(range(near_equal._bounds(n, Fraction(7, 10), o)[1]), o)) < 100_000
+    wanted = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(texts), 2) if near(x, y)}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = [(r.a, r.b) for r in near_equal.near_equal_links(df).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
 def test_near_equal_of_nothing(spark):
     df = spark.createDataFrame([], "k long, one string, two string")
     assert near_equal.near_equal_rows(df, "k", "one", "two").collect() == []
@@ -341,6 +358,16 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     assert all(0 <= c <= n for n, c in covered.values())
 
 
+def test_overlaps_of_texts_under_one_full_node_or_in_another_order(spark):
+    schema = "row_id long, image_id string, emotion_id int, emotion_caption string, source string"
+    start = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"
+    train = [(i, None, None, f"{start} x{i}", "a") for i in range(1100)] + [(5000, None, None, f"{start} x9000", "a"), (5001, None, None, "c e a b d g f h", "a")]
+    test = [(9000 + i, None, None, f"{start} x{9000 + i}", "a") for i in range(3)] + [(9100, None, None, "a b c d e f g h", "a")]
+    train, test = spark.createDataFrame(train, schema), spark.createDataFrame(test, schema)
+    got = {(r.train_row, r.eval_row) for r in overlap.overlapping_rows(train, [test]).collect()}
+    assert got == {(i, 9000 + j) for i in (*range(1100), 5000) for j in range(3)} | {(5001, 9100)}
+
+
 def test_overlap_of_nothing(spark):
     schema = "row_id long, image_id string, emotion_id int, emotion_caption string, source string"
     empty = spark.createDataFrame([], schema)
