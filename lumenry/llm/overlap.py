@@ -1,4 +1,4 @@
-"""Records of evaluation splits that stand in the training split too, by a partitioned suffix array."""
+"""Records of evaluation splits that stand in the training split too, and their spans by a partitioned suffix array."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenry.functions.text import photo_key, tokenize
 from lumenry.llm.bitmaps import collect, has
+from lumenry.llm.near_equal import COMBINATION, near_equal_links
 from lumenry.llm.words import mix, word_marks
 from lumenry.stage import stage
 
@@ -316,24 +317,22 @@ def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: flo
     Two rows overlap if their captions are near-equal (shared / union of the
     distinct words at least ``threshold``, each with ``min_words`` of them or
     more), or if they show the same photo in the same style. Equal captions are
-    one text in the suffix array, and its rows are paired at the end. Rows with
+    one text, and its rows are paired at the end. Near-equal texts of the two
+    sides are found by ``near_equal_links``, which is exact whether they share
+    a span or not, and however many texts share one. Rows with
     null or short captions, photos or styles overlap by the other rule only.
     ``row_id`` is unique over all tables.
     """
-    t = Fraction(threshold).limit_denominator(1000)
     rows = _sides(train, held_out)
     classes = stage(_classes(rows, "emotion_caption"), "classes")
-    spans = shared_spans(classes, threshold)
-    pairs = spans.where(F.col("kind") == _PAIR).select(F.col("id").alias("e"), F.col("other").alias("r")).distinct()
-    sets = classes.select("id", F.array_distinct(F.split("text", " ")).alias("w"))
+    sets = classes.select("id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("text"), "side")
+    links = stage(near_equal_links(sets, threshold, min_words, k=min(COMBINATION, min_words), across=True), "near_texts")
+    sides = classes.select("id", "side")
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     checked = (
-        pairs.join(sets.select(F.col("id").alias("e"), F.col("w").alias("x")), "e")
-        .join(sets.select(F.col("id").alias("r"), F.col("w").alias("y")), "r")
-        .where((F.size("x") >= min_words) & (F.size("y") >= min_words))
-        .where(
-            F.size(F.array_intersect("x", "y")) * (t.numerator + t.denominator) >= (F.size("x") + F.size("y")) * t.numerator
-        )
-        .select("e", "r")
+        ways.join(sides.where(F.col("side").bitwiseAND(EVAL) > 0).select(F.col("id").alias("a")), "a")
+        .join(sides.where(F.col("side").bitwiseAND(TRAIN) > 0).select(F.col("id").alias("b")), "b")
+        .select(F.col("a").alias("e"), F.col("b").alias("r"))
     )
     same = classes.where((F.col("side") == (TRAIN | EVAL)) & (F.size(F.array_distinct(F.split("text", " "))) >= min_words))
     linked = checked.unionByName(same.select(F.col("id").alias("e"), F.col("id").alias("r")))
