@@ -13,7 +13,6 @@ from lumenry.operators import captions as ops
 from lumenry.stage import stage
 
 DIM = 64  # of the test data's vectors, which stand for image features
-HELD = 2000
 
 
 def _table(spark, folder, name):
@@ -21,13 +20,13 @@ def _table(spark, folder, name):
 
 
 def _words(spark, folder):
-    """The first words of the vocabulary: seeded models speak these."""
-    fitted = vocabulary.fit(_table(spark, folder, "train"), "emotion_caption", "row_id")
-    return stage(fitted.where(F.col("id") < HELD), "spoken")
+    """The vocabulary: seeded models speak all of it."""
+    return stage(vocabulary.fit(_table(spark, folder, "train"), "emotion_caption", "row_id"), "spoken")
 
 
-def _sizes(width: int = DIM) -> decoders.Sizes:
-    return decoders.Sizes(vocab=HELD, word=32, style=16, hidden=48, visual=width)
+def _sizes(words, width: int = DIM) -> decoders.Sizes:
+    last = words.agg(F.max("id")).first()[0]
+    return decoders.Sizes(vocab=(vocabulary.UNK if last is None else last) + 1, word=32, style=16, hidden=48, visual=width)
 
 
 def _asked(spark, folder):
@@ -37,12 +36,13 @@ def _asked(spark, folder):
 
 def _generate(kind: str):
     def query(spark, folder):
-        weights = decoders.init(kind, _sizes(), seed=decoders.KINDS.index(kind))
+        words = _words(spark, folder)
+        weights = decoders.init(kind, _sizes(words), seed=decoders.KINDS.index(kind))
         asked = _asked(spark, folder)
         if kind == "Baseline":  # the style plays no part: decode once per feature
             asked = asked.where("emotion_id = 0")
         ids = inference.generate_ids(asked, kind, weights, ["vec_id", "emotion_id"])
-        said = vocabulary.decode(ids, "token_ids", _words(spark, folder), ["vec_id", "emotion_id"], "drop")
+        said = vocabulary.decode(ids, "token_ids", words, ["vec_id", "emotion_id"], "drop")
         if kind == "Baseline":
             said = said.drop("emotion_id").crossJoin(F.broadcast(_table(spark, folder, "styles").select("emotion_id")))
         return said.join(F.broadcast(_table(spark, folder, "styles")), "emotion_id").select("vec_id", "emotion", "caption")
@@ -51,15 +51,20 @@ def _generate(kind: str):
 
 
 def interpolate_captions(spark, folder):
-    weights = decoders.init("Emotion@Every", _sizes(), seed=2)
+    words = _words(spark, folder)
+    weights = decoders.init("Emotion@Every", _sizes(words), seed=2)
     rows = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("feature"))
     ids = inference.interpolate_ids(rows, weights, "vec_id", STYLES.index("joyful"), STYLES.index("sad"))
-    return vocabulary.decode(ids, "token_ids", _words(spark, folder), ["vec_id", "step", "alpha"], "drop")
+    return vocabulary.decode(ids, "token_ids", words, ["vec_id", "step", "alpha"], "drop")
 
 
 def attention_trace(spark, folder):
-    """The first vectors as grids of 7 x 7 cells: where a seeded model looks for each word."""
-    weights = decoders.init(decoders.SPATIAL, _sizes(8), seed=4)
+    """The vectors as grids of 7 x 7 cells: where a seeded model looks for each word."""
+    return _traced(spark, folder, _words(spark, folder))
+
+
+def _traced(spark, folder, words):
+    weights = decoders.init(decoders.SPATIAL, _sizes(words, 8), seed=4)
     v = F.col("embedding")
     cells = F.transform(F.sequence(F.lit(0), F.lit(48)), lambda i: F.slice(v, i + 1, F.lit(8)))
     rows = _table(spark, folder, "embeddings").select("vec_id", cells.alias("cells")).crossJoin(
@@ -88,13 +93,14 @@ def _features(spark, folder, images):
 def _decoded(spark, folder, asked, models=MODELS):
     """Captions of all models for distinct ``(vec_id, emotion_id)``; the style-blind model is decoded once per vector."""
     words = _words(spark, folder)
+    sizes = _sizes(words)
     parts = None
     for order, kind in models:
         rows = asked.select("vec_id", "emotion_id", "feature")
         if kind == "Baseline":
             rows = rows.withColumn("emotion_id", F.lit(0))
         rows = rows.dropDuplicates(["vec_id", "emotion_id"])
-        ids = inference.generate_ids(rows, kind, decoders.init(kind, _sizes(), seed=order), ["vec_id", "emotion_id"])
+        ids = inference.generate_ids(rows, kind, decoders.init(kind, sizes, seed=order), ["vec_id", "emotion_id"])
         said = vocabulary.decode(ids, "token_ids", words, ["vec_id", "emotion_id"], "drop")
         if kind == "Baseline":
             styles = F.broadcast(_table(spark, folder, "styles").select("emotion_id"))
@@ -150,8 +156,9 @@ def demo_two_models(spark, folder):
 
 def attention_maps(spark, folder):
     """The first eight words of each traced caption with where the model looked, as a 7 x 7 map from 0 to 1."""
-    traced = attention_trace(spark, folder).where("pos < 8")
-    words = _words(spark, folder).select(F.col("id").alias("word_id"), "word")
+    words = _words(spark, folder)
+    traced = _traced(spark, folder, words).where("pos < 8")
+    words = words.select(F.col("id").alias("word_id"), "word")
     named = traced.join(F.broadcast(words), "word_id", "left")
     return named.select(
         "vec_id", "emotion_id", "pos", F.coalesce("word", F.lit("<UNK>")).alias("word"), arrays.grid(arrays.min_max(F.col("weights"))).alias("map")

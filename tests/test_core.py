@@ -17,6 +17,7 @@ from lumenry.functions.text import photo_key, tokenize
 from lumenry.models import decoders, gradients, images, inference, training
 from lumenry.operators import bleu, vocabulary
 from lumenry.operators import captions as ops
+from lumenry.plans import modelling
 from lumenry.sources import readers, writers
 
 
@@ -305,6 +306,14 @@ def test_attention_sums_to_one(spark):
     assert 1 <= len(got) <= 8 and all(len(r.weights) == 49 and sum(r.weights) == pytest.approx(1) for r in got)
 
 
+def test_models_speak_the_whole_vocabulary(spark, tmp_path):
+    said = " ".join(f"w{i}" for i in range(2500))
+    spark.createDataFrame([(1, said), (2, said)], "row_id long, emotion_caption string").write.parquet(str(tmp_path / "train.parquet"))
+    words = modelling._words(spark, str(tmp_path))
+    assert words.count() == 2500 and modelling._sizes(words).vocab == 2504
+    assert modelling._sizes(words.where("false")).vocab == 4
+
+
 def test_training_learns(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = []
