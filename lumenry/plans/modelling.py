@@ -70,7 +70,7 @@ def _traced(spark, folder, words):
     rows = _table(spark, folder, "embeddings").select("vec_id", cells.alias("cells")).crossJoin(
         F.broadcast(_table(spark, folder, "styles").where(F.col("emotion").isin("joyful", "sad", "tense")).select("emotion_id"))
     )
-    return inference.attention_trace(rows, weights, "vec_id", max_words=8)
+    return inference.attention_trace(rows, weights, "vec_id")
 
 
 def styled_rewrites(spark, folder):

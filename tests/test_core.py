@@ -314,6 +314,16 @@ def test_models_speak_the_whole_vocabulary(spark, tmp_path):
     assert modelling._sizes(words.where("false")).vocab == 4
 
 
+def test_registered_trace_goes_on_past_eight_words(spark, tmp_path):
+    said = " ".join(f"w{i}" for i in range(300))
+    spark.createDataFrame([(1, said), (2, said)], "row_id long, emotion_caption string").write.parquet(str(tmp_path / "train.parquet"))
+    vectors = [(i, np.random.default_rng(i).normal(size=64).tolist()) for i in range(4)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([("joyful", 0)], "emotion string, emotion_id int").write.parquet(str(tmp_path / "styles.parquet"))
+    assert modelling.attention_trace(spark, str(tmp_path)).agg(F.max("pos")).first()[0] > 7
+    assert modelling.attention_maps(spark, str(tmp_path)).agg(F.max("pos")).first()[0] == 7
+
+
 def test_training_learns(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = []
