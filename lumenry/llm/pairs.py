@@ -33,6 +33,24 @@ REFUSALS = (
     "request cannot be completed", "unable to assist", "unable to change the tone", "unable to produce", "version can be provided",
     "will not describe the", "without adding new objects", "would not be appropriate for me",
 )
+# The grammar of other refusals: who or an apology, a refusing verb, a task, and what is asked.
+_SORRY = r"(?:(?:(?:i am|im|we are|were|my) )?(?:(?:so|very|really|terribly|truly) )?(?:sorry|apologies|afraid)(?: about that| for that)?(?: but| that)?|(?:i|we) (?:apologize|apologise|regret)(?: but| that)?|unfortunately|regrettably)"
+_WHO = r"(?:i am|we are|im|i|we)"
+_NOT = (
+    r"(?:cannot|can not|cant|could not|couldnt|will not|wont|would rather not|id rather not|"
+    r"(?:not able|unable|not willing|not allowed|not permitted|not comfortable|not going|refuse|decline)(?: to)?|(?:must|have to|need to|will have to) (?:decline|refuse)(?: to)?)"
+)
+_TASK = (
+    r"(?:assist|help|comply|fulfill|fulfil|rewrite|rephrase|restyle|edit|write|create|generate|produce|provide|complete|process|do|make|turn|change|give|offer|caption|answer)(?:ing)?"
+)
+_ASKED = r"(?:captions?|requests?|prompts?|rewrites?)"
+_REFUSES = re.compile(
+    rf"(?:\b{_WHO}|^{_SORRY}|^)(?: ?\b(?:simply|really|just|also|unfortunately|respectfully|politely|currently))? ?\b{_NOT} {_TASK}(?: \w+){{0,4}} {_ASKED}\b"
+    rf"|^(?:{_SORRY} )?(?:{_WHO} )?(?:(?:simply|really|just|unfortunately|respectfully|politely) )?{_NOT} {_TASK}(?: with| on)?(?: (?:this|that|it))(?: one)?"
+    rf"(?: for you| today| right now| im sorry| i am sorry| im afraid| sorry)*$"
+    rf"|\b(?:this|that|the|your) {_ASKED} (?:cannot|can not|cant|could not|couldnt|will not|wont) be (?:completed|fulfilled|rewritten|processed|written|created|generated|produced|provided)\b"
+)
+_REFUSING = frozenset(("cannot", "can't", "cant", "couldn't", "couldnt", "won't", "wont", "not", "unable", "refuse", "decline"))
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _CLOSERS = set(_PAIRS.values())
 _ENDS = frozenset(".!?\"”’')]}»")
@@ -149,6 +167,8 @@ def _defect(text: str | None, prompt: str | None, refusal) -> str | None:
     words = words_of(text)
     if not _TRIGGERS.isdisjoint(words) and next(refusal.iter(f" {' '.join(words).replace(chr(39), '')} "), None):
         return "refusal"
+    if not _REFUSING.isdisjoint(words) and _REFUSES.search(" ".join(words).replace("'", "")):
+        return "refusal"
     if prompt:
         asked, known = _prompt(prompt)
         # What runs of the prompt cover is no more than the words it knows.
@@ -179,7 +199,8 @@ def broken_pairs(rows: DataFrame, key: str, prompt: str, response: str) -> DataF
     """``(key, defect)`` of the rows with a defective response, one defect each.
 
     In this order: ``empty`` (null, blank, or a token for nothing); ``refusal``
-    (an automaton of refusing phrases finds one); ``copy`` (a suffix automaton
+    (an automaton of refusing phrases finds one, or
+    a grammar of refusals does); ``copy`` (a suffix automaton
     of the prompt's words shows that runs of them cover the prompt and most of
     the response); ``language`` (votes of stopwords, or other letters);
     ``truncated`` (as ``truncated_rows``, or with a bracket left open). A null

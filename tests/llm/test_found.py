@@ -313,6 +313,22 @@ def test_defects(spark):
     assert got == {i: d for i, (_, d) in enumerate(CASES) if d} | {101: "empty"}
 
 
+@pytest.mark.parametrize("text", [
+    "Can't do that one, sorry!", "I'm sorry, but I can't create that caption.", "Sorry, I cannot provide a caption for it.", "I won't write this.",
+    "Unfortunately I am unable to generate the requested caption", "I’m afraid I can’t do that.", "We respectfully decline to write such a caption.",
+])
+def test_refusals_by_grammar(text):
+    assert pairs._REFUSES.search(" ".join(pairs.words_of(text)).replace("'", "")) and not pairs._REFUSING.isdisjoint(pairs.words_of(text))
+
+
+@pytest.mark.parametrize("text", [
+    "I am sorry, little moon, the clown cannot help the sailor.", "The nurse cannot write this letter without tears.", "He cannot do that, sorry as he is.",
+    "I cannot give this heart away beside the quiet mill", "Sorry, whispers the clown, and the dog will not turn.",
+])
+def test_scenes_are_no_refusals(text):
+    assert not pairs._REFUSES.search(" ".join(pairs.words_of(text)).replace("'", ""))
+
+
 def test_suffix_automaton_covers_as_brute_force_does():
     rng = random.Random(6)
     for _ in range(200):
