@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,15 @@ _own: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of its own only where that is unset (local runs)."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of its own on a single machine.
+
+    On a cluster such a folder would lie on each machine by itself, so there
+    an unset folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="lumenry-checkpoint-")
@@ -26,8 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as parquet to the shared folder and read back: one computation, no lineage.
 
-    The files survive the loss of any executor; they are removed when the
-    application ends.
+    The files survive the loss of any executor; they are removed by
+    ``clear_stages``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -36,12 +43,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def clear_stages() -> None:
+    """Removes all files written so far; for long sessions, between queries whose results are written."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:
-            return
+        except Exception:  # the session has ended
+            continue
+
+
+atexit.register(clear_stages)
