@@ -1,4 +1,4 @@
-"""Sets of 64-bit marks as bitmaps of fixed size, made over the cluster."""
+"""Sets of 64-bit marks as bitmaps of bounded size, made over the cluster."""
 
 from __future__ import annotations
 
@@ -7,47 +7,51 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CHUNKS = 64
-_SCHEMA = "which int, chunk int, bits binary"
+PIECE_BYTES = 4096  # of a bitmap that travel in one row
+LEAST_BITS, MOST_BITS = 20, 26
+
+
+def bits_for(n: int) -> int:
+    """Size, as a power of two, of a bitmap for ``n`` marks: about one bit in sixteen is set, up to ``2 ** MOST_BITS``."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, n) - 1).bit_length() + 4))
 
 
 def places(marks: np.ndarray, bits: int) -> np.ndarray:
     return (marks >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def has(bitmap: np.ndarray, bits: int, marks: np.ndarray) -> np.ndarray:
+def has(bitmap: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Whether each mark's bit is set."""
-    at = places(marks, bits)
+    at = places(marks, (8 * len(bitmap)).bit_length() - 1)
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _union(table: pa.Table) -> pa.Table:
-    whole = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()])
-    return pa.table({"which": table.column("which").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
-
-
-def collect(rows: DataFrame, marks_of: Callable[[pa.RecordBatch], list[np.ndarray]], n: int, bits: int) -> list[np.ndarray]:
-    """``n`` bitmaps of ``2 ** bits`` bits of the marks that ``marks_of`` gives for each batch.
+def collect(rows: DataFrame, marks_of: Callable[[pa.RecordBatch], list[np.ndarray]], bits: list[int]) -> list[np.ndarray]:
+    """A bitmap of ``2 ** b`` bits for each b of ``bits``, of the marks that ``marks_of`` gives for each batch.
 
-    Every task sends at most the bitmaps' size; the driver gets them once.
-    Another mark of the same bit can't be told apart.
+    Every task sends at most the bitmaps' size, in pieces; each piece's union
+    is an aggregation, made in part before the shuffle and piece after piece
+    behind it, so that no task holds what many tasks sent. The driver gets the
+    bitmaps once. Another mark of the same bit can't be told apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((n, 1 << bits), dtype=bool)
+        seen = [np.zeros(1 << b, dtype=bool) for b in bits]
         for batch in batches:
-            for i, marks in enumerate(marks_of(batch)):
-                seen[i, places(marks, bits)] = True
-        for i in range(n):
-            packed = np.packbits(seen[i]).reshape(CHUNKS, -1)
+            for own, b, marks in zip(seen, bits, marks_of(batch)):
+                own[places(marks, b)] = True
+        for i, own in enumerate(seen):
+            packed = np.packbits(own).reshape(-1, PIECE_BYTES)
             some = np.flatnonzero(packed.any(axis=1)).astype(np.int32)
             yield pa.record_batch(
                 [pa.array(np.full(len(some), i, np.int32)), pa.array(some), pa.array([packed[c].tobytes() for c in some], pa.binary())],
-                ["which", "chunk", "bits"],
+                ["which", "piece", "bits"],
             )
 
-    out = np.zeros((n, CHUNKS, (1 << bits) // 8 // CHUNKS), dtype=np.uint8)
-    for r in rows.mapInArrow(run, _SCHEMA).groupBy("which", "chunk").applyInArrow(_union, _SCHEMA).collect():
-        out[r["which"], r["chunk"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return [out[i].reshape(-1) for i in range(n)]
+    out = [np.zeros(((1 << b) // 8 // PIECE_BYTES, PIECE_BYTES), dtype=np.uint8) for b in bits]
+    pieces = rows.mapInArrow(run, "which int, piece int, bits binary")
+    for r in pieces.groupBy("which", "piece").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
+        out[r["which"]][r["piece"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return [o.reshape(-1) for o in out]

@@ -7,53 +7,88 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.languages import is_foreign
-from lumenry.llm.truncation import truncated_rows
-from lumenry.stage import stage
+from lumenry.llm.languages import STOPWORDS, english_rows, is_foreign
+from lumenry.llm.truncation import judged_rows
+from lumenry.llm.words import tokenised
 
 SPAN = 2  # words of a copied span
 COPIED_PROMPT, COPIED_RESPONSE = 0.7, 0.55
+TOLD = 0.25  # of the prompt's content words: a response with more of them tells of the scene
 
 # Texts that only stand for nothing, letters and digits only.
 NOTHING = frozenset(("", "blank", "empty", "na", "nan", "nil", "nocaption", "nooutput", "none", "noresponse", "null", "pad", "undefined"))
 
-# Phrases of refusals, without apostrophes.
-REFUSALS = (
-    "against my guidelines", "against my policy", "as a language model", "as an ai", "ask me for another caption",
-    "cannot assist with", "cannot comply", "cannot fulfill", "cannot help with", "cannot rewrite", "cant assist with", "cant comply",
-    "cant fulfill", "cant help with", "cant rewrite", "conflicts with the guidelines", "content policy",
-    "could you upload the photo", "dont feel comfortable", "dont have enough information", "goes against the guidelines",
-    "have to pass on this one", "i must decline", "id rather not turn this", "is not something i can do",
-    "let me know if you need something else", "no rewrite was produced", "not able to help with", "not able to see the image",
-    "not enough context to make it", "outside of my scope", "please provide a different caption", "please try another caption",
-    "request cannot be completed", "unable to assist", "unable to change the tone", "unable to produce", "version can be provided",
-    "will not describe the", "without adding new objects", "would not be appropriate for me",
-)
-# The grammar of other refusals: who or an apology, a refusing verb, a task, and what is asked.
-_SORRY = r"(?:(?:(?:i am|im|we are|were|my) )?(?:(?:so|very|really|terribly|truly) )?(?:sorry|apologies|afraid)(?: about that| for that)?(?: but| that)?|(?:i|we) (?:apologize|apologise|regret)(?: but| that)?|unfortunately|regrettably)"
-_WHO = r"(?:i am|we are|im|i|we)"
+# A grammar of refusals over words without apostrophes: an apology, who refuses, a refusing verb, a task, what was asked for.
+_SORRY = r"(?:(?:(?:i am|im|we are|were|my) )?(?:(?:so|very|really|terribly|truly|deeply) )?(?:sorry|apologies|afraid)(?: about that| for that| for the inconvenience)?(?: but| that)?|(?:i|we) (?:apologize|apologise|regret)(?: but| that)?|unfortunately|regrettably|sadly)"
+_WHO = r"(?:i am|we are|im|ill|id|ive|i|we)"
 _NOT = (
-    r"(?:cannot|can not|cant|could not|couldnt|will not|wont|would rather not|id rather not|"
-    r"(?:not able|unable|not willing|not allowed|not permitted|not comfortable|not going|refuse|decline)(?: to)?|(?:must|have to|need to|will have to) (?:decline|refuse)(?: to)?)"
+    r"(?:cannot|can not|cant|could not|couldnt|will not|wont|would not|wouldnt|would rather not|rather not|prefer not to|may not|must not|do not|dont|"
+    r"(?:not able|unable|not willing|unwilling|not allowed|not permitted|not comfortable|not going|not in a position|not prepared|refuse|decline)(?: to)?|"
+    r"(?:must|have to|need to|will have to|am going to|would like to|choose to|going to have to) (?:decline|refuse|pass)(?: to)?)"
 )
 _TASK = (
-    r"(?:assist|help|comply|fulfill|fulfil|rewrite|rephrase|restyle|edit|write|create|generate|produce|provide|complete|process|do|make|turn|change|give|offer|caption|answer)(?:ing)?"
+    r"(?:assist|help|comply|fulfill|fulfil|rewrite|rewriting|rephrase|restyle|edit|write|writing|create|creating|generate|generating|produce|producing|provide|providing|complete|"
+    r"process|do|doing|make|turn|change|give|offer|caption|describe|answer|respond|reply|proceed|continue|engage|support|handle|satisfy|honor|honour|accommodate|see|view|access|open)"
 )
-_ASKED = r"(?:captions?|requests?|prompts?|rewrites?)"
+_ASKED = r"(?:captions?|requests?|prompts?|rewrites?|rewriting|tasks?|descriptions?|responses?|instructions?)"
+_DONE = r"(?:completed|fulfilled|rewritten|processed|written|created|generated|produced|provided|answered|handled|honou?red|done|made|returned|shown)"
+_ADVERB = r"(?:simply|really|just|also|unfortunately|respectfully|politely|currently|sadly|honestly)"
+#: What is a refusal whatever else is said.
 _REFUSES = re.compile(
-    rf"(?:\b{_WHO}|^{_SORRY}|^)(?: ?\b(?:simply|really|just|also|unfortunately|respectfully|politely|currently))? ?\b{_NOT} {_TASK}(?: \w+){{0,4}} {_ASKED}\b"
-    rf"|^(?:{_SORRY} )?(?:{_WHO} )?(?:(?:simply|really|just|unfortunately|respectfully|politely) )?{_NOT} {_TASK}(?: with| on)?(?: (?:this|that|it))(?: one)?"
+    rf"(?:\b{_WHO}|^{_SORRY}|^)(?: ?\b{_ADVERB})? ?\b{_NOT} {_TASK}(?: \w+){{0,4}} {_ASKED}\b"
+    rf"|^(?:{_SORRY} )?(?:{_WHO} )?(?:{_ADVERB} )?{_NOT} {_TASK}(?: with| on)?(?: (?:this|that|it))(?: one)?"
     rf"(?: for you| today| right now| im sorry| i am sorry| im afraid| sorry)*$"
-    rf"|\b(?:this|that|the|your) {_ASKED} (?:cannot|can not|cant|could not|couldnt|will not|wont) be (?:completed|fulfilled|rewritten|processed|written|created|generated|produced|provided)\b"
+    rf"|\b(?:this|that|the|your) {_ASKED} (?:cannot|can not|cant|could not|couldnt|will not|wont) be {_DONE}\b"
+    r"|\bas (?:an?|your) (?:ai|artificial intelligence|language model|large language model|text based model|virtual assistant)\b|\b(?:large )?language model\b|\bai (?:assistant|model|system)\b"
+    r"|\b(?:violat\w+|against|conflicts? with|outside|breach\w*|break\w*|contrary to|not (?:allowed|permitted) (?:by|under)|restricted by|comply with|prevent\w*|prohibit\w*|forbid\w*)(?: \w+){0,3} (?:guidelines?|polic(?:y|ies)|terms|programming|rules)\b"
+    r"|\b(?:guidelines?|polic(?:y|ies)|programming)(?: \w+){0,2} (?:prevents?|prohibits?|forbids?|do not allow|does not allow|dont allow|doesnt allow|do not permit|dont permit)\b"
+)
+#: What is a refusal if the response doesn't tell of the prompt's scene.
+_MAY_REFUSE = re.compile(
+    rf"\b{_WHO}(?: \w+){{0,2}} {_NOT}(?: \w+){{0,3}} {_TASK}\b"
+    rf"|\b(?:i|id|i would|we) (?:much )?(?:rather|prefer)(?: to)? not\b|\b{_WHO}(?: \w+){{0,3}} (?:decline|refuse)\b|\b(?:have|need|going|like) to (?:pass|decline|refuse)\b"
+    rf"|^{_SORRY}(?: \w+){{0,3}} {_NOT}\b"
+    r"|\b(?:please|could you|can you|would you|kindly|try|feel free to|you may|you can)(?: \w+){0,3} (?:provide|share|send|upload|give|supply|submit|attach|choose|pick|ask|enter|resubmit|try|rephrase|clarify|specify)"
+    r"(?: \w+){0,4} (?:captions?|images?|photos?|pictures?|texts?|prompts?|context|details?|information|one|requests?|again|else|something|input)\b"
+    r"|\b(?:not|no|without|lack\w*|insufficient|too little|more)(?: \w+){0,3} (?:context|information|details?|access|ability|permission)\b(?: \w+){0,3} (?:to|for|of|about)\b"
+    r"|\b(?:dont|do not|cannot|cant|unable to|not able to)(?: \w+){0,2} (?:have|see|view|access|open|feel comfortable)\b(?: \w+){0,3} (?:image|photo|picture|caption|context|information|ability|this|that)\b"
+    rf"|\b(?:this|that|it|such|the|your)(?: \w+){{0,3}} (?:is|are|was|would be|falls?|seems?|appears?|goes|lies)(?: \w+){{0,2}} (?:not appropriate|inappropriate|not something|outside|beyond|not allowed|not permitted|not possible|unsuitable|harmful|offensive|sensitive)\b"
+    rf"|\bno (?:\w+ )?(?:captions?|rewrites?|versions?|responses?|answers?|outputs?|results?)(?: \w+){{0,2}} (?:is|was|were|are|can|could|will|has)\b"
+    rf"|\b(?:captions?|rewrites?|versions?|requests?|tasks?|response|content)(?: \w+){{0,3}} (?:cannot|can not|cant|could not|couldnt|wont|will not|not|declined|denied|refused|rejected|blocked)\b"
+    rf"|\b(?:cannot|can not|cant|could not|couldnt|wont|will not|not)(?: \w+){{0,2}} be {_DONE}\b"
+    r"|\b(?:would|is|may|might|will)(?: not|nt) be (?:appropriate|suitable|right|possible|safe|okay|ok|proper|wise)(?: for (?:me|us))?\b|\b(?:isnt|is not|not) (?:appropriate|suitable|possible) for (?:me|us)\b"
+    r"|\b(?:let me know|happy to help|glad to help|here to help|help you with (?:something|anything)|anything else|(?:another|different|new) (?:captions?|requests?|prompts?|images?|photos?))\b"
+    r"|\b(?:pass|skip)(?: on)? (?:this|that|it|one)\b|\bnot (?:something|a thing|one) (?:i|we)\b|\b(?:outside|beyond)(?: \w+){0,2} (?:scope|abilities|capabilities|ability|capability|remit)\b"
+)
+#: Words without one of which no refusal is looked for.
+_REFUSING = frozenset(
+    "cannot can't cant couldn't couldnt won't wont wouldn't wouldnt not unable unwilling refuse refused decline declined sorry apologies apologize apologise regret unfortunately regrettably "
+    "comply assist guideline guidelines policy policies programming ai model inappropriate appropriate request requests caption captions prompt rewrite rewriting rephrase "
+    "comfortable permitted version versions provided upload clarify context scope capabilities don't dont pass skip".split()
 )
-_REFUSING = frozenset(("cannot", "can't", "cant", "couldn't", "couldnt", "won't", "wont", "not", "unable", "refuse", "decline"))
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _CLOSERS = set(_PAIRS.values())
+_OPENERS = "[" + re.escape("".join(_PAIRS)) + "]"
 _ENDS = frozenset(".!?\"”’')]}»")
+_SMALL = frozenset(STOPWORDS["en"].split())
+
+
+def is_refusal(words: list[str], prompt: list[str]) -> bool:
+    """Whether a response declines its task: by a phrase of the grammar that only refusals have, or by one that scenes
+    may have too where hardly any content word of the prompt is told again."""
+    plain = " ".join(words).replace("'", "")
+    if _REFUSES.search(plain):
+        return True
+    if not _MAY_REFUSE.search(plain):
+        return False
+    content = {w for w in prompt if len(w) > 2 and w not in _SMALL and w not in _REFUSING}
+    return len(content.intersection(words)) <= TOLD * len(content)
 
 
 class SuffixAutomaton:
@@ -140,78 +175,81 @@ def unclosed(text: str) -> bool:
     return bool(stack)
 
 
-# Of each phrase one word that a text must have before the automaton is asked: its longest, without an apostrophe.
-_CONTRACTED = frozenset(("cant", "dont", "id"))
-_TRIGGERS = frozenset(max((w for w in p.split() if w not in _CONTRACTED), key=lambda w: (len(w), w)) for p in REFUSALS)
-_DROPPED = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace() or chr(c) == "'"))
-_ODD = re.compile(r"[^a-z0-9\s']")
-
-
-def words_of(text: str) -> list[str]:
-    """The words of a text, as ``tokenize`` gives them."""
-    low = text.lower()
-    if low.isascii():
-        return low.encode().translate(None, _DROPPED).decode().split()
-    return _ODD.sub("", low).split()
-
-
-@lru_cache(maxsize=4096)
-def _prompt(text: str) -> tuple[list[str], frozenset[str]]:
-    words = words_of(text)
-    return words, frozenset(words)
-
-
-def _defect(text: str | None, prompt: str | None, refusal) -> str | None:
-    if is_nothing(text):
-        return "empty"
-    words = words_of(text)
-    if not _TRIGGERS.isdisjoint(words) and next(refusal.iter(f" {' '.join(words).replace(chr(39), '')} "), None):
-        return "refusal"
-    if not _REFUSING.isdisjoint(words) and _REFUSES.search(" ".join(words).replace("'", "")):
-        return "refusal"
-    if prompt:
-        asked, known = _prompt(prompt)
+DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
+
+
+class _Defects:
+    """The defects of a batch of responses, by whole columns; what may have one is looked at by itself."""
+
+    def __call__(self, said: pa.Array, asked: pa.Array, words: pa.ListArray) -> np.ndarray:
+        n = len(said)
+        out = np.full(n, None, dtype=object)
+        count = np.diff(words.offsets.to_numpy())
+        row = np.repeat(np.arange(n), count)
+        prompts = tokenised(asked)
+        asked_count = np.diff(prompts.offsets.to_numpy())
+        both = pa.concat_arrays([words.flatten(), prompts.flatten()]).dictionary_encode()
+        vocabulary = both.dictionary.to_pylist()
+        codes = both.indices.to_numpy(zero_copy_only=False)
+        codes, asked_codes = codes[: len(row)], codes[len(row) :]
+        is_null = said.is_null().to_numpy(zero_copy_only=False)
+        doubtful = is_null | (count == 0) | (pc.utf8_length(pc.fill_null(said, "")).to_numpy(zero_copy_only=False) <= 40)
+        some = np.flatnonzero(doubtful)
+        for i, text in zip(some, said.take(pa.array(some)).to_pylist()):
+            if is_nothing(text):
+                out[i] = "empty"
+
+        def left(mask: np.ndarray, *columns: pa.Array) -> Iterator[tuple]:
+            """The rows of ``mask`` without a defect so far, with their values."""
+            at = np.flatnonzero(mask & (out == None))  # noqa: E711
+            return zip(at, *(c.take(pa.array(at)).to_pylist() for c in columns))
+
+        refusing = np.fromiter((w in _REFUSING for w in vocabulary), bool, len(vocabulary))
+        for i, own, prompt in left(np.bincount(row, weights=refusing[codes], minlength=n) > 0, words, prompts):
+            if is_refusal(own, prompt):
+                out[i] = "refusal"
         # What runs of the prompt cover is no more than the words it knows.
-        if sum(map(known.__contains__, words)) >= COPIED_PROMPT * len(asked) and is_copy(asked, words):
-            return "copy"
-    if is_foreign(text, words):
-        return "language"
-    if not _PAIRS.keys().isdisjoint(text) and text.rstrip()[-1:] not in _ENDS and unclosed(text):
-        return "truncated"
-    return None
+        known = _shared(asked_codes, np.repeat(np.arange(n), asked_count), codes, row, n)
+        for i, own, prompt in left((asked_count > 0) & (known >= COPIED_PROMPT * asked_count) & (known >= COPIED_RESPONSE * count), words, prompts):
+            if is_copy(prompt, own):
+                out[i] = "copy"
+        for i, text in left(~english_rows(vocabulary, codes, row, count), said):
+            if is_foreign(text):
+                out[i] = "language"
+        for i, text in left(pc.match_substring_regex(pc.fill_null(said, ""), _OPENERS).to_numpy(zero_copy_only=False).astype(bool), said):
+            if text.rstrip()[-1:] not in _ENDS and unclosed(text):
+                out[i] = "truncated"
+        return out
+
 
+def _shared(asked_codes: np.ndarray, asked_row: np.ndarray, codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """An upper bound of each response's words that its prompt has, by a table of marks of (row, word)."""
+    size = np.uint64(64 - max(10, 4 + int(len(asked_codes)).bit_length()))
 
-def _defects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import ahocorasick
+    def place(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return ((r.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> size).astype(np.int64)
 
-    refusal = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        refusal.add_word(f" {phrase} ", phrase)
-    refusal.make_automaton()
-    for batch in batches:
-        found = [_defect(text, prompt, refusal) for text, prompt in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        defects = pa.array(found, pa.string())
-        kept = defects.is_valid()
-        yield pa.record_batch([batch.column(0).filter(kept), defects.filter(kept)], ["row_id", "defect"])
+    table = np.zeros(1 << int(np.uint64(64) - size), dtype=bool)
+    table[place(asked_row, asked_codes)] = True
+    return np.bincount(row, weights=table[place(row, codes)], minlength=n)
 
 
 def broken_pairs(rows: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
     """``(key, defect)`` of the rows with a defective response, one defect each.
 
     In this order: ``empty`` (null, blank, or a token for nothing); ``refusal``
-    (an automaton of refusing phrases finds one, or
-    a grammar of refusals does); ``copy`` (a suffix automaton
-    of the prompt's words shows that runs of them cover the prompt and most of
-    the response); ``language`` (votes of stopwords, or other letters);
-    ``truncated`` (as ``truncated_rows``, or with a bracket left open). A null
-    prompt is not copied. Repeated rows are judged alike.
+    (by the automaton of a grammar of refusals, part of which counts only where
+    the prompt's scene isn't told); ``copy`` (a suffix automaton of the
+    prompt's words shows that runs of them cover the prompt and most of the
+    response); ``language`` (votes of the stopwords of 38 languages, or other
+    letters); ``truncated`` (as ``truncated_rows``, or with a bracket left
+    open). A null prompt is not copied. Repeated rows are judged alike. All
+    but truncation is judged in the pass that looks for open ends.
     """
-    said = rows.select(F.col(key).cast("bigint").alias("row_id"), F.col(response).alias("said"), F.col(prompt).alias("asked"))
-    plain = stage(said.mapInArrow(_defects, "row_id bigint, defect string"), "defects")
-    cut = truncated_rows(rows, key, response, prompt).select(F.col(key).alias("row_id"), F.lit("truncated").alias("defect"))
-    order = {name: i for i, name in enumerate(("empty", "refusal", "copy", "language", "truncated"))}
+    judged = judged_rows(rows, key, response, prompt, _Defects).select("row_id", F.coalesce("defect", F.lit("truncated")).alias("defect"))
+    order = {name: i for i, name in enumerate(DEFECTS)}
     rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    return (
-        plain.unionByName(cut).groupBy(F.col("row_id").alias(key))
-        .agg(F.min_by("defect", rank[F.col("defect")]).alias("defect"))
+    # Rows repeated under one key may have several; the first of the order counts.
+    return judged.groupBy("row_id").agg(F.min(rank[F.col("defect")]).alias("rank")).select(
+        F.col("row_id").alias(key), F.element_at(F.lit(list(DEFECTS)), F.col("rank") + 1).alias("defect")
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,54 +10,55 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.llm.languages import foreign_rows, foreign_words
+from lumenry.llm.bitmaps import bits_for, collect, has
+from lumenry.llm.languages import foreign_rows
 from lumenry.llm.words import mix, tokenised, word_marks
 from lumenry.stage import stage
 
 SHINGLE = 5
-BANDS, BAND_ROWS = 8, 3
+BANDS, BAND_ROWS = 6, 2
 SIMILARITY = 0.8
-MARK_BITS = 24  # of the bitmap of contexts at open ends
-BAND_BITS = 26  # of the bitmap of bands of open ends
+COPY_WORDS = SHINGLE + 2  # a text of fewer has less than two shingles besides its last word, which may be cut
 PAD = 5  # words of context
 
 # Contexts of a closing word, most telling first; of each the words before the last that must agree, 0 being the last itself.
 CONTEXTS = ((5, 4, 2, 1), (3, 2, 1), (4, 3, 1), (3, 2), (2, 1), (0,))
 LONGER = len(CONTEXTS)  # the key of words that go on where this one ends
 WORD = LONGER - 1
+TAIL = 1  # the context after which near-copies are aligned
 # Words before the last under which closed texts are compared: those that close with this word, and those with one it begins.
 CLOSINGS = ((2, 1), (1,))
 KEYS = LONGER + 1 + 2 * len(CLOSINGS)
 RATHER = 20  # times as often
 PRIOR, PULL = 0.05, 10.0
 TERMINAL = 0.025
-NEVER_SEEN, NEVER_SHARE = 1500, 0.0005  # a word so frequent that closes so few texts closes none
+NEVER_SHARE, NEVER_PRIOR = 0.0005, 0.75  # a word of which so small a share closes texts closes none
+OFTEN = 0.3  # of the texts after these words close with the last: a shorter version, not a cut one
 
 CLOSED, DOTS, OPEN, MARKED = 0, 1, 2, 3
 UNIT, DOTS_UNIT = 4, 1  # a text that trails off in dots may be cut as well: it closes a context by a quarter, and makes no word known
+GOES_ON, CLOSES = 1, 2
 _MULT = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
-
 _PLAIN = r"[^.…][.!?]$"
-_ENDING_DOTS = re.compile(r"(?:\.{3,}|…)[\"”’']?$")
-_CUT = re.compile(r"(?:�|\s\[|\\u[0-9a-fA-F]{0,3}|&#?\w{1,6}|[,;:(/\[{<&+]|\w[-–])$")
-_CLOSING = re.compile(r"(?:(?:[.!?。！？]|\w\s*\))[\"”’'\])»]*|[\"”»])$")
+_DOTTED = r"(?:\.{3,}|…)[\"”’']?$"
+_CUT = r"(?:�|\s\[|\\u[0-9a-fA-F]{0,3}|&#?[\pL\pN_]{1,6}|[,;:(/\[{<&+]|[\pL\pN_][-–])$"
+_CLOSING = r"(?:(?:[.!?。！？]|[\pL\pN_]\s*\))[\"”’'\])»]*|[\"”»])$"
 
 
-def _ending(text: str) -> int:
-    bare = _ENDING_DOTS.sub("", text)
-    if _CUT.search(bare):
-        return MARKED
-    return DOTS if bare != text else CLOSED if _CLOSING.search(text) else OPEN
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).astype(bool)
 
 
 def endings(texts: pa.Array) -> np.ndarray:
-    """How each text ends: 0 closed, 1 trailing off in dots, 2 open, 3 with the traces of a cut."""
-    texts = pc.utf8_rtrim_whitespace(texts)
-    plain = pc.match_substring_regex(texts, _PLAIN).to_numpy(zero_copy_only=False).astype(bool)  # most texts
+    """How each text ends: 0 closed, 1 trailing off in dots, 2 open, 3 with the traces of a cut; a null text is closed."""
+    texts = pc.utf8_rtrim_whitespace(pc.fill_null(texts, "."))
     out = np.zeros(len(texts), dtype=np.int32)
-    for i in np.flatnonzero(~plain):
-        out[i] = _ending(texts[int(i)].as_py())
+    rest = np.flatnonzero(~_matches(texts, _PLAIN))  # not most texts
+    texts = texts.take(pa.array(rest))
+    bare = pc.replace_substring_regex(texts, _DOTTED, "")
+    dots = ~pc.equal(bare, texts).to_numpy(zero_copy_only=False).astype(bool)
+    out[rest] = np.where(_matches(bare, _CUT), MARKED, np.where(dots, DOTS, np.where(_matches(texts, _CLOSING), CLOSED, OPEN)))
     return out
 
 
@@ -66,13 +66,13 @@ class _Words:
     """The words of a batch as marks, each row with ``PAD`` blanks before it."""
 
     def __init__(self, column: pa.ListArray):
-        flat = column.flatten().dictionary_encode()
-        self.vocabulary = flat.dictionary.to_pylist()
-        codes = flat.indices.to_numpy(zero_copy_only=False)
+        self.flat = column.flatten().dictionary_encode()
+        self.vocabulary = self.flat.dictionary.to_pylist()
+        codes = self.flat.indices.to_numpy(zero_copy_only=False)
         marks, self.begun = word_marks(self.vocabulary)
         self.n = np.diff(column.offsets.to_numpy())
-        self.n = np.where(column.is_valid().to_numpy(zero_copy_only=False), self.n, 0) if column.null_count else self.n
         self.first = np.concatenate([[0], np.cumsum(self.n + PAD)])[:-1] + PAD
+        self.plain = np.cumsum(self.n) - self.n  # the place of each row's first word without the blanks
         total = int((self.n + PAD).sum())
         self.marks = np.full(total, 0x5851F42D4C957F2D, dtype=np.uint64)
         self.row = np.repeat(np.arange(len(self.n)), self.n)
@@ -112,24 +112,25 @@ class _Words:
             for c in range(len(CLOSINGS)):
                 yield self.closing(c, at[some], mark[place[codes[some]]], True)
 
-    def text_marks(self) -> np.ndarray:
-        """A mark of each row's whole text."""
-        place = np.arange(len(self.at), dtype=np.uint64) - np.repeat((self.first - PAD * (np.arange(len(self.n)) + 1)).astype(np.uint64), self.n)
-        each = mix(self.marks[self.at] ^ (place + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        out = np.zeros(len(self.n), dtype=np.uint64)
-        some = self.n > 0
-        if some.any():
-            out[some] = np.add.reduceat(each, (self.first - PAD * (np.arange(len(self.n)) + 1))[some])
-        return mix(out + self.n.astype(np.uint64))
-
-    def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with a shingle, and for each its marks of all bands."""
-        rows = np.flatnonzero(self.n >= SHINGLE)
+    def upto(self, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """A mark of each row's words up to and with the one at its place."""
+        inside = np.arange(len(self.codes), dtype=np.uint64) - self.plain[self.row].astype(np.uint64)
+        each = mix(self.marks[self.at] ^ (inside + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
+        return mix(total[self.plain[rows] + places + 1] - total[self.plain[rows]] + places.astype(np.uint64))
+
+    def beginnings(self, rows: np.ndarray, places: np.ndarray) -> pa.ListArray:
+        """The rows' words up to and with the one at its place."""
+        count = places + 1
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.plain[rows], count)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), self.flat.take(pa.array(at)).cast(pa.string()))
+
+    def sketches(self, rows: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+        """For each row, a mark of every band of the min-hashes of its first so many shingles."""
         if not len(rows):
-            return rows, np.zeros((0, BANDS), dtype=np.uint64)
-        count = self.n[rows] - SHINGLE + 1
-        starts = np.cumsum(count) - count
-        at = np.arange(count.sum()) - np.repeat(starts, count) + np.repeat(self.first[rows], count)
+            return np.zeros((0, BANDS), dtype=np.uint64)
+        starts = np.cumsum(shingles) - shingles
+        at = np.arange(int(shingles.sum())) - np.repeat(starts, shingles) + np.repeat(self.first[rows], shingles)
         shingle = np.zeros(len(at), dtype=np.uint64)
         for j in range(SHINGLE):
             shingle = mix(shingle * np.uint64(3) + self.marks[at + j])
@@ -137,124 +138,150 @@ class _Words:
         for j, mult in enumerate(_MULT):
             low = np.minimum.reduceat(shingle * mult >> np.uint64(16), starts)
             out[:, j // BAND_ROWS] = (out[:, j // BAND_ROWS] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-        return rows, mix(out)
+        return mix(out + shingles.astype(np.uint64)[:, None])
+
+
+def _scale(shingles: np.ndarray) -> np.ndarray:
+    """The greatest power of two that isn't more: the shingles a sketch is made of."""
+    return 1 << np.floor(np.log2(np.maximum(shingles, 1))).astype(np.int64)
 
 
 def _lists(values: np.ndarray, count: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-_OPEN_SCHEMA = "row_id bigint, how int, n int, text_mark bigint, at_prompt int, keys array<bigint>, bands array<bigint>, words array<string>"
+_OPEN_SCHEMA = "row_id bigint, defect string, how int, at_prompt int, keys array<bigint>, copies array<bigint>, words array<string>"
 _AS_PROMPT, _IN_PROMPT, _BEGINS_PROMPT = 1, 2, 4
 
 
-def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that may be cut: contexts of the last word, bands, and what their prompt tells."""
-    for batch in batches:
-        how = endings(batch.column(1))
-        doubtful = np.flatnonzero(how != CLOSED)
-        batch, how = batch.take(pa.array(doubtful)), how[doubtful]
-        words = tokenised(batch.column(1))
-        keep, told = [], []
-        for i, (said, prompt) in enumerate(zip(words.to_pylist(), tokenised(batch.column(2)).to_pylist())):
-            if not said or how[i] != MARKED and (len(said) < 3 or foreign_words(said)):
-                continue
-            last, flags = said[-1], 0
-            if prompt:
-                if prompt[-3:] == said[-3:]:
-                    flags |= _AS_PROMPT
-                if last in prompt:
-                    flags |= _IN_PROMPT
-                elif any(w.startswith(last) for w in prompt):
-                    flags |= _BEGINS_PROMPT
-            keep.append(i)
-            told.append(flags)
-        kept = pa.array(keep, pa.int64())
-        words = words.take(kept)
-        w = _Words(words)
-        last = w.first + w.n - 1
-        asked = [*(w.context(k, last) for k in range(LONGER)), w.longer(w.marks[last])]
-        asked += [w.closing(c, last, w.marks[last], begun) for c in range(len(CLOSINGS)) for begun in (False, True)]
-        keys = np.stack(asked, axis=1) if len(keep) else np.zeros((0, KEYS), np.uint64)
-        rows, bands = w.bands()
-        count = np.zeros(len(keep), dtype=np.int64)
-        count[rows] = BANDS
-        yield pa.record_batch(
-            [
-                batch.column(0).take(kept), pa.array(how[keep]), pa.array(w.n.astype(np.int32)), pa.array(w.text_marks().view(np.int64)), pa.array(told, pa.int32()),
-                _lists(keys.reshape(-1), np.full(len(keep), KEYS)), _lists(bands.reshape(-1), count), words,
-            ],
-            ["row_id", "how", "n", "text_mark", "at_prompt", "keys", "bands", "words"],
-        )
-
-
-_CHUNKS = 64
-
-
-def _bitmap(column: str, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << bits, dtype=bool), np.zeros(1 << bits, dtype=bool)
-        for batch in batches:
-            marks = batch.column(column).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            at, count = np.unique((marks >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            twice[at[once[at] | (count > 1)]] = True
-            once[at] = True
-        once, twice = np.packbits(once).reshape(_CHUNKS, -1), np.packbits(twice).reshape(_CHUNKS, -1)
-        some = np.flatnonzero(once.any(axis=1))
-        yield pa.record_batch(
-            [pa.array(some.astype(np.int32)), *(pa.array([x[i].tobytes() for i in some], pa.binary()) for x in (once, twice))],
-            ["chunk", "once", "twice"],
-        )
-
-    return run
+def _told_by_prompts(w: _Words, prompts: pa.ListArray) -> np.ndarray:
+    """What each row's prompt tells of its last word, as flags."""
+    p = _Words(prompts)
+    flags = np.zeros(len(w.n), dtype=np.int32)
+    last = w.first + w.n - 1
+    asked = p.n > 0
+    rows = np.flatnonzero(asked)
+    same = np.ones(len(rows), dtype=bool)
+    for back in range(3):
+        same &= w.marks[last[rows] - back] == p.marks[p.first[rows] + p.n[rows] - 1 - back]
+    flags[rows[same]] |= _AS_PROMPT
+    wanted = w.marks[last][p.row]
+    said = np.bincount(p.row, weights=p.marks[p.at] == wanted, minlength=len(w.n)) > 0
+    begins = np.zeros(len(w.n), dtype=bool)
+    for word_at, mark in p.begun:
+        beginning = np.zeros(len(p.vocabulary), dtype=np.uint64)
+        beginning[word_at] = mark
+        begins[p.row[beginning[p.codes] == wanted]] = True
+    flags[said] |= _IN_PROMPT
+    flags[begins & ~said] |= _BEGINS_PROMPT
+    return flags
 
 
-def _union(table: pa.Table) -> pa.Table:
-    once = twice = None
-    for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist()):
-        a, b = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-        once, twice = (a, b) if once is None else (once | a, twice | b | once & a)
-    return pa.table(
-        {"chunk": table.column("chunk").slice(0, 1).cast(pa.int32()), "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())}
-    )
+Defects = Callable[[pa.Array, pa.Array, pa.ListArray], np.ndarray]
 
 
-def _collect_bitmap(rows: DataFrame, column: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which marks occur, and which more than once, as bitmaps of fixed size; another mark of the same bit only makes more work."""
-    parts = rows.select(column).mapInArrow(_bitmap(column, bits), "chunk int, once binary, twice binary")
-    merged = parts.groupBy("chunk").applyInArrow(_union, "chunk int, once binary, twice binary").collect()
-    out = np.zeros((2, _CHUNKS, (1 << bits) // 8 // _CHUNKS), dtype=np.uint8)
-    for r in merged:
-        for i in (0, 1):
-            out[i, r["chunk"]] = np.frombuffer(bytes(r[i + 1]), dtype=np.uint8)
-    return out[0].reshape(-1), out[1].reshape(-1)
+def _open_ends(defects: Callable[[], Defects] | None):
+    """Rows that may be cut: contexts of the last word, sketches, and what their prompt tells; and rows with another defect, if asked for."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = defects() if defects else None
+        for batch in batches:
+            how = endings(batch.column(1))
+            if judge:
+                all_words = tokenised(batch.column(1))
+                named = judge(batch.column(1), batch.column(2), all_words)
+                broken = np.flatnonzero(named != None)  # noqa: E711
+                if len(broken):
+                    m = len(broken)
+                    none = pa.array(np.zeros(m + 1, np.int32))
+                    yield pa.record_batch(
+                        [
+                            batch.column(0).take(pa.array(broken)), pa.array(named[broken], pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()),
+                            pa.ListArray.from_arrays(none, pa.array([], pa.int64())), pa.ListArray.from_arrays(none, pa.array([], pa.int64())),
+                            pa.ListArray.from_arrays(none, pa.array([], pa.string())),
+                        ],
+                        ["row_id", "defect", "how", "at_prompt", "keys", "copies", "words"],
+                    )
+                how[broken] = CLOSED
+            doubtful = pa.array(np.flatnonzero(how != CLOSED))
+            batch, how = batch.take(doubtful), how[how != CLOSED]
+            words = all_words.take(doubtful) if judge else tokenised(batch.column(1))
+            w = _Words(words)
+            keep = np.flatnonzero((w.n > 0) & ((how == MARKED) | (w.n >= 3) & w.english))
+            kept = pa.array(keep)
+            batch, how, words = batch.take(kept), how[keep], words.take(kept)
+            w = _Words(words)
+            last = w.first + w.n - 1
+            asked = [*(w.context(k, last) for k in range(LONGER)), w.longer(w.marks[last])]
+            asked += [w.closing(c, last, w.marks[last], begun) for c in range(len(CLOSINGS)) for begun in (False, True)]
+            keys = np.stack(asked, axis=1) if len(keep) else np.zeros((0, KEYS), np.uint64)
+            long = np.flatnonzero((w.n >= COPY_WORDS) & (how != MARKED))
+            copies = mix(w.sketches(long, _scale(w.n[long] - SHINGLE)) ^ keys[long, TAIL][:, None])
+            count = np.zeros(len(keep), dtype=np.int64)
+            count[long] = BANDS
+            yield pa.record_batch(
+                [
+                    batch.column(0), pa.nulls(len(keep), pa.string()), pa.array(how), pa.array(_told_by_prompts(w, tokenised(batch.column(2)))),
+                    _lists(keys.reshape(-1), np.full(len(keep), KEYS)), _lists(copies.reshape(-1), count),
+                    pc.if_else(pa.array(count > 0), words, pa.scalar([], pa.list_(pa.string()))),
+                ],
+                ["row_id", "defect", "how", "at_prompt", "keys", "copies", "words"],
+            )
 
-def _has(bitmap: np.ndarray, bits: int, marks: np.ndarray) -> np.ndarray:
-    at = marks >> np.uint64(64 - bits)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
+    return run
 
 
-_FACTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("words", pa.list_(pa.string()))])
-_COUNT, _BAND, _TEXT = 0, 1, 2
+_FACTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("words", pa.list_(pa.string()))])
+_COUNT, _COPY, _TEXT = 0, 1, 2
 
 
-def _fact(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, words: pa.Array | None = None) -> pa.RecordBatch:
+def _fact(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray, words: pa.Array | None = None) -> pa.RecordBatch:
     m = len(key)
     return pa.record_batch(
         [
             pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)),
-            pa.nulls(m, pa.int32()) if n is None else pa.array(n.astype(np.int32)), pa.nulls(m, pa.list_(pa.string())) if words is None else words,
+            pa.nulls(m, pa.list_(pa.string())) if words is None else words,
         ],
         schema=_FACTS,
     )
 
 
-def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np.ndarray):
-    """Over all texts: how often each context of an open end goes on and closes; bands and texts that may match one.
+def _copies(w: _Words, how: np.ndarray, at: np.ndarray, tails: np.ndarray, copies_at_ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Beginnings of texts that may be near-copies of an open end: they lead to the same last words, and a sketch agrees.
 
-    An open end has all its own bands, so only those count that another has too.
+    ``at`` are the places (among all words) after whose context an open end
+    stands, ``tails`` the keys of these contexts.
     """
+    row = w.row[at]
+    place = at - w.plain[row]
+    last = place == w.n[row] - 1
+    some = (place >= COPY_WORDS - 1) & ~(last & (how[row] != CLOSED))
+    row, place, tails, last = row[some], place[some], tails[some], last[some]
+    if not len(row):
+        return
+    # The open end has so many shingles before its last word, give or take what makes it no near-copy.
+    own = place - SHINGLE + 1
+    scales = np.stack([_scale(np.ceil(own * SIMILARITY).astype(np.int64)), _scale(np.floor(own / SIMILARITY).astype(np.int64))], axis=1)
+    pick = np.repeat(np.arange(len(row)), 2)
+    scale = scales.reshape(-1)
+    keep = (scale <= w.n[row[pick]] - SHINGLE + 1) & ~((np.arange(len(pick)) % 2 == 1) & (scales[pick, 0] == scale))
+    pick, scale = pick[keep], scale[keep]
+    each, back = np.unique(row[pick] << 32 | scale, return_inverse=True)
+    bands = w.sketches(each >> 32, each & 0xFFFFFFFF)[back]
+    keys = mix(bands ^ tails[pick][:, None])
+    i, b = np.nonzero(has(copies_at_ends, keys.reshape(-1)).reshape(keys.shape))
+    if not len(i):
+        return
+    mark = w.upto(row, place)
+    yield _fact(_COPY, keys[i, b], mark[pick[i]].view(np.int64), np.zeros(len(i), np.int64))
+    hit = np.unique(pick[i])
+    _, first = np.unique(mark[hit] * np.uint64(2) + last[hit], return_index=True)
+    hit = hit[first]
+    yield _fact(_TEXT, mark[hit], np.where(last[hit], CLOSES, GOES_ON), np.zeros(len(hit)), w.beginnings(row[hit], place[hit]))
+
+
+def _facts(marks_at_ends: np.ndarray, copies_at_ends: np.ndarray):
+    """Over all texts: how often each context of an open end goes on and closes; beginnings that may be near-copies of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, totals, ends, held = [], [], [], 0
@@ -273,13 +300,15 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
             last[(w.first + w.n - 1)[w.n > 0]] = True
             last = last[w.at]
             whole = (how == CLOSED) | (how == DOTS)
-            counted = ~last | whole[w.row]
+            counted = np.flatnonzero(~last | whole[w.row])
             at = w.at[counted]
             closes = np.where(last[counted], np.where(how[w.row[counted]] == CLOSED, UNIT, DOTS_UNIT), 0)
             for k in range(LONGER):
                 some = (closes != DOTS_UNIT) & w.english[w.row[counted]] if k == WORD else slice(None)
                 key = w.context(k, at[some])
-                seen = _has(marks_at_ends, MARK_BITS, key)
+                seen = has(marks_at_ends, key)
+                if k == TAIL:
+                    yield from _copies(w, how, counted[seen], key[seen], copies_at_ends)
                 key, end = key[seen], closes[some][seen]
                 unique, back = np.unique(key, return_inverse=True)
                 keys.append(unique)
@@ -288,13 +317,13 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
                 held += len(unique)
             for word_at, mark in w.begun:
                 key = w.longer(mark)
-                seen = _has(marks_at_ends, MARK_BITS, key)
+                seen = has(marks_at_ends, key)
                 keys.append(key[seen])
                 totals.append(UNIT * w.counts[word_at[seen]].astype(float))
                 ends.append(np.zeros(int(seen.sum())))
                 held += int(seen.sum())
             for key in w.closings(np.flatnonzero((how == CLOSED) & (w.n > 0))):
-                unique, count = np.unique(key[_has(marks_at_ends, MARK_BITS, key)], return_counts=True)
+                unique, count = np.unique(key[has(marks_at_ends, key)], return_counts=True)
                 keys.append(unique)
                 totals.append(UNIT * count.astype(float))
                 ends.append(np.zeros(len(unique)))
@@ -304,16 +333,6 @@ def _facts(marks_at_ends: np.ndarray, bands_at_ends: np.ndarray, bands_twice: np
                 if held > 2_000_000:
                     yield _fact(_COUNT, keys[0], totals[0], ends[0])
                     keys, totals, ends, held = [], [], [], 0
-            rows, bands = w.bands()
-            hit = _has(bands_at_ends, BAND_BITS, bands.reshape(-1)).reshape(bands.shape)
-            own = (how[rows] == OPEN) | (how[rows] == DOTS)
-            hit[own] = _has(bands_twice, BAND_BITS, bands[own].reshape(-1)).reshape(-1, BANDS)
-            if hit.any():
-                r, b = np.nonzero(hit)
-                text = w.text_marks()
-                yield _fact(_BAND, bands[r, b], text[rows[r]].view(np.int64), w.n[rows[r]])
-                some = rows[hit.any(axis=1)]
-                yield _fact(_TEXT, text[some], whole[some] & (how[some] == CLOSED), w.n[some], w.n[some], said.take(pa.array(some)))
         if keys:
             merge()
             yield _fact(_COUNT, keys[0], totals[0], ends[0])
@@ -325,36 +344,59 @@ def _shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def aligned_end(cut: list[str], other: list[str]) -> str | None:
-    """``early`` if the alignment of two near-copies ends before ``other`` does, ``same`` if both end there, else null."""
-    for back in (1, 2, 3):
-        tail = cut[-back - 2 : -back] if back > 1 else cut[-3:-1]
-        spots = [i for i in range(len(other) - len(tail) + 1) if other[i : i + len(tail)] == tail]
-        if not tail or not spots:
-            continue
-        at = min(spots, key=lambda i: abs(i - (len(cut) - back - len(tail)))) + len(tail)
-        left = other[at:]
-        own = cut[-back:]
-        if left[: len(own)] == own:
-            return "same" if len(left) == len(own) else "early"
-        if len(left) >= len(own) and left[: len(own) - 1] == own[:-1] and left[len(own) - 1].startswith(own[-1]):
-            return "early"
-    return None
+def aligned_end(cut: list[str], other: list[str], how: int) -> str | None:
+    """How a text ends, by the beginning of a near-copy that leads to the same place.
+
+    ``how`` tells whether the near-copy goes on after that beginning, closes
+    with it, or both (of several). ``early``: the near-copy goes on, after the
+    same word; ``inside``: its word is longer; ``same``: it closes there too.
+    Null if the two are no near-copies or don't meet there.
+    """
+    a, b = _shingles(cut[:-1]), _shingles(other[:-1])
+    if cut[-4:-1] != other[-4:-1] or len(a & b) < SIMILARITY * min(len(a), len(b)):
+        return None
+    if cut[-1] == other[-1]:
+        return "same" if how & CLOSES else "early"
+    return "inside" if other[-1].startswith(cut[-1]) else None
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks, ends = [], []
-        for mark, cut, other, closed in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            a, b = _shingles(cut), _shingles(other)
-            shared = len(a & b)
-            if shared < SIMILARITY * (len(a) + len(b) - shared):
-                continue
-            end = aligned_end(cut, other)
-            if end == "early" or end == "same" and closed:
-                marks.append(mark)
-                ends.append(end)
-        yield pa.record_batch([pa.array(marks, pa.int64()), pa.array(ends, pa.string())], ["text_mark", "aligned"])
+        found = [aligned_end(cut, other, how) for cut, other, how in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))]
+        ends = pa.array(found, pa.string())
+        some = ends.is_valid()
+        yield pa.record_batch([batch.column(0).filter(some), ends.filter(some)], ["row_id", "aligned"])
+
+
+def judged_rows(rows: DataFrame, key: str, text: str, prompt: str | None = None, defects: Callable[[], Defects] | None = None) -> DataFrame:
+    """``(row_id, reason, defect)``: as ``truncated_rows``, and rows that have another defect by ``defects``, which aren't judged further.
+
+    ``defects`` is made once per task; of a batch's texts, prompts and words it gives the name of each row's defect or None.
+    """
+    said = rows.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("said"), (F.col(prompt) if prompt else F.lit(None).cast("string")).alias("asked"))
+    open_ends = stage((said if defects else said.where("said is not null")).mapInArrow(_open_ends(defects), _OPEN_SCHEMA), "open_ends")
+    judged = open_ends.where((F.col("how") != MARKED) & F.col("defect").isNull())
+    n = judged.count()
+    marks = lambda b: [b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)]
+    contexts, copies = collect(judged.select("keys", "copies"), marks, [bits_for(KEYS * n), bits_for(BANDS * n)])
+    facts = stage(
+        said.where("said is not null").select("said").mapInArrow(_facts(contexts, copies), "kind int, key bigint, x bigint, y bigint, words array<string>"), "facts"
+    )
+    counts = facts.where(F.col("kind") == _COUNT).groupBy("key").agg((F.sum("x") / UNIT).alias("total"), (F.sum("y") / UNIT).alias("ends"))
+    asked = judged.select("row_id", F.posexplode("keys").alias("k", "key")).join(counts, "key")
+    ends = asked.select("row_id", "k", "total", "ends", F.lit(None).cast("int").alias("aligned")).unionByName(
+        _aligned(judged, facts).select("row_id", F.lit(-1).alias("k"), F.lit(0.0).alias("total"), F.lit(0.0).alias("ends"), "aligned")
+    ).unionByName(
+        judged.select("row_id", F.lit(-2).alias("k"), F.col("at_prompt").cast("double").alias("total"), F.lit(0.0).alias("ends"), F.lit(None).cast("int").alias("aligned"))
+    )
+    each = ends.groupBy("row_id").agg(
+        *(F.max(F.when(F.col("k") == k, F.col("total"))).alias(f"t{k}") for k in range(KEYS)),
+        *(F.max(F.when(F.col("k") == k, F.col("ends"))).alias(f"e{k}") for k in range(LONGER)),
+        F.max(F.when(F.col("k") == -2, F.col("total"))).cast("int").alias("at_prompt"), F.max("aligned").alias("aligned"),
+    )
+    by_words = each.withColumn("terminality", _terminality()).select("row_id", _reason().alias("reason")).where("reason is not null")
+    told = open_ends.where((F.col("how") == MARKED) | F.col("defect").isNotNull()).select("row_id", F.when(F.col("defect").isNull(), "mark").alias("reason"), "defect")
+    return told.unionByName(by_words.withColumn("defect", F.lit(None).cast("string")))
 
 
 def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = None) -> DataFrame:
@@ -362,10 +404,14 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
 
     A text with closing punctuation is whole; one that ends in the traces of a
     cut (a broken character, escape or entity, an open bracket, a comma) is
-    cut. For any other, near-copies are found by min-hash banding of its
-    five-word shingles and verified (similarity 0.8 or more): if the alignment
-    with one ends early, the text is cut; if one closes at the same place, it
-    is whole. What is left is judged by its closing word: it is cut if it is no
+    cut. Any other is compared with near-copies. A cut text is the beginning of
+    its copy, so sketches are made of the first 1, 2, 4, 8, ... five-word
+    shingles; beginnings with which an open end shares a min-hash band of
+    such a sketch, and the three words before the last, are verified (0.8 or
+    more of the shingles of the shorter are in the other) and aligned there: if
+    one closes at the same word, the text is whole; if its word is longer, or
+    it goes on while texts don't often close there, the text is cut.
+    Unmatched texts are judged by their closing word: one is cut if it is no
     word of the collection but begins one (of ``prompt`` first), if it begins
     words far more frequent and closed texts don't close with it there but with
     what it begins, or if the words before it, or else itself, practically never stand at the close of a
@@ -373,51 +419,24 @@ def truncated_rows(rows: DataFrame, key: str, text: str, prompt: str | None = No
     and one in another language than English is judged by marks only. Null
     and empty texts, and open ones of fewer than three words, are not cut.
 
-    The contexts and bands of open ends are known to the workers as bitmaps of
-    fixed size, so that only what can match one is counted and moved.
+    The contexts and sketches of open ends are known to the workers as bitmaps
+    of bounded size, so that only what can match one is counted and moved.
     """
-    said = rows.where(F.col(text).isNotNull())
-    asked = F.col(prompt) if prompt else F.lit(None).cast("string")
-    open_ends = stage(
-        said.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("said"), asked.alias("asked")).mapInArrow(_open_ends, _OPEN_SCHEMA),
-        "open_ends",
-    )
-    judged = open_ends.where(F.col("how") != MARKED)
-    contexts, _ = _collect_bitmap(judged, "keys", MARK_BITS)
-    bands = _collect_bitmap(judged, "bands", BAND_BITS)
-    facts = stage(
-        said.select(F.col(text).alias("said")).mapInArrow(
-            _facts(contexts, *bands), "kind int, key bigint, x bigint, y bigint, n int, words array<string>"
-        ),
-        "facts",
-    )
-    aligned = _aligned(judged, facts)
-    counts = facts.where(F.col("kind") == _COUNT).groupBy("key").agg((F.sum("x") / UNIT).alias("total"), (F.sum("y") / UNIT).alias("ends"))
-    asked = judged.select("row_id", F.posexplode("keys").alias("k", "key")).join(counts, "key")
-    each = asked.repartition("row_id").groupBy("row_id").agg(
-        *(F.max(F.when(F.col("k") == k, F.col("total"))).alias(f"t{k}") for k in range(KEYS)),
-        *(F.max(F.when(F.col("k") == k, F.col("ends"))).alias(f"e{k}") for k in range(LONGER)),
-    )
-    seen = judged.select("row_id", "text_mark", "at_prompt").join(each, "row_id", "left").join(aligned, "text_mark", "left")
-    by_words = seen.withColumn("terminality", _terminality()).select("row_id", _reason().alias("reason")).where("reason is not null")
-    by_mark = open_ends.where(F.col("how") == MARKED).select("row_id", F.lit("mark").alias("reason"))
-    return by_mark.unionByName(by_words).withColumnRenamed("row_id", key)
+    return judged_rows(rows, key, text, prompt).select(F.col("row_id").alias(key), "reason")
+
+
+_ALIGNED = ("early", "inside", "same")  # the greater decides
 
 
 def _aligned(judged: DataFrame, facts: DataFrame) -> DataFrame:
-    """What near-copies tell of open texts: ``(text_mark, aligned)``."""
-    asked = judged.select("text_mark", "n", F.explode("bands").alias("key"))
-    given = facts.where(F.col("kind") == _BAND).select("key", F.col("x").alias("other"), F.col("y").alias("m")).distinct()
-    asked = asked.join(given.select("key").distinct(), "key", "left_semi").distinct()
-    pairs = asked.join(given, "key").where("text_mark <> other and m >= n - 1").select("text_mark", "other").distinct()
-    pairs = stage(pairs, "near_copies")
-    texts = facts.where(F.col("kind") == _TEXT).select(F.col("key").alias("other"), F.col("x").alias("closed"), F.col("words").alias("said"))
-    texts = texts.join(pairs.select("other").distinct(), "other", "left_semi").groupBy("other").agg(F.max("closed").alias("closed"), F.first("said").alias("said"))
-    cut = judged.select("text_mark", "words").join(pairs.select("text_mark").distinct(), "text_mark", "left_semi")
-    cut = cut.groupBy("text_mark").agg(F.first("words").alias("words"))
-    both = pairs.join(texts, "other").join(cut, "text_mark").select("text_mark", "words", "said", "closed")
-    found = both.mapInArrow(_compare, "text_mark bigint, aligned string")
-    return found.groupBy("text_mark").agg(F.max("aligned").alias("aligned"))  # "same" is the greater
+    """What near-copies tell of open texts: ``(row_id, aligned)``, the latter as its place in ``_ALIGNED``."""
+    asked = judged.select("row_id", F.explode("copies").alias("key"))
+    given = facts.where(F.col("kind") == _COPY).select("key", F.col("x").alias("other")).distinct()
+    pairs = asked.join(given, "key").select("row_id", "other").distinct()
+    texts = facts.where(F.col("kind") == _TEXT).groupBy(F.col("key").alias("other")).agg(F.bit_or("x").cast("int").alias("how"), F.first("words").alias("said"))
+    words = judged.where(F.size("words") > 0).select("row_id", "words")
+    found = pairs.join(texts, "other").join(words, "row_id").select("row_id", "words", "said", "how").mapInArrow(_compare, "row_id bigint, aligned string")
+    return found.select("row_id", (F.array_position(F.lit(list(_ALIGNED)), F.col("aligned")) - 1).cast("int").alias("aligned"))
 
 
 def _terminality() -> Column:
@@ -442,11 +461,12 @@ def _reason() -> Column:
         ((own == 0) & ((longer > 0) | (flags.bitwiseAND(_BEGINS_PROMPT) > 0)))
         | (~stands & ((longer >= RATHER * own) | (flags.bitwiseAND(_BEGINS_PROMPT) > 0)))
     )
-    never = (own >= NEVER_SEEN) & (closes < NEVER_SHARE * own)
+    never = closes + NEVER_PRIOR < NEVER_SHARE * own
+    goes_on = (F.col("aligned") == _ALIGNED.index("early")) & (F.col("terminality") < OFTEN)
     return (
-        F.when(F.col("aligned") == "same", None)
+        F.when(F.col("aligned") == _ALIGNED.index("same"), None)
         .when(flags.bitwiseAND(_AS_PROMPT) > 0, None)
-        .when(F.col("aligned") == "early", "copy")
+        .when((F.col("aligned") == _ALIGNED.index("inside")) | goes_on, "copy")
         .when(begins, "word")
         .when(never | (F.col("terminality") < TERMINAL), "closing")
     )
