@@ -10,38 +10,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4096  # of a bitmap that travel in one row
-LEAST_BITS, MOST_BITS = 20, 26
+LEAST_BITS, MOST_BITS = 18, 26
+PROBES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of each mark, three bits
 
 
 def bits_for(n: int) -> int:
-    """Size, as a power of two, of a bitmap for ``n`` marks: about one bit in sixteen is set, up to ``2 ** MOST_BITS``."""
-    return min(MOST_BITS, max(LEAST_BITS, (max(1, n) - 1).bit_length() + 4))
+    """Size, as a power of two, of a bitmap for ``n`` marks: one in a thousand others looks like one, up to ``2 ** MOST_BITS`` bits."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, n) - 1).bit_length() + 5))
 
 
-def places(marks: np.ndarray, bits: int) -> np.ndarray:
-    return (marks >> np.uint64(64 - bits)).astype(np.int64)
+def _places(marks: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    return (marks * np.uint64(probe) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def has(bitmap: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Whether each mark's bit is set."""
-    at = places(marks, (8 * len(bitmap)).bit_length() - 1)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) > 0
+    """Whether all bits of each mark are set."""
+    bits = (8 * len(bitmap)).bit_length() - 1
+    out = np.zeros(len(marks), dtype=bool)
+    left = np.arange(len(marks))
+    for probe in PROBES:
+        at = _places(marks[left], bits, probe)
+        left = left[(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) > 0]
+    out[left] = True
+    return out
+
+
+def build(marks: np.ndarray, bits: int, out: np.ndarray | None = None) -> np.ndarray:
+    """The bits of marks, one byte each, added to ``out`` if that is given."""
+    out = np.zeros(1 << bits, dtype=bool) if out is None else out
+    for probe in PROBES:
+        out[_places(marks, bits, probe)] = True
+    return out
 
 
 def collect(rows: DataFrame, marks_of: Callable[[pa.RecordBatch], list[np.ndarray]], bits: list[int]) -> list[np.ndarray]:
-    """A bitmap of ``2 ** b`` bits for each b of ``bits``, of the marks that ``marks_of`` gives for each batch.
+    """A bitmap (Bloom filter) of ``2 ** b`` bits for each b of ``bits``, of the marks that ``marks_of`` gives for each batch.
 
     Every task sends at most the bitmaps' size, in pieces; each piece's union
     is an aggregation, made in part before the shuffle and piece after piece
     behind it, so that no task holds what many tasks sent. The driver gets the
-    bitmaps once. Another mark of the same bit can't be told apart.
+    bitmaps once. Another mark of the same bits can't be told apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [np.zeros(1 << b, dtype=bool) for b in bits]
         for batch in batches:
             for own, b, marks in zip(seen, bits, marks_of(batch)):
-                own[places(marks, b)] = True
+                build(marks, b, own)
         for i, own in enumerate(seen):
             packed = np.packbits(own).reshape(-1, PIECE_BYTES)
             some = np.flatnonzero(packed.any(axis=1)).astype(np.int32)
@@ -52,6 +67,6 @@ def collect(rows: DataFrame, marks_of: Callable[[pa.RecordBatch], list[np.ndarra
 
     out = [np.zeros(((1 << b) // 8 // PIECE_BYTES, PIECE_BYTES), dtype=np.uint8) for b in bits]
     pieces = rows.mapInArrow(run, "which int, piece int, bits binary")
-    for r in pieces.groupBy("which", "piece").agg(F.bitmap_or_agg("bits").alias("bits")).toLocalIterator():
+    for r in pieces.groupBy("which", "piece").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
         out[r["which"]][r["piece"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return [o.reshape(-1) for o in out]

@@ -66,11 +66,12 @@ _MAY_REFUSE = re.compile(
     r"|\b(?:let me know|happy to help|glad to help|here to help|help you with (?:something|anything)|anything else|(?:another|different|new) (?:captions?|requests?|prompts?|images?|photos?))\b"
     r"|\b(?:pass|skip)(?: on)? (?:this|that|it|one)\b|\bnot (?:something|a thing|one) (?:i|we)\b|\b(?:outside|beyond)(?: \w+){0,2} (?:scope|abilities|capabilities|ability|capability|remit)\b"
 )
-#: Words without one of which no refusal is looked for.
+#: Words without one of which, or a denying one and one of whoever answers, no refusal is looked for.
+_DENYING, _SELF = frozenset("not don't dont rather".split()), frozenset("i i'm im i'd id i'll ill we me my".split())
 _REFUSING = frozenset(
-    "cannot can't cant couldn't couldnt won't wont wouldn't wouldnt not unable unwilling refuse refused decline declined sorry apologies apologize apologise regret unfortunately regrettably "
+    "cannot can't cant couldn't couldnt won't wont wouldn't wouldnt unable unwilling refuse refused decline declined sorry apologies apologize apologise regret unfortunately regrettably "
     "comply assist guideline guidelines policy policies programming ai model inappropriate appropriate request requests caption captions prompt rewrite rewriting rephrase "
-    "comfortable permitted version versions provided upload clarify context scope capabilities don't dont pass skip".split()
+    "comfortable permitted version versions provided upload clarify context scope capabilities pass skip".split()
 )
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
 _CLOSERS = set(_PAIRS.values())
@@ -204,8 +205,11 @@ class _Defects:
             at = np.flatnonzero(mask & (out == None))  # noqa: E711
             return zip(at, *(c.take(pa.array(at)).to_pylist() for c in columns))
 
-        refusing = np.fromiter((w in _REFUSING for w in vocabulary), bool, len(vocabulary))
-        for i, own, prompt in left(np.bincount(row, weights=refusing[codes], minlength=n) > 0, words, prompts):
+        def some_of(wanted: frozenset[str]) -> np.ndarray:
+            flags = np.fromiter((w in wanted for w in vocabulary), bool, len(vocabulary))
+            return np.bincount(row, weights=flags[codes], minlength=n) > 0
+
+        for i, own, prompt in left(some_of(_REFUSING) | some_of(_DENYING) & some_of(_SELF), words, prompts):
             if is_refusal(own, prompt):
                 out[i] = "refusal"
         # What runs of the prompt cover is no more than the words it knows.

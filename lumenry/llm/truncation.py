@@ -38,6 +38,7 @@ OFTEN = 0.3  # of the texts after these words close with the last: a shorter ver
 CLOSED, DOTS, OPEN, MARKED = 0, 1, 2, 3
 UNIT, DOTS_UNIT = 4, 1  # a text that trails off in dots may be cut as well: it closes a context by a quarter, and makes no word known
 GOES_ON, CLOSES = 1, 2
+ROWS_A_BITMAP = 1_000_000  # of one task that makes bitmaps
 _MULT = np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 _PLAIN = r"[^.…][.!?]$"
@@ -378,7 +379,7 @@ def judged_rows(rows: DataFrame, key: str, text: str, prompt: str | None = None,
     judged = open_ends.where((F.col("how") != MARKED) & F.col("defect").isNull())
     n = judged.count()
     marks = lambda b: [b.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)]
-    contexts, copies = collect(judged.select("keys", "copies"), marks, [bits_for(KEYS * n), bits_for(BANDS * n)])
+    contexts, copies = collect(judged.select("keys", "copies").coalesce(1 + n // ROWS_A_BITMAP), marks, [bits_for(KEYS * n), bits_for(BANDS * n)])
     facts = stage(
         said.where("said is not null").select("said").mapInArrow(_facts(contexts, copies), "kind int, key bigint, x bigint, y bigint, words array<string>"), "facts"
     )
