@@ -9,18 +9,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenry.functions.text import word_set
+from lumenry.llm.bitmaps import bits_for, collect, has
 from lumenry.llm.components import components
+from lumenry.llm.words import mix, word_marks
 from lumenry.stage import stage
 
 COMMON_WORDS = 4096  # words whose order is by count; all others come before them, in hash order
 COMBINATION = 3
 COMBINED = ((64, 3), (256, 2))  # words of the larger text of a pair up to which so many are combined; beyond, single words are
 BLOCK_ROWS = 1024
+CELLS = 1 << 20  # entries made at a time
+TEXTS_A_BITMAP = 1_000_000  # of one task that makes a bitmap
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -45,74 +49,139 @@ def _orders(n: int, t: Fraction, k: int) -> list[int]:
     return list(range(_order(n, k), _order(math.floor(n / t), k) - 1, -1))
 
 
-def _incidence(ranks: dict[str, int], t: Fraction, k: int, across: bool):
+class _Incidence:
     """Rows of the incidence matrix: text by combination of a few of its rarest words, as the larger or the smaller of a pair."""
-    shapes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-    def shape(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if n not in shapes:
-            if len(shapes) > 256:
-                shapes.clear()
-            shapes[n] = []
-            for order in _orders(n, t, k):
-                small, large = _bounds(n, t, order)
-                own = order == _order(n, k)
+
+    def __init__(self, ranks: dict[str, int], t: Fraction, k: int):
+        self.ranks, self.t, self.k = ranks, t, k
+        self.shapes: dict[int, list[tuple[int, bool, np.ndarray, np.ndarray]]] = {}
+
+    def shape(self, n: int) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """Of a text of ``n`` words, for each number of words combined: whether that is for pairs where it is the larger,
+        the combinations, and which of them it gives as the smaller."""
+        if n not in self.shapes:
+            if len(self.shapes) > 256:
+                self.shapes.clear()
+            self.shapes[n] = []
+            for order in _orders(n, self.t, self.k):
+                small, large = _bounds(n, self.t, order)
+                own = order == _order(n, self.k)
                 combos = np.array(list(combinations(range(large if own else small), order)), dtype=np.int64).reshape(-1, order)
-                shapes[n].append((combos, np.full(len(combos), own), combos[:, -1] < small))
-        return shapes[n]
+                self.shapes[n].append((order, own, combos, combos[:, -1] < small))
+        return self.shapes[n]
+
+    def rows(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, int, np.ndarray, bool, np.ndarray]]:
+        """``(text, words, mark, large, small)`` of the combinations of a batch of texts, those of equal size together."""
+        listed = pc.split_pattern(texts, " ")
+        flat = listed.flatten().dictionary_encode()
+        vocabulary = flat.dictionary.to_pylist()
+        rank = np.fromiter((self.ranks.get(w, 0) for w in vocabulary), np.uint64, len(vocabulary))
+        # Rarest first; words of one rank by their marks.
+        key = (rank << np.uint64(52) | word_marks(vocabulary, False)[0] >> np.uint64(12))[flat.indices.to_numpy(zero_copy_only=False)]
+        count = np.diff(listed.offsets.to_numpy())
+        starts = np.cumsum(count) - count
+        for n in np.unique(count).tolist():
+            same = np.flatnonzero(count == n)
+            for order, own, combos, small in self.shape(n):
+                step = max(1, CELLS // max(1, len(combos)))
+                for i in range(0, len(same), step):
+                    some = same[i : i + step]
+                    words = key[starts[some][:, None] + np.arange(n)]
+                    words.sort(axis=1)
+                    mark = np.full((len(some), len(combos)), order, dtype=np.uint64)
+                    for j in range(order):
+                        mark = (mark ^ words[:, combos[:, j]]) * _MIX[j % 3]
+                        mark ^= mark >> np.uint64(29)
+                    yield np.repeat(some, len(combos)), n, mix(mark.reshape(-1)), own, np.tile(small, len(some))
+
+
+def _entries(ids: pa.Array, text: np.ndarray, n: int, mark: np.ndarray, large: np.ndarray, small: np.ndarray, turn: int) -> pa.RecordBatch:
+    m = len(mark)
+    return pa.record_batch(
+        [
+            pa.array(mark.view(np.int64)), ids.take(pa.array(text)), pa.array(np.full(m, n, np.int32)), pa.array(large), pa.array(small),
+            pa.array(np.full(m, turn, np.int32)),
+        ],
+        ["sig", "id", "n", "large", "small", "turn"],
+    )
+
+
+_ENTRIES = "sig bigint, id bigint, n int, large boolean, small boolean, turn int"
+
+
+def _matrix(ranks: dict[str, int], t: Fraction, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        incidence = _Incidence(ranks, t, k)
+        for batch in batches:
+            for text, n, mark, large, small in incidence.rows(batch.column(1)):
+                yield _entries(batch.column(0), text, n, mark, np.full(len(mark), large), small, 0)
+
+    return run
+
+
+def _matrix_of_side(ranks: dict[str, int], t: Fraction, k: int, side: int, others: list[np.ndarray]):
+    """Entries of one side that the other may have: of turn ``s``, the larger text is of side ``s`` and the smaller of the other.
+
+    ``others`` are bitmaps of the other side's marks, as smaller and as larger.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
+        incidence = _Incidence(ranks, t, k)
+        as_small, as_large = others
         for batch in batches:
-            sigs, owners, counts, sizes, larges, smalls = [], [], [], [], [], []
-            owned = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                order = []
-                words = text.split(" ")
-                for w in words:
-                    if w not in known:
-                        if len(known) > 1_000_000:
-                            known.clear()
-                        known[w] = ranks.get(w, 0), xxhash.xxh64_intdigest(w)
-                    order.append(known[w])
-                order.sort()
-                hashes = np.fromiter((h for _, h in order), dtype=np.uint64, count=len(order))
-                for combos, large, small in shape(len(words)):
-                    sig = np.full(len(combos), combos.shape[1], dtype=np.uint64)
-                    for j in range(combos.shape[1]):
-                        sig = (sig ^ hashes[combos[:, j]]) * _MIX[j % 3]
-                        sig ^= sig >> np.uint64(29)
-                    sigs.append(sig)
-                    larges.append(large)
-                    smalls.append(small)
-                    owners.append(key)
-                    counts.append(len(sig))
-                    sizes.append(len(words))
-                owned.append(sum(len(combos) for combos, _, _ in shape(len(words))))
-            if not sigs:
-                continue
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate(sigs).view(np.int64)),
-                    pa.array(np.repeat(np.array(owners, dtype=np.int64), counts)),
-                    pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
-                    pa.array(np.concatenate(larges)),
-                    pa.array(np.concatenate(smalls)),
-                    *([pa.array(np.repeat(batch.column(2).to_numpy(zero_copy_only=False), owned).astype(np.int32))] if across else []),
-                ],
-                ["sig", "id", "n", "large", "small", *(["side"] if across else [])],
-            )
+            for text, n, mark, large, small in incidence.rows(batch.column(1)):
+                if large:
+                    keep = has(as_small, mark)
+                    yield _entries(batch.column(0), text[keep], n, mark[keep], np.ones(int(keep.sum()), bool), np.zeros(int(keep.sum()), bool), side)
+                keep = small & has(as_large, mark)
+                yield _entries(batch.column(0), text[keep], n, mark[keep], np.zeros(int(keep.sum()), bool), np.ones(int(keep.sum()), bool), 3 - side)
+
+    return run
+
+
+def _marks(ranks: dict[str, int], t: Fraction, k: int):
+    def run(batch: pa.RecordBatch) -> list[np.ndarray]:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        for _, _, mark, large, small in _Incidence(ranks, t, k).rows(batch.column(1)):
+            found[0].append(mark[small])
+            if large:
+                found[1].append(mark)
+        return [np.concatenate(f) for f in found]
 
     return run
 
 
-def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION, across: bool = False) -> DataFrame:
+def _across(sets: DataFrame, ranks: dict[str, int], t: Fraction, k: int) -> tuple[DataFrame, DataFrame]:
+    """The entries of both sides that the other has too, but for what bitmaps of bounded size can't tell apart.
+
+    First the smaller side's marks are a bitmap, then the entries of the other
+    that are in it are staged, and their marks choose among the smaller side's.
+    """
+    first, second = sets.where(F.col("side").bitwiseAND(1) > 0), sets.where(F.col("side").bitwiseAND(2) > 0)
+    n, m = first.count(), second.count()
+    few, many, side = (second, first, 1) if m <= n else (first, second, 2)
+    bits = bits_for(min(n, m) * 64)
+    held = collect(few.select("id", "text").coalesce(1 + min(n, m) // TEXTS_A_BITMAP), _marks(ranks, t, k), [bits, bits])
+    one = stage(many.select("id", "text").mapInArrow(_matrix_of_side(ranks, t, k, side, held), _ENTRIES), "entries")
+    size = one.count()
+    pick = lambda b: [
+        b.column(0).filter(b.column(c)).to_numpy(zero_copy_only=False).view(np.uint64) for c in (2, 1)
+    ]
+    held = collect(one.select("sig", "large", "small").coalesce(1 + size // (64 * TEXTS_A_BITMAP)), pick, [bits_for(size), bits_for(size)])
+    two = few.select("id", "text").mapInArrow(_matrix_of_side(ranks, t, k, 3 - side, held), _ENTRIES)
+    return one, two
+
+
+def near_equal_links(
+    sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION, entries: DataFrame | None = None, candidates: DataFrame | None = None
+) -> DataFrame:
     """``(a, b)``, a < b, of all pairs of word sets with shared / union >= ``threshold``.
 
     ``sets`` has ``id bigint`` (unique) and ``text string``, the distinct words
     joined by single spaces; texts of fewer than ``min_words`` words link to
-    nothing. With ``across`` it has ``side`` too (1, 2, or 3 for both), and
-    only pairs of the one and the other side are made. Words are ordered rarest first (counted over all sets; the
+    nothing. ``entries`` are those of the matrix where only pairs across two
+    sides are wanted (``candidates_across``); ``candidates`` ``(a, b)`` are
+    compared besides those of the product. Words are ordered rarest first (counted over all sets; the
     ``COMMON_WORDS`` most frequent go to the driver, a fixed bound, any others
     count as rarer). Two sets that are near-equal share at least ``k`` of the
     first words of that order whose number follows from their sizes, so the
@@ -122,23 +191,11 @@ def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5
     that the two sizes give are discarded, and the rest is compared word by word.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    sided = ["side"] if across else []
-    sets = sets.select(F.col("id").cast("bigint").alias("id"), "text", *sided).where(F.size(F.split("text", " ")) >= max(min_words, k))
-    counted = sets.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
-    ranks = {r["word"]: len(top) - i for i, r in enumerate(top)}  # the most frequent comes last
-    matrix = sets.mapInArrow(
-        _incidence(ranks, t, k, across), "sig bigint, id bigint, n int, large boolean, small boolean" + (", side int" if across else "")
-    )
-    large = matrix.where("large").select("sig", F.col("id").alias("a"), F.col("n").alias("n_a"), *sided)
-    small = matrix.where("small").select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), *sided)
-    if across:
-        # ``turn`` 1: the larger is of side 1 and the smaller of side 2; ``turn`` 2: the other way.
-        large = large.withColumn("turn", F.explode(F.expr("filter(array(1, 2), x -> (side & x) > 0)"))).withColumnRenamed("side", "side_a")
-        small = small.withColumn("turn", F.explode(F.expr("filter(array(1, 2), x -> (side & (3 - x)) > 0)"))).withColumnRenamed("side", "side_b")
-    joined = large.join(small, ["sig", "turn"] if across else ["sig"])
-    if across:
-        joined = joined.where("turn = 1 or (side_a & 1) = 0 or (side_b & 2) = 0")
+    sets = _long_enough(sets, min_words, k).select("id", "text")
+    matrix = sets.mapInArrow(_matrix(_ranks(sets), t, k), _ENTRIES) if entries is None else entries
+    large = matrix.where("large").select("sig", "turn", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    small = matrix.where("small").select("sig", "turn", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    joined = large.join(small, ["sig", "turn"])
     product = (
         joined
         .where((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
@@ -160,6 +217,8 @@ def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5
     for order in range(1, k + 1):
         least = F.when((used == order) & (short > order), _combinations(short, order)).otherwise(least)
     pairs = product.where(F.col("entries") >= least).select("a", "b")
+    if candidates is not None:
+        pairs = pairs.unionByName(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
     words = sets.select("id", "text")
     checked = (
         pairs.join(words.select(F.col("id").alias("a"), F.split("text", " ").alias("x")), "a")
@@ -170,6 +229,30 @@ def near_equal_links(sets: DataFrame, threshold: float = 0.7, min_words: int = 5
     return checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _long_enough(sets: DataFrame, min_words: int, k: int) -> DataFrame:
+    return sets.withColumn("id", F.col("id").cast("bigint")).where(F.size(F.split("text", " ")) >= max(min_words, k))
+
+
+def _ranks(sets: DataFrame) -> dict[str, int]:
+    """The most frequent words, the most frequent with the greatest number; any others count as rarer."""
+    counted = sets.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
+    return {r["word"]: len(top) - i for i, r in enumerate(top)}
+
+
+def candidates_across(sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION) -> DataFrame:
+    """The entries of ``near_equal_links``' matrix that both sides have, for sets with ``side`` (1, 2, or 3 for both).
+
+    A text without an entry is near-equal to none of the other side. Entries
+    are kept by bitmaps of bounded size, which may leave some that the other
+    side lacks.
+    """
+    t = Fraction(threshold).limit_denominator(1000)
+    sets = _long_enough(sets, min_words, k).select("id", "text", "side")
+    one, two = _across(sets, _ranks(sets.select("text")), t, k)
+    return stage(one.unionByName(two), "entries")
+
+
 def _combinations(n: Column, k: int) -> Column:
     out = F.lit(1.0)
     for j in range(k):

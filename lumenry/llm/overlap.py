@@ -1,4 +1,4 @@
-"""Records of evaluation splits that stand in the training split too, and their spans by a partitioned suffix array."""
+"""Records of evaluation splits that stand in the training split too, by a partitioned suffix array of both."""
 
 from __future__ import annotations
 
@@ -12,47 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenry.functions.text import photo_key, tokenize
-from lumenry.llm.bitmaps import collect, has
-from lumenry.llm.near_equal import COMBINATION, near_equal_links
+from lumenry.llm.bitmaps import bits_for, collect, has
+from lumenry.llm.near_equal import COMBINATION, candidates_across, near_equal_links
 from lumenry.llm.words import mix, word_marks
 from lumenry.stage import stage
 
 SPAN_WORDS = 5
-LIMIT = 1024  # suffixes under one node of which all pairs are looked at
-SUFFIX_WORDS = 64  # neighbours that agree in so many words are under one node
-HEAD_BITS = 26  # of the bitmaps of spans
+NODE = 1024  # suffixes under one node of which all pairs are looked at
+SUFFIX_WORDS = 64  # by which suffixes are ordered
+TEXTS_A_BITMAP = 250_000  # of one task that makes bitmaps
 TRAIN, EVAL = 1, 2
 
-_FIELDS = [
-    ("suffix", pa.string()), ("head", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("side", pa.int32()),
-    ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()),
-]
-_SUFFIX = "suffix string, head bigint, id bigint, pos int, side int, n int, s1 bigint, s2 bigint"
-_OUT = pa.schema([("kind", pa.int32()), ("other", pa.int64()), *_FIELDS])
-_PAIR, _SPAN, _EDGE = 0, 1, 2
-
-
-class _Rows:
-    """Columns of consecutive suffixes of one partition."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.suffix = batch.column("suffix")
-        self.cols = {name: batch.column(name).to_numpy(zero_copy_only=False) for name, _ in _FIELDS[1:]}
+_SUFFIX = "head bigint, suffix array<bigint>, id bigint, pos int, side int, n int, s1 bigint, s2 bigint"
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
 
 
-def _cross(cols: dict[str, np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(evaluation, training) pairs of the members of one node that can still be near-equal.
+def _cross(cols: dict[str, np.ndarray], a: int, b: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(evaluation, training) pairs of the members ``a`` to ``b`` of one node that can still be near-equal.
 
     A word of one text whose bit the other lacks isn't shared, which bounds
     what they share from above.
     """
-    e, r = np.flatnonzero(cols["side"] & EVAL), np.flatnonzero(cols["side"] & TRAIN)
-    if not len(e) or not len(r):
-        return e[:0], r[:0]
+    side = cols["side"][a:b]
+    e, r = a + np.flatnonzero(side & EVAL), a + np.flatnonzero(side & TRAIN)
     e, r = np.repeat(e, len(r)), np.tile(r, len(e))
     n, m = cols["n"][e].astype(np.int64), cols["n"][r].astype(np.int64)
     s1, s2 = cols["s1"], cols["s2"]
@@ -69,17 +54,17 @@ class _Heads:
     def __init__(self, texts: pa.Array, words: int):
         listed = pc.split_pattern(texts, " ")
         flat = listed.flatten().dictionary_encode()
-        marks, _ = word_marks(flat.dictionary.to_pylist())
+        marks, _ = word_marks(flat.dictionary.to_pylist(), False)
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        marks = marks[codes]
+        self.marks = marks[codes]
         count = np.diff(listed.offsets.to_numpy())
         starts = np.cumsum(count) - count
         row = np.repeat(np.arange(len(count)), count)
         # Distinct words, and a sketch of 128 bits of them.
         unique = np.unique(row.astype(np.int64) << 32 | codes)
         self.n = np.bincount(unique >> 32, minlength=len(count)).astype(np.int32)
-        bit = np.uint64(1) << (marks & np.uint64(63))
-        odd = (marks >> np.uint64(6) & np.uint64(1)).astype(bool)
+        bit = np.uint64(1) << (self.marks & np.uint64(63))
+        odd = (self.marks >> np.uint64(6) & np.uint64(1)).astype(bool)
         self.sketch = []
         for side in (~odd, odd):
             out = np.zeros(len(count), dtype=np.uint64)
@@ -90,16 +75,16 @@ class _Heads:
         spans = np.maximum(count - words + 1, 0)
         self.row = np.repeat(np.arange(len(count)), spans)
         self.pos = np.arange(len(self.row)) - np.repeat(np.cumsum(spans) - spans, spans)
-        at = np.repeat(starts, spans) + self.pos
-        self.head = np.zeros(len(at), dtype=np.uint64)
+        self.at = np.repeat(starts, spans) + self.pos
+        self.left = np.minimum(np.repeat(count, spans) - self.pos, SUFFIX_WORDS)  # words of each suffix
+        self.head = np.zeros(len(self.at), dtype=np.uint64)
         for j in range(words):
-            self.head = mix(self.head * np.uint64(3) + marks[at + j])
-        # Where each suffix begins and ends in its text; texts are ASCII, so characters are bytes.
-        length = pc.binary_length(listed.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        begins = np.concatenate([[0], np.cumsum(length)])
-        of_text = np.repeat(begins[starts], spans)
-        self.begin = begins[at] - of_text
-        self.end = begins[np.minimum(at + SUFFIX_WORDS, np.repeat(starts + count, spans))] - of_text - 1
+            self.head = mix(self.head * np.uint64(3) + self.marks[self.at + j])
+
+    def suffixes(self, keep: np.ndarray) -> pa.ListArray:
+        count = self.left[keep]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.at[keep], count)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(self.marks[at].view(np.int64)))
 
 
 def _marks_by_side(words: int):
@@ -120,213 +105,130 @@ def _suffixes(words: int, in_train: np.ndarray, in_eval: np.ndarray):
             side = batch.column("side").to_numpy(zero_copy_only=False).astype(np.int32)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             own = side[heads.row]
-            keep = (own & EVAL > 0) & has(in_train, HEAD_BITS, heads.head) | (own & TRAIN > 0) & has(in_eval, HEAD_BITS, heads.head)
-            row, texts = heads.row[keep], batch.column("text").to_pylist()
+            keep = (own & EVAL > 0) & has(in_train, heads.head) | (own & TRAIN > 0) & has(in_eval, heads.head)
+            row = heads.row[keep]
             yield pa.record_batch(
                 [
-                    pa.array([texts[r][a:b] for r, a, b in zip(row.tolist(), heads.begin[keep].tolist(), heads.end[keep].tolist())], pa.string()),
-                    pa.array(heads.head[keep].view(np.int64)), pa.array(ids[row]), pa.array(heads.pos[keep].astype(np.int32)), pa.array(own[keep]),
+                    pa.array(heads.head[keep].view(np.int64)), heads.suffixes(keep), pa.array(ids[row]), pa.array(heads.pos[keep].astype(np.int32)), pa.array(own[keep]),
                     pa.array(heads.n[row]), pa.array(heads.sketch[0][row]), pa.array(heads.sketch[1][row]),
                 ],
-                [name for name, _ in _FIELDS],
+                ["head", "suffix", "id", "pos", "side", "n", "s1", "s2"],
             )
 
     return run
 
 
-class _Node:
-    __slots__ = ("depth", "groups", "size", "full")
-
-    def __init__(self, depth: int):
-        self.depth, self.groups, self.size, self.full = depth, [], 0, False
-
-
-class _Deep:
-    """Nodes of the suffix tree below one that has more than ``LIMIT`` suffixes; each greatest node within it is a group."""
-
-    def __init__(self):
-        self.open: list[_Node] = []
-        self.last: list[str] = []
-        self.done: list[list[int]] = []
-
-    def add(self, words: list[str], at: int) -> None:
-        same = 0
-        for a, b in zip(self.last, words):
-            if a != b:
-                break
-            same += 1
-        self._close(same)
-        if not self.open or self.open[-1].depth < same:
-            self.open.append(_Node(same))
-        leaf = _Node(len(words) + 1)
-        leaf.groups, leaf.size = [[at]], 1
-        self.open.append(leaf)
-        self.last = words
-
-    def _close(self, same: int) -> None:
-        while self.open and self.open[-1].depth > same:
-            node = self.open.pop()
-            if not self.open or self.open[-1].depth < same:
-                self.open.append(_Node(same))
-            self._into(self.open[-1], node)
-
-    def _into(self, parent: _Node, node: _Node) -> None:
-        parent.size += node.size
-        whole = node.groups if node.full else [[i for g in node.groups for i in g]]
-        if node.full:
-            parent.full = True
-            self.done.extend(parent.groups)
-            parent.groups = []
-        elif parent.full:
-            self.done.extend(whole)
-        else:
-            parent.groups.extend(whole)
-            if parent.size > LIMIT:
-                parent.full = True
-                self.done.extend(parent.groups)
-                parent.groups = []
-
-    def finish(self) -> list[list[int]]:
-        self._close(-1)
-        while self.open:
-            node = self.open.pop()
-            if not node.full:
-                self.done.append([i for g in node.groups for i in g])
-        return self.done
-
-
-def _scan(t: Fraction, edges: bool):
-    """Over suffixes in order: candidate pairs, covered places, and the partition's ends."""
+def suffix_array(texts: DataFrame, words: int = SPAN_WORDS) -> DataFrame:
+    """The suffixes, from every word on, of the texts of both sides, with ``in_node`` and ``sides`` of the node that each is under.
+
+    ``texts`` has ``id``, ``text`` (words joined by blanks, distinct) and
+    ``side`` (1 in training, 2 in evaluation, 3 both). A node are the suffixes
+    that agree in their first ``words`` words. Suffixes whose first words the
+    other side surely lacks, by bitmaps of bounded size, are left out.
+    """
+    texts = texts.select(F.col("id").cast("bigint").alias("id"), "text", "side")
+    n = texts.count()
+    in_train, in_eval = collect(texts.coalesce(1 + n // TEXTS_A_BITMAP), _marks_by_side(words), [bits_for(16 * n)] * 2)
+    suffixes = stage(texts.mapInArrow(_suffixes(words, in_train, in_eval), _SUFFIX), "suffixes")
+    nodes = suffixes.groupBy("head").agg(F.count("*").alias("in_node"), F.bit_or("side").alias("sides"))
+    return suffixes.join(nodes.where(F.col("sides") == (TRAIN | EVAL)), "head")
+
+
+def _scan(t: Fraction):
+    """Over suffixes in order: pairs of texts that are neighbours of both sides under one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        first = True
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             head = table.column("head").to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-            cut = int(starts[-1])  # the last run may go on in the next batch
-            if cut:
-                yield from _runs(table.slice(0, cut).combine_chunks(), t, edges and first, False)
-                first = False
+            if not len(head):
+                continue
+            cut = int(np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))[-1])  # the last node may go on in the next batch
+            yield from _nodes(table.slice(0, cut), t)
             held = table.slice(cut)
         if held is not None:
-            yield from _runs(held.combine_chunks(), t, edges and first, edges)
+            yield from _nodes(held, t)
 
     return run
 
 
-def _runs(table: pa.Table, t: Fraction, first_edge: bool, last_edge: bool) -> Iterator[pa.RecordBatch]:
-    batch = table.to_batches()[0]
-    rows = _Rows(batch)
-    head, side = rows.cols["head"], rows.cols["side"]
-    starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-    ends = np.append(starts[1:], len(head))
-    both = np.bitwise_or.reduceat(side, starts) == (TRAIN | EVAL)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    for a, b in zip(starts[both], ends[both]):
-        if b - a <= LIMIT:
-            groups = [np.arange(a, b)]
-        else:
-            deep = _Deep()
-            for i, text in enumerate(rows.suffix.slice(a, b - a).to_pylist()):
-                deep.add(text.split(" "), int(a) + i)
-            groups = [np.array(g) for g in deep.finish() if len(g) > 1]
-        for g in groups:
-            e, r = _cross({k: v[g] for k, v in rows.cols.items()}, t)
-            if len(e):
-                left.append(e)
-                right.append(r)
-    if left:
-        e, r = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        yield _batch(_PAIR, len(e), id=e, other=r)
-    inside = np.repeat(both, ends - starts) & (side & EVAL > 0)
-    if inside.any():
-        yield _batch(_SPAN, int(inside.sum()), id=rows.cols["id"][inside], pos=rows.cols["pos"][inside])
-    for wanted, a, b in ((first_edge, starts[0], min(ends[0], starts[0] + LIMIT)), (last_edge, max(starts[-1], ends[-1] - LIMIT), ends[-1])):
-        if wanted:
-            part = batch.slice(int(a), int(b - a))
-            yield pa.record_batch([pa.array(np.full(part.num_rows, _EDGE, np.int32)), pa.nulls(part.num_rows, pa.int64()), *part.columns], schema=_OUT)
-
-
-def _batch(kind: int, n: int, **cols: np.ndarray) -> pa.RecordBatch:
-    made = []
-    for field in _OUT:
-        if field.name == "kind":
-            made.append(pa.array(np.full(n, kind, np.int32)))
-        elif field.name in cols:
-            made.append(pa.array(cols[field.name], field.type))
-        else:
-            made.append(pa.nulls(n, field.type))
-    return pa.record_batch(made, schema=_OUT)
-
-
-def shared_spans(texts: DataFrame, threshold: float = 0.7, words: int = SPAN_WORDS) -> DataFrame:
-    """``(kind, id, other, pos)``: pairs that share a span, and the places of evaluation texts where one begins.
-
-    ``texts`` has ``id``, ``text`` (words joined by blanks, distinct) and
-    ``side`` (1 in training, 2 in evaluation, 3 both). The suffixes of all
-    texts, from every word on, are sorted over the cluster: the suffix array in
-    partitions; those whose first words the other side surely lacks, by bitmaps
-    of fixed size, are left out. Neighbours of both sides with a common prefix of at least
-    ``words`` words show a shared span. Under a node of the suffix tree with at
-    most ``LIMIT`` suffixes all pairs of both sides are candidates; a larger
-    node (a common phrase) is left to its children, so that phrases don't pair
-    all texts that have them. Nodes that lie across two partitions are
-    completed from the partitions' ends.
-    """
-    t = Fraction(threshold).limit_denominator(1000)
-    texts = texts.select(F.col("id").cast("bigint").alias("id"), "text", "side")
-    in_train, in_eval = collect(texts, _marks_by_side(words), 2, HEAD_BITS)
-    suffixes = texts.mapInArrow(_suffixes(words, in_train, in_eval), _SUFFIX)
-    out = "kind int, other bigint, " + _SUFFIX
-    parts = suffixes.repartitionByRange("suffix").sortWithinPartitions("suffix", "id")
-    found = stage(parts.mapInArrow(_scan(t, True), out), "spans")
-    ends = found.where(F.col("kind") == _EDGE).select(*[name for name, _ in _FIELDS]).distinct()
-    ends = ends.repartitionByRange(1, "suffix").sortWithinPartitions("suffix", "id").mapInArrow(_scan(t, False), out)
-    return found.where(F.col("kind") != _EDGE).unionByName(ends).select("kind", "id", "other", "pos").distinct()
-
+def _nodes(table: pa.Table, t: Fraction) -> Iterator[pa.RecordBatch]:
+    if not table.num_rows:
+        return
+    cols = {name: table.column(name).to_numpy() for name in ("head", "id", "side", "n", "s1", "s2")}
+    starts = np.flatnonzero(np.concatenate([[True], cols["head"][1:] != cols["head"][:-1]]))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+        e, r = _cross(cols, int(a), int(b), t)
+        left.append(e)
+        right.append(r)
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-def _classes(rows: DataFrame, text: str) -> DataFrame:
-    plain = rows.where(F.col(text).isNotNull()).select("row_id", "side", F.array_join(tokenize(F.col(text)), " ").alias("text"))
-    return plain.where("text <> ''").groupBy("text").agg(F.min("row_id").alias("id"), F.bit_or("side").alias("side"))
 
+def span_candidates(texts: DataFrame, threshold: float = 0.7, words: int = SPAN_WORDS, node: int = NODE) -> DataFrame:
+    """``(a, b)``: texts of the two sides that share a span of ``words`` words, and may be near-equal by a sketch of their words.
 
-def _members(rows: DataFrame, classes: DataFrame, text: str) -> DataFrame:
-    plain = rows.where(F.col(text).isNotNull()).select("row_id", "side", F.array_join(tokenize(F.col(text)), " ").alias("text"))
-    return plain.join(classes.select("text", "id"), "text").select("id", "row_id", "side")
+    The suffix array is partitioned by the first ``words`` words of the
+    suffixes, and neighbours of both sides under one node are paired. A node of
+    more than ``node`` suffixes is a phrase that says little, and gives none.
+    """
+    t = Fraction(threshold).limit_denominator(1000)
+    ordered = (
+        suffix_array(texts, words).where(F.col("in_node") <= node).drop("in_node", "sides")
+        .repartition("head").sortWithinPartitions("head", "suffix", "id").drop("suffix")
+    )
+    return ordered.mapInArrow(_scan(t), "a bigint, b bigint").distinct()
 
 
 def _sides(train: DataFrame, held_out: list[DataFrame]) -> DataFrame:
-    """Rows of all splits with ``side``; only the columns needed."""
+    """Rows of all splits with ``side``, the caption's words and the photo; staged, as they are read three times."""
     wanted = ["row_id", "image_id", "emotion_id", "emotion_caption"]
     rows = train.select(*wanted).withColumn("side", F.lit(TRAIN))
     for part in held_out:
         rows = rows.unionByName(part.select(*wanted).withColumn("side", F.lit(EVAL)))
-    return rows
+    plain = rows.select(
+        "row_id", "side", "emotion_id", photo_key(F.col("image_id")).alias("photo"), F.array_join(tokenize(F.col("emotion_caption")), " ").alias("text")
+    )
+    # Equal texts are told by a mark of 128 bits, so that the text needn't move again.
+    return stage(plain.withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64("text", F.lit(7))}), "sides")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Distinct texts with the least of their rows and the sides they are on."""
+    return stage(
+        rows.where("text is not null and text <> ''").groupBy("m1", "m2")
+        .agg(F.min("row_id").alias("id"), F.bit_or("side").alias("side"), F.any_value("text").alias("text")),
+        "classes",
+    )
 
 
-def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: float = 0.7, min_words: int = 5) -> DataFrame:
+def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: float = 0.7, min_words: int = 5, node: int = NODE) -> DataFrame:
     """``(train_row, eval_row, near_text, same_photo)`` of all rows of ``held_out`` that stand in ``train`` too.
 
     Two rows overlap if their captions are near-equal (shared / union of the
     distinct words at least ``threshold``, each with ``min_words`` of them or
     more), or if they show the same photo in the same style. Equal captions are
-    one text, and its rows are paired at the end. Near-equal texts of the two
-    sides are found by ``near_equal_links``, which is exact whether they share
-    a span or not, and however many texts share one. Rows with
-    null or short captions, photos or styles overlap by the other rule only.
+    one text, and its rows are paired at the end. Texts that share a rare
+    combination of words with one of the other side, as near-equal ones must,
+    are put into a suffix array, and those that share a span there are compared.
+    Near-equal texts need not share a span: in another order, with an edit in
+    every fifth word, or under a node of more than ``node`` suffixes the array
+    can't show them. The product of the same combinations gives these, so that
+    the result is whole, however many texts share a phrase. Rows with null or
+    short captions, photos or styles overlap by the other rule only.
     ``row_id`` is unique over all tables.
     """
     rows = _sides(train, held_out)
-    classes = stage(_classes(rows, "emotion_caption"), "classes")
-    sets = classes.select("id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("text"), "side")
-    links = stage(near_equal_links(sets, threshold, min_words, k=min(COMBINATION, min_words), across=True), "near_texts")
+    classes = _classes(rows)
+    sets = stage(
+        classes.select("id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("text"), "side"), "sets"
+    )
+    entries = candidates_across(sets, threshold, min_words, min(COMBINATION, min_words))
+    possible = classes.select("id", "text", "side").join(entries.select("id").distinct(), "id", "left_semi")
+    spans = span_candidates(stage(possible, "possible"), threshold, node=node)
+    links = stage(near_equal_links(sets, threshold, min_words, k=min(COMBINATION, min_words), entries=entries, candidates=spans), "near_texts")
     sides = classes.select("id", "side")
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     checked = (
@@ -335,24 +237,23 @@ def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: flo
         .select(F.col("a").alias("e"), F.col("b").alias("r"))
     )
     same = classes.where((F.col("side") == (TRAIN | EVAL)) & (F.size(F.array_distinct(F.split("text", " "))) >= min_words))
-    linked = checked.unionByName(same.select(F.col("id").alias("e"), F.col("id").alias("r")))
-    members = _members(rows, classes, "emotion_caption")
+    linked = stage(checked.unionByName(same.select(F.col("id").alias("e"), F.col("id").alias("r"))), "linked")
+    wanted = linked.select(F.col("e").alias("id")).unionByName(linked.select(F.col("r").alias("id"))).distinct()
+    members = rows.select("row_id", "side", "m1", "m2").join(classes.select("id", "m1", "m2").join(wanted, "id", "left_semi"), ["m1", "m2"])
     near = (
         linked.join(members.where(F.col("side") == EVAL).select(F.col("id").alias("e"), F.col("row_id").alias("eval_row")), "e")
         .join(members.where(F.col("side") == TRAIN).select(F.col("id").alias("r"), F.col("row_id").alias("train_row")), "r")
-        .select("train_row", "eval_row", F.lit(1).alias("near"), F.lit(0).alias("photo"))
-    )
-    shown = rows.select("row_id", "side", "emotion_id", photo_key(F.col("image_id")).alias("photo_key")).where(
-        "photo_key is not null and emotion_id is not null"
+        .select("train_row", "eval_row", F.lit(1).alias("near"), F.lit(0).alias("shown"))
     )
+    shown = rows.select("row_id", "side", "emotion_id", "photo").where("photo is not null and emotion_id is not null")
     photo = (
-        shown.where(F.col("side") == TRAIN).select("photo_key", "emotion_id", F.col("row_id").alias("train_row"))
-        .join(shown.where(F.col("side") == EVAL).select("photo_key", "emotion_id", F.col("row_id").alias("eval_row")), ["photo_key", "emotion_id"])
-        .select("train_row", "eval_row", F.lit(0).alias("near"), F.lit(1).alias("photo"))
+        shown.where(F.col("side") == TRAIN).select("photo", "emotion_id", F.col("row_id").alias("train_row"))
+        .join(shown.where(F.col("side") == EVAL).select("photo", "emotion_id", F.col("row_id").alias("eval_row")), ["photo", "emotion_id"])
+        .select("train_row", "eval_row", F.lit(0).alias("near"), F.lit(1).alias("shown"))
     )
     return (
         near.unionByName(photo).groupBy("train_row", "eval_row")
-        .agg((F.max("near") == 1).alias("near_text"), (F.max("photo") == 1).alias("same_photo"))
+        .agg((F.max("near") == 1).alias("near_text"), (F.max("shown") == 1).alias("same_photo"))
     )
 
 
@@ -375,14 +276,16 @@ def overlap_report(train: DataFrame, held_out: dict[str, DataFrame]) -> DataFram
 
 def covered_words(train: DataFrame, held_out: list[DataFrame], words: int = SPAN_WORDS) -> DataFrame:
     """``(row_id, n_words, covered)`` of the rows of ``held_out``: how many of their words lie in a span of
-    ``words`` words or more that training has too."""
+    ``words`` words or more that training has too, by the suffix array of all texts."""
     rows = _sides(train, held_out)
-    classes = stage(_classes(rows, "emotion_caption"), "classes")
-    places = shared_spans(classes, words=words).where(F.col("kind") == _SPAN).select("id", F.explode(F.sequence("pos", F.col("pos") + words - 1)).alias("at"))
-    covered = places.distinct().groupBy("id").agg(F.count("*").alias("covered"))
-    members = _members(rows, classes, "emotion_caption").where(F.col("side") == EVAL)
+    classes = _classes(rows)
+    places = suffix_array(classes, words).where(F.col("side").bitwiseAND(EVAL) > 0)
+    covered = (
+        places.select("id", F.explode(F.sequence("pos", F.col("pos") + words - 1)).alias("at")).distinct()
+        .groupBy("id").agg(F.count("*").alias("covered"))
+    )
+    members = rows.where(F.col("side") == EVAL).select("row_id", "m1", "m2").join(classes, ["m1", "m2"])
     return (
-        members.join(classes.select("id", F.size(F.split("text", " ")).alias("n_words")), "id")
-        .join(covered, "id", "left")
-        .select("row_id", "n_words", F.coalesce("covered", F.lit(0)).alias("covered"))
+        members.join(covered, "id", "left")
+        .select("row_id", F.size(F.split("text", " ")).alias("n_words"), F.coalesce("covered", F.lit(0)).alias("covered"))
     )

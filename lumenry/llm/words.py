@@ -21,7 +21,7 @@ def tokenised(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, flat.filter(pc.not_equal(flat, "")))
 
 
-def word_marks(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def word_marks(words: list[str], beginnings: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """A mark of each word, and for each length the words longer than that with the marks of their beginnings."""
     raw = [w.encode() for w in words]
     long = [i for i, w in enumerate(raw) if len(w) > 48]
@@ -34,7 +34,7 @@ def word_marks(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.
     for j in range(width):
         on = length > j
         mark = np.where(on, (mark ^ table[:, j].astype(np.uint64)) * _PRIME, mark)
-        more = np.flatnonzero(length > j + 1)
+        more = np.flatnonzero(length > j + 1) if beginnings else ()
         if len(more):
             begun.append((more, mark[more]))
     for i in long:
