@@ -21,7 +21,8 @@ from lumenry.stage import stage
 
 COMMON_WORDS = 4096  # words whose order is by count; all others come before them, in hash order
 COMBINATION = 3
-COMBINED = ((64, 3), (256, 2))  # words of the larger text of a pair up to which so many are combined; beyond, single words are
+COMBINATION_ACROSS = 4  # as only entries that both sides have move, more words cost little and say more
+COMBINED = ((24, 4), (64, 3), (256, 2))  # words of the larger text of a pair up to which at most so many are combined; beyond, single words are
 BLOCK_ROWS = 1024
 CELLS = 1 << 20  # entries made at a time
 TEXTS_A_BITMAP = 1_000_000  # of one task that makes a bitmap
@@ -71,15 +72,21 @@ class _Incidence:
         return self.shapes[n]
 
     def rows(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, int, np.ndarray, bool, np.ndarray]]:
-        """``(text, words, mark, large, small)`` of the combinations of a batch of texts, those of equal size together."""
+        """``(text, words, mark, large, small)`` of the combinations of a batch of texts, those of equal size together.
+
+        ``sketch`` has then for each text a bit of 64 for every word.
+        """
         listed = pc.split_pattern(texts, " ")
         flat = listed.flatten().dictionary_encode()
         vocabulary = flat.dictionary.to_pylist()
         rank = np.fromiter((self.ranks.get(w, 0) for w in vocabulary), np.uint64, len(vocabulary))
         # Rarest first; words of one rank by their marks.
-        key = (rank << np.uint64(52) | word_marks(vocabulary, False)[0] >> np.uint64(12))[flat.indices.to_numpy(zero_copy_only=False)]
+        marks = word_marks(vocabulary, False)[0]
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        key = (rank << np.uint64(52) | marks >> np.uint64(12))[codes]
         count = np.diff(listed.offsets.to_numpy())
         starts = np.cumsum(count) - count
+        self.sketch = np.bitwise_or.reduceat((np.uint64(1) << (marks & np.uint64(63)))[codes], starts) if len(codes) else np.zeros(0, np.uint64)
         for n in np.unique(count).tolist():
             same = np.flatnonzero(count == n)
             for order, own, combos, small in self.shape(n):
@@ -95,18 +102,18 @@ class _Incidence:
                     yield np.repeat(some, len(combos)), n, mix(mark.reshape(-1)), own, np.tile(small, len(some))
 
 
-def _entries(ids: pa.Array, text: np.ndarray, n: int, mark: np.ndarray, large: np.ndarray, small: np.ndarray, turn: int) -> pa.RecordBatch:
+def _entries(ids: pa.Array, sketch: np.ndarray, text: np.ndarray, n: int, mark: np.ndarray, large: np.ndarray, small: np.ndarray, turn: int) -> pa.RecordBatch:
     m = len(mark)
     return pa.record_batch(
         [
             pa.array(mark.view(np.int64)), ids.take(pa.array(text)), pa.array(np.full(m, n, np.int32)), pa.array(large), pa.array(small),
-            pa.array(np.full(m, turn, np.int32)),
+            pa.array(np.full(m, turn, np.int32)), pa.array(sketch[text].view(np.int64)),
         ],
-        ["sig", "id", "n", "large", "small", "turn"],
+        ["sig", "id", "n", "large", "small", "turn", "sketch"],
     )
 
 
-_ENTRIES = "sig bigint, id bigint, n int, large boolean, small boolean, turn int"
+_ENTRIES = "sig bigint, id bigint, n int, large boolean, small boolean, turn int, sketch bigint"
 
 
 def _matrix(ranks: dict[str, int], t: Fraction, k: int):
@@ -114,7 +121,7 @@ def _matrix(ranks: dict[str, int], t: Fraction, k: int):
         incidence = _Incidence(ranks, t, k)
         for batch in batches:
             for text, n, mark, large, small in incidence.rows(batch.column(1)):
-                yield _entries(batch.column(0), text, n, mark, np.full(len(mark), large), small, 0)
+                yield _entries(batch.column(0), incidence.sketch, text, n, mark, np.full(len(mark), large), small, 0)
 
     return run
 
@@ -132,9 +139,9 @@ def _matrix_of_side(ranks: dict[str, int], t: Fraction, k: int, side: int, other
             for text, n, mark, large, small in incidence.rows(batch.column(1)):
                 if large:
                     keep = has(as_small, mark)
-                    yield _entries(batch.column(0), text[keep], n, mark[keep], np.ones(int(keep.sum()), bool), np.zeros(int(keep.sum()), bool), side)
+                    yield _entries(batch.column(0), incidence.sketch, text[keep], n, mark[keep], np.ones(int(keep.sum()), bool), np.zeros(int(keep.sum()), bool), side)
                 keep = small & has(as_large, mark)
-                yield _entries(batch.column(0), text[keep], n, mark[keep], np.zeros(int(keep.sum()), bool), np.ones(int(keep.sum()), bool), 3 - side)
+                yield _entries(batch.column(0), incidence.sketch, text[keep], n, mark[keep], np.zeros(int(keep.sum()), bool), np.ones(int(keep.sum()), bool), 3 - side)
 
     return run
 
@@ -168,43 +175,45 @@ def _across(sets: DataFrame, ranks: dict[str, int], t: Fraction, k: int) -> tupl
         b.column(0).filter(b.column(c)).to_numpy(zero_copy_only=False).view(np.uint64) for c in (2, 1)
     ]
     held = collect(one.select("sig", "large", "small").coalesce(1 + size // (64 * TEXTS_A_BITMAP)), pick, [bits_for(size), bits_for(size)])
-    two = few.select("id", "text").mapInArrow(_matrix_of_side(ranks, t, k, 3 - side, held), _ENTRIES)
+    two = stage(few.select("id", "text").mapInArrow(_matrix_of_side(ranks, t, k, 3 - side, held), _ENTRIES), "entries")
     return one, two
 
 
 def near_equal_links(
-    sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION, entries: DataFrame | None = None, candidates: DataFrame | None = None
+    sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION, entries: DataFrame | None = None
 ) -> DataFrame:
     """``(a, b)``, a < b, of all pairs of word sets with shared / union >= ``threshold``.
 
     ``sets`` has ``id bigint`` (unique) and ``text string``, the distinct words
     joined by single spaces; texts of fewer than ``min_words`` words link to
     nothing. ``entries`` are those of the matrix where only pairs across two
-    sides are wanted (``candidates_across``); ``candidates`` ``(a, b)`` are
-    compared besides those of the product. Words are ordered rarest first (counted over all sets; the
+    sides are wanted (``entries_across``). Words are ordered rarest first (counted over all sets; the
     ``COMMON_WORDS`` most frequent go to the driver, a fixed bound, any others
     count as rarer). Two sets that are near-equal share at least ``k`` of the
     first words of that order whose number follows from their sizes, so the
     product of the sparse matrix (set by combination of ``k`` such words) with
     its transpose has an entry for every near-equal pair. It is blocked by
-    combination over the cluster; entries are summed, those under the bound
-    that the two sizes give are discarded, and the rest is compared word by word.
+    combination over the cluster; entries of pairs that a sketch of their words
+    rules out are left out, the others summed, those under the bound that the
+    two sizes give discarded, and the rest is compared word by word.
     """
     t = Fraction(threshold).limit_denominator(1000)
     sets = _long_enough(sets, min_words, k).select("id", "text")
     matrix = sets.mapInArrow(_matrix(_ranks(sets), t, k), _ENTRIES) if entries is None else entries
-    large = matrix.where("large").select("sig", "turn", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    small = matrix.where("small").select("sig", "turn", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    joined = large.join(small, ["sig", "turn"])
+    large = matrix.where("large").select("sig", "turn", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    small = matrix.where("small").select("sig", "turn", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    # Shared words needed of two sets, and what they can share by their sketches: a bit that the other lacks is a word it lacks.
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
+    lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
     product = (
-        joined
+        large.join(small, ["sig", "turn"])
         .where((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
         .where(F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
+        .where((F.col("n_a") - lacks("s_a", "s_b") >= need) & (F.col("n_b") - lacks("s_b", "s_a") >= need))
         .groupBy("a", "b", "n_a", "n_b")
         .agg(F.count("*").alias("entries"))
     )
-    # Shared words needed of two sets; words of either that lie behind those compared so far.
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
+    # Words of either that lie behind those compared so far.
     used = F.lit(1)
     for most, order in reversed(COMBINED):
         used = F.when(F.col("n_a") <= most, min(order, k)).otherwise(used)
@@ -217,8 +226,6 @@ def near_equal_links(
     for order in range(1, k + 1):
         least = F.when((used == order) & (short > order), _combinations(short, order)).otherwise(least)
     pairs = product.where(F.col("entries") >= least).select("a", "b")
-    if candidates is not None:
-        pairs = pairs.unionByName(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
     words = sets.select("id", "text")
     checked = (
         pairs.join(words.select(F.col("id").alias("a"), F.split("text", " ").alias("x")), "a")
@@ -240,7 +247,7 @@ def _ranks(sets: DataFrame) -> dict[str, int]:
     return {r["word"]: len(top) - i for i, r in enumerate(top)}
 
 
-def candidates_across(sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION) -> DataFrame:
+def entries_across(sets: DataFrame, threshold: float = 0.7, min_words: int = 5, k: int = COMBINATION) -> DataFrame:
     """The entries of ``near_equal_links``' matrix that both sides have, for sets with ``side`` (1, 2, or 3 for both).
 
     A text without an entry is near-equal to none of the other side. Entries
@@ -250,7 +257,7 @@ def candidates_across(sets: DataFrame, threshold: float = 0.7, min_words: int =
     t = Fraction(threshold).limit_denominator(1000)
     sets = _long_enough(sets, min_words, k).select("id", "text", "side")
     one, two = _across(sets, _ranks(sets.select("text")), t, k)
-    return stage(one.unionByName(two), "entries")
+    return one.unionByName(two)
 
 
 def _combinations(n: Column, k: int) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,39 +12,15 @@ from pyspark.sql import functions as F
 
 from lumenry.functions.text import photo_key, tokenize
 from lumenry.llm.bitmaps import bits_for, collect, has
-from lumenry.llm.near_equal import COMBINATION, candidates_across, near_equal_links
+from lumenry.llm.near_equal import COMBINATION_ACROSS, entries_across, near_equal_links
 from lumenry.llm.words import mix, word_marks
 from lumenry.stage import stage
 
 SPAN_WORDS = 5
-NODE = 1024  # suffixes under one node of which all pairs are looked at
-SUFFIX_WORDS = 64  # by which suffixes are ordered
 TEXTS_A_BITMAP = 250_000  # of one task that makes bitmaps
 TRAIN, EVAL = 1, 2
 
-_SUFFIX = "head bigint, suffix array<bigint>, id bigint, pos int, side int, n int, s1 bigint, s2 bigint"
-
-
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
-
-
-def _cross(cols: dict[str, np.ndarray], a: int, b: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(evaluation, training) pairs of the members ``a`` to ``b`` of one node that can still be near-equal.
-
-    A word of one text whose bit the other lacks isn't shared, which bounds
-    what they share from above.
-    """
-    side = cols["side"][a:b]
-    e, r = a + np.flatnonzero(side & EVAL), a + np.flatnonzero(side & TRAIN)
-    e, r = np.repeat(e, len(r)), np.tile(r, len(e))
-    n, m = cols["n"][e].astype(np.int64), cols["n"][r].astype(np.int64)
-    s1, s2 = cols["s1"], cols["s2"]
-    lost = _bits(s1[e] & ~s1[r]) + _bits(s2[e] & ~s2[r])
-    gained = _bits(s1[r] & ~s1[e]) + _bits(s2[r] & ~s2[e])
-    shared = np.minimum(n - lost, m - gained)
-    ok = (shared * (t.numerator + t.denominator) >= t.numerator * (n + m)) & (cols["id"][e] != cols["id"][r])
-    return cols["id"][e[ok]], cols["id"][r[ok]]
+_SUFFIX = "head bigint, id bigint, pos int, side int"
 
 
 class _Heads:
@@ -56,35 +31,16 @@ class _Heads:
         flat = listed.flatten().dictionary_encode()
         marks, _ = word_marks(flat.dictionary.to_pylist(), False)
         codes = flat.indices.to_numpy(zero_copy_only=False)
-        self.marks = marks[codes]
+        marks = marks[codes]
         count = np.diff(listed.offsets.to_numpy())
         starts = np.cumsum(count) - count
-        row = np.repeat(np.arange(len(count)), count)
-        # Distinct words, and a sketch of 128 bits of them.
-        unique = np.unique(row.astype(np.int64) << 32 | codes)
-        self.n = np.bincount(unique >> 32, minlength=len(count)).astype(np.int32)
-        bit = np.uint64(1) << (self.marks & np.uint64(63))
-        odd = (self.marks >> np.uint64(6) & np.uint64(1)).astype(bool)
-        self.sketch = []
-        for side in (~odd, odd):
-            out = np.zeros(len(count), dtype=np.uint64)
-            some = count > 0
-            if some.any():
-                out[some] = np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts[some])
-            self.sketch.append(out.view(np.int64))
         spans = np.maximum(count - words + 1, 0)
         self.row = np.repeat(np.arange(len(count)), spans)
         self.pos = np.arange(len(self.row)) - np.repeat(np.cumsum(spans) - spans, spans)
-        self.at = np.repeat(starts, spans) + self.pos
-        self.left = np.minimum(np.repeat(count, spans) - self.pos, SUFFIX_WORDS)  # words of each suffix
-        self.head = np.zeros(len(self.at), dtype=np.uint64)
+        at = np.repeat(starts, spans) + self.pos
+        self.head = np.zeros(len(at), dtype=np.uint64)
         for j in range(words):
-            self.head = mix(self.head * np.uint64(3) + self.marks[self.at + j])
-
-    def suffixes(self, keep: np.ndarray) -> pa.ListArray:
-        count = self.left[keep]
-        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.at[keep], count)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(self.marks[at].view(np.int64)))
+            self.head = mix(self.head * np.uint64(3) + marks[at + j])
 
 
 def _marks_by_side(words: int):
@@ -109,77 +65,31 @@ def _suffixes(words: int, in_train: np.ndarray, in_eval: np.ndarray):
             row = heads.row[keep]
             yield pa.record_batch(
                 [
-                    pa.array(heads.head[keep].view(np.int64)), heads.suffixes(keep), pa.array(ids[row]), pa.array(heads.pos[keep].astype(np.int32)), pa.array(own[keep]),
-                    pa.array(heads.n[row]), pa.array(heads.sketch[0][row]), pa.array(heads.sketch[1][row]),
+                    pa.array(heads.head[keep].view(np.int64)), pa.array(ids[row]), pa.array(heads.pos[keep].astype(np.int32)), pa.array(own[keep]),
                 ],
-                ["head", "suffix", "id", "pos", "side", "n", "s1", "s2"],
+                ["head", "id", "pos", "side"],
             )
 
     return run
 
 
-def suffix_array(texts: DataFrame, words: int = SPAN_WORDS) -> DataFrame:
-    """The suffixes, from every word on, of the texts of both sides, with ``in_node`` and ``sides`` of the node that each is under.
+def shared_suffixes(texts: DataFrame, words: int = SPAN_WORDS) -> DataFrame:
+    """``(id, pos, side)`` of the suffixes, from a word on, of both sides' texts that agree with one of the other side in ``words`` words.
 
     ``texts`` has ``id``, ``text`` (words joined by blanks, distinct) and
-    ``side`` (1 in training, 2 in evaluation, 3 both). A node are the suffixes
-    that agree in their first ``words`` words. Suffixes whose first words the
-    other side surely lacks, by bitmaps of bounded size, are left out.
+    ``side`` (1 in training, 2 in evaluation, 3 both). The suffix array of all
+    texts is partitioned by the first words of the suffixes, so that neighbours
+    with a common prefix of so many words meet wherever they come from; of each
+    such node only the sides that are under it count, which is summed before
+    anything moves. Suffixes whose first words the other side surely lacks, by
+    bitmaps of bounded size, are left out.
     """
     texts = texts.select(F.col("id").cast("bigint").alias("id"), "text", "side")
     n = texts.count()
     in_train, in_eval = collect(texts.coalesce(1 + n // TEXTS_A_BITMAP), _marks_by_side(words), [bits_for(16 * n)] * 2)
     suffixes = stage(texts.mapInArrow(_suffixes(words, in_train, in_eval), _SUFFIX), "suffixes")
-    nodes = suffixes.groupBy("head").agg(F.count("*").alias("in_node"), F.bit_or("side").alias("sides"))
-    return suffixes.join(nodes.where(F.col("sides") == (TRAIN | EVAL)), "head")
-
-
-def _scan(t: Fraction):
-    """Over suffixes in order: pairs of texts that are neighbours of both sides under one node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            head = table.column("head").to_numpy()
-            if not len(head):
-                continue
-            cut = int(np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))[-1])  # the last node may go on in the next batch
-            yield from _nodes(table.slice(0, cut), t)
-            held = table.slice(cut)
-        if held is not None:
-            yield from _nodes(held, t)
-
-    return run
-
-
-def _nodes(table: pa.Table, t: Fraction) -> Iterator[pa.RecordBatch]:
-    if not table.num_rows:
-        return
-    cols = {name: table.column(name).to_numpy() for name in ("head", "id", "side", "n", "s1", "s2")}
-    starts = np.flatnonzero(np.concatenate([[True], cols["head"][1:] != cols["head"][:-1]]))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
-        e, r = _cross(cols, int(a), int(b), t)
-        left.append(e)
-        right.append(r)
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-
-def span_candidates(texts: DataFrame, threshold: float = 0.7, words: int = SPAN_WORDS, node: int = NODE) -> DataFrame:
-    """``(a, b)``: texts of the two sides that share a span of ``words`` words, and may be near-equal by a sketch of their words.
-
-    The suffix array is partitioned by the first ``words`` words of the
-    suffixes, and neighbours of both sides under one node are paired. A node of
-    more than ``node`` suffixes is a phrase that says little, and gives none.
-    """
-    t = Fraction(threshold).limit_denominator(1000)
-    ordered = (
-        suffix_array(texts, words).where(F.col("in_node") <= node).drop("in_node", "sides")
-        .repartition("head").sortWithinPartitions("head", "suffix", "id").drop("suffix")
-    )
-    return ordered.mapInArrow(_scan(t), "a bigint, b bigint").distinct()
+    nodes = suffixes.groupBy("head").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == (TRAIN | EVAL))
+    return suffixes.join(nodes.select("head"), "head", "left_semi").select("id", "pos", "side")
 
 
 def _sides(train: DataFrame, held_out: list[DataFrame]) -> DataFrame:
@@ -195,40 +105,33 @@ def _sides(train: DataFrame, held_out: list[DataFrame]) -> DataFrame:
     return stage(plain.withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64("text", F.lit(7))}), "sides")
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """Distinct texts with the least of their rows and the sides they are on."""
-    return stage(
-        rows.where("text is not null and text <> ''").groupBy("m1", "m2")
-        .agg(F.min("row_id").alias("id"), F.bit_or("side").alias("side"), F.any_value("text").alias("text")),
-        "classes",
+def _classes(rows: DataFrame, distinct: bool) -> DataFrame:
+    """Distinct texts, or their distinct words, with the least of their rows and the sides they are on."""
+    found = rows.where("text is not null and text <> ''").groupBy("m1", "m2").agg(
+        F.min("row_id").alias("id"), F.bit_or("side").alias("side"), F.any_value("text").alias("text")
     )
+    return stage(found.withColumn("text", F.array_join(F.array_distinct(F.split("text", " ")), " ")) if distinct else found, "classes")
 
 
-def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: float = 0.7, min_words: int = 5, node: int = NODE) -> DataFrame:
+def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: float = 0.7, min_words: int = 5) -> DataFrame:
     """``(train_row, eval_row, near_text, same_photo)`` of all rows of ``held_out`` that stand in ``train`` too.
 
     Two rows overlap if their captions are near-equal (shared / union of the
     distinct words at least ``threshold``, each with ``min_words`` of them or
     more), or if they show the same photo in the same style. Equal captions are
-    one text, and its rows are paired at the end. Texts that share a rare
-    combination of words with one of the other side, as near-equal ones must,
-    are put into a suffix array, and those that share a span there are compared.
-    Near-equal texts need not share a span: in another order, with an edit in
-    every fifth word, or under a node of more than ``node`` suffixes the array
-    can't show them. The product of the same combinations gives these, so that
-    the result is whole, however many texts share a phrase. Rows with null or
-    short captions, photos or styles overlap by the other rule only.
-    ``row_id`` is unique over all tables.
+    one text, and its rows are paired at the end. Near-equal texts need not
+    share a span (they may have another order, or an edit in every fifth word),
+    so they aren't found by the suffix array but by the product of texts and
+    combinations of rare words across the two sides, which is whole, however
+    many texts share a phrase. Rows with null or short captions, photos or
+    styles overlap by the other rule only. ``row_id`` is unique over all tables.
     """
     rows = _sides(train, held_out)
-    classes = _classes(rows)
-    sets = stage(
-        classes.select("id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("text"), "side"), "sets"
-    )
-    entries = candidates_across(sets, threshold, min_words, min(COMBINATION, min_words))
-    possible = classes.select("id", "text", "side").join(entries.select("id").distinct(), "id", "left_semi")
-    spans = span_candidates(stage(possible, "possible"), threshold, node=node)
-    links = stage(near_equal_links(sets, threshold, min_words, k=min(COMBINATION, min_words), entries=entries, candidates=spans), "near_texts")
+    classes = _classes(rows, True)
+    sets = classes.select("id", "text", "side")
+    k = min(COMBINATION_ACROSS, min_words)
+    entries = entries_across(sets, threshold, min_words, k)
+    links = stage(near_equal_links(sets, threshold, min_words, k, entries), "near_texts")
     sides = classes.select("id", "side")
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     checked = (
@@ -236,7 +139,7 @@ def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: flo
         .join(sides.where(F.col("side").bitwiseAND(TRAIN) > 0).select(F.col("id").alias("b")), "b")
         .select(F.col("a").alias("e"), F.col("b").alias("r"))
     )
-    same = classes.where((F.col("side") == (TRAIN | EVAL)) & (F.size(F.array_distinct(F.split("text", " "))) >= min_words))
+    same = classes.where((F.col("side") == (TRAIN | EVAL)) & (F.size(F.split("text", " ")) >= min_words))
     linked = stage(checked.unionByName(same.select(F.col("id").alias("e"), F.col("id").alias("r"))), "linked")
     wanted = linked.select(F.col("e").alias("id")).unionByName(linked.select(F.col("r").alias("id"))).distinct()
     members = rows.select("row_id", "side", "m1", "m2").join(classes.select("id", "m1", "m2").join(wanted, "id", "left_semi"), ["m1", "m2"])
@@ -258,28 +161,32 @@ def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: flo
 
 
 def overlap_report(train: DataFrame, held_out: dict[str, DataFrame]) -> DataFrame:
-    """Per split and source: its rows, those that overlap with training, and the pairs; null sources count together."""
+    """Per split and source: its rows, those that overlap with training, the pairs, and the words of its captions with
+    those of them in spans that training has too; null sources count together."""
     found = overlapping_rows(train, list(held_out.values()))
     rows = None
     for name, part in held_out.items():
         one = part.select(F.lit(name).alias("split"), "source", F.col("row_id").alias("eval_row"))
         rows = one if rows is None else rows.unionByName(one)
     by_row = found.groupBy("eval_row").agg(F.count("*").alias("pairs"), F.max("near_text").alias("near"), F.max("same_photo").alias("photo"))
-    return rows.join(by_row, "eval_row", "left").groupBy("split", "source").agg(
+    spans = covered_words(train, list(held_out.values())).withColumnRenamed("row_id", "eval_row")
+    return rows.join(by_row, "eval_row", "left").join(spans, "eval_row", "left").groupBy("split", "source").agg(
         F.count("*").alias("n_rows"),
         F.count("pairs").alias("n_overlapping"),
         F.count(F.when(F.col("near"), 1)).alias("n_near_text"),
         F.count(F.when(F.col("photo"), 1)).alias("n_same_photo"),
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"),
+        F.coalesce(F.sum("n_words"), F.lit(0)).cast("bigint").alias("n_words"),
+        F.coalesce(F.sum("covered"), F.lit(0)).cast("bigint").alias("n_covered"),
     )
 
 
 def covered_words(train: DataFrame, held_out: list[DataFrame], words: int = SPAN_WORDS) -> DataFrame:
     """``(row_id, n_words, covered)`` of the rows of ``held_out``: how many of their words lie in a span of
-    ``words`` words or more that training has too, by the suffix array of all texts."""
+    ``words`` words or more that training has too, by the suffixes of all texts."""
     rows = _sides(train, held_out)
-    classes = _classes(rows)
-    places = suffix_array(classes, words).where(F.col("side").bitwiseAND(EVAL) > 0)
+    classes = _classes(rows, False)
+    places = shared_suffixes(classes, words).where(F.col("side").bitwiseAND(EVAL) > 0)
     covered = (
         places.select("id", F.explode(F.sequence("pos", F.col("pos") + words - 1)).alias("at")).distinct()
         .groupBy("id").agg(F.count("*").alias("covered"))

@@ -281,10 +281,36 @@ def test_foreign_rows_judge_as_one_by_one():
 
 def test_near_copy_tells_a_cut():
     full = tok("the quick brown fox jumps over the lazy dog near the river bank today")
-    assert truncation.aligned_end(full[:-2], full) == "early"
-    assert truncation.aligned_end([*full[:-1], "tod"], full) == "early"
-    assert truncation.aligned_end(full, full) == "same"
-    assert truncation.aligned_end(tok("nothing alike at all here"), full) is None
+    assert truncation.aligned_end(full[:-2], full[:-2], truncation.GOES_ON) == "early"
+    assert truncation.aligned_end([*full[:-1], "tod"], full, truncation.CLOSES) == "inside"
+    assert truncation.aligned_end(full, full, truncation.CLOSES | truncation.GOES_ON) == "same"
+    assert truncation.aligned_end(tok("nothing alike at all here today"), full, truncation.CLOSES) is None
+    other = tok("a slow green bird sings under a warm sun near the river bank today")
+    assert truncation.aligned_end(full, other, truncation.GOES_ON) is None
+
+
+@pytest.mark.parametrize("share", [0.3, 0.45, 0.6, 0.75, 0.9])
+def test_cut_copies_are_told_by_their_whole(spark, share):
+    rng = random.Random(int(share * 100))
+    vocabulary = [f"{a}{b}{c}" for a in ("bri", "sto", "cla", "mer", "pol") for b in ("nde", "ta", "lo", "vi") for c in ("n", "rk", "st", "sh")]
+    rows, cut = [], set()
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(30)]
+        whole = " ".join(words)
+        rows.append((3 * i, whole.capitalize() + ".", None))
+        at = int(len(whole) * share)
+        while whole[at] == " " or whole[at - 1] == " " or not whole[at - 2 : at].isalpha():
+            at += 1
+        part = whole[:at].split()
+        if i % 3 == 0 and len(part) > 14:  # a near-copy: one word differs
+            part[1] = "another"
+        rows.append((3 * i + 1, " ".join(part), None))
+        cut.add(3 * i + 1)
+        rows.append((3 * i + 2, whole, None))  # the whole without its full stop
+    df = spark.createDataFrame(rows, "row_id long, said string, asked string")
+    got = {r.row_id: r.reason for r in truncation.truncated_rows(df.repartition(5), "row_id", "said", "asked").collect()}
+    assert {k for k, v in got.items() if v == "copy"} == cut
+    assert set(got) == cut
 
 
 def test_truncation_of_nothing(spark):
@@ -317,8 +343,10 @@ def test_defects(spark):
     "Can't do that one, sorry!", "I'm sorry, but I can't create that caption.", "Sorry, I cannot provide a caption for it.", "I won't write this.",
     "Unfortunately I am unable to generate the requested caption", "I’m afraid I can’t do that.", "We respectfully decline to write such a caption.",
 ])
-def test_refusals_by_grammar(text):
-    assert pairs._REFUSES.search(" ".join(pairs.words_of(text)).replace("'", "")) and not pairs._REFUSING.isdisjoint(pairs.words_of(text))
+def test_refusals_by_grammar(spark, text):
+    prompt = "A clown in a red coat is lifting a heavy stone near the old mill."
+    df = spark.createDataFrame([(1, prompt, text), (2, None, text)], "row_id long, asked string, said string")
+    assert [r.defect for r in pairs.broken_pairs(df, "row_id", "asked", "said").collect()] == ["refusal", "refusal"]
 
 
 @pytest.mark.parametrize("text", [
@@ -326,7 +354,42 @@ def test_refusals_by_grammar(text):
     "I cannot give this heart away beside the quiet mill", "Sorry, whispers the clown, and the dog will not turn.",
 ])
 def test_scenes_are_no_refusals(text):
-    assert not pairs._REFUSES.search(" ".join(pairs.words_of(text)).replace("'", ""))
+    assert not pairs.is_refusal(tok(text), tok("A clown with a sad heart sits near an old mill while a sailor and a nurse read a letter beside a dog"))
+
+
+# Written before the grammar was run on them.
+UNSEEN_REFUSALS = [
+    "Sorry, I can't create that caption.", "I am unable to generate a caption for this image.", "I refuse to answer.", "I'm afraid I cannot comply with this request.",
+    "As an AI, I don't have feelings to express.", "My guidelines do not permit this kind of content.", "I would prefer not to write about this.",
+    "Please provide a different image and I will try again.", "That request falls outside what I can do.", "I do not have access to the picture.",
+    "Unfortunately, I won't be able to help you with that.", "I have to decline this one.", "We cannot fulfil your request at this time.",
+    "It is not possible for me to rewrite this sentence.", "I apologize, but this caption violates our content policy.", "There is not enough information to write a caption.",
+    "I don't feel comfortable writing that.", "This content is not appropriate, so I must decline.", "Could you share the photo first?", "I can't do this, sorry.",
+]
+UNSEEN_FOREIGN = [
+    "Stary marynarz czeka na brzegu, kiedy noc powoli się kończy.", "Den gamle mand sidder ved havnen og ser på sin hund.", "Yaşlı adam ve köpeği denizin yanında bir gün daha bekliyor.",
+    "Seorang anak kecil bermain dengan bola di taman yang hijau.", "En gammal man sitter på en bänk och väntar på sin hund.", "Vanha mies ja hänen koiransa istuvat rannalla, mutta yö on jo tullut.",
+    "Egy öreg ember ül a padon, és nem tudja, hogy mikor jön az éj.", "Un home vell espera amb el seu gos quan arriba la nit.", "Bătrânul stă pe bancă și așteaptă să vină noaptea din nou.",
+    "Một người đàn ông ngồi bên bờ biển với con chó của mình.", "Starý muž sedí na lavičce a čeká, až se vrátí jeho pes.", "Một ngày nữa đã trôi qua và không có ai.",
+    "Hann situr á bekknum og horfir á sjóinn með hundinum.", "Ninguém sabe por que o velho ainda espera na praça.", "Die Frau und der Hund sind nicht mehr zu sehen.",
+]
+UNSEEN_ENGLISH = [
+    "Man in hat sits at bar.", "Two dogs, one ball, no mercy!", "Die hard fans sing in the rain.", "O sun, come home to me at last.", "La la la sings the little girl in pink.",
+    "An old man and his dog sit on a pier at dawn.", "Lonely pier, pale moon, cold tea.", "With a bon appetit and a grand adieu, the chef leaves the table.",
+    "Pour me a pint, says the sad sailor.", "War is over for the tired men in the tent.",
+]
+
+
+def test_defects_not_looked_at_before(spark):
+    prompt = "A clown in a red coat is lifting a heavy stone near the old mill."
+    texts = UNSEEN_REFUSALS + UNSEEN_FOREIGN + UNSEEN_ENGLISH
+    df = spark.createDataFrame([(i, prompt, t) for i, t in enumerate(texts)], "row_id long, asked string, said string")
+    got = {r.row_id: r.defect for r in pairs.broken_pairs(df, "row_id", "asked", "said").collect()}
+    n, m = len(UNSEEN_REFUSALS), len(UNSEEN_REFUSALS) + len(UNSEEN_FOREIGN)
+    missed = [texts[i] for i in range(n) if got.get(i) != "refusal"] + [texts[i] for i in range(n, m) if got.get(i) != "language"]
+    assert sum(got.get(i) == "refusal" for i in range(n)) >= 0.9 * n, missed
+    assert sum(got.get(i) == "language" for i in range(n, m)) >= 0.9 * (m - n), missed
+    assert not [texts[i] for i in range(m, len(texts)) if got.get(i) in ("refusal", "language")]
 
 
 def test_suffix_automaton_covers_as_brute_force_does():
@@ -343,8 +406,8 @@ def test_suffix_automaton_covers_as_brute_force_does():
 # Overlap
 
 
-def test_overlaps_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "LIMIT", 20)
+@pytest.mark.parametrize("parts", [2, 7])
+def test_overlaps_match_brute_force(spark, parts):
     rng = random.Random(8)
     schema = "row_id long, image_id string, emotion_id int, emotion_caption string, source string, side int"
     rows = []
@@ -352,26 +415,34 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
         base = " ".join([*rng.choice(SENTENCES).split(), *(f"w{rng.randrange(12)}" for _ in range(4))])
         rows.append((i, f"{1000000000 + rng.randrange(50)}_00000000aa.jpg" if i % 3 else None, rng.choice([None, 0, 1]), edited(rng, base), rng.choice(["a", None]), 0))
     rows += [(200 + i, None, None, odd, "a", 0) for i, odd in enumerate(ODD * 2)]
-    parts = rows[:70] + rows[120:126], rows[70:100] + rows[126:], rows[100:120]
-    train, test, val = (spark.createDataFrame(p, schema) for p in parts)
+    split = rows[:70] + rows[120:126], rows[70:100] + rows[126:], rows[100:120]
+    train, test, val = (spark.createDataFrame(p, schema).repartition(parts) for p in split)
     got = {(r.train_row, r.eval_row) for r in overlap.overlapping_rows(train, [test, val]).collect()}
 
     def photo(x, y):
         return x[1] and x[1] == y[1] and x[2] is not None and x[2] == y[2]
 
-    wanted = {(x[0], y[0]) for x in parts[0] for y in parts[1] + parts[2] if near(x[3], y[3]) or photo(x, y)}
-
-    def run(x, y):
-        a, b = tok(x[3] or ""), tok(y[3] or "")
-        return any(a[i : i + 5] == b[j : j + 5] for i in range(len(a) - 4) for j in range(len(b) - 4))
-
-    by_id = {r[0]: r for r in rows}
-    assert got <= wanted
-    assert not [p for p in wanted - got if run(by_id[p[0]], by_id[p[1]]) and sum(run(by_id[p[0]], y) for y in rows) < 20]
+    held = split[1] + split[2]
+    assert got == {(x[0], y[0]) for x in split[0] for y in held if near(x[3], y[3]) or photo(x, y)}
     report = overlap.overlap_report(train, {"test": test, "val": val}).collect()
     assert sum(r.n_pairs for r in report) == len(got)
-    covered = {r.row_id: (r.n_words, r.covered) for r in overlap.covered_words(train, [test, val]).collect()}
-    assert all(0 <= c <= n for n, c in covered.values())
+    spans = {tuple(w[i : i + 5]) for x in split[0] for w in [tok(x[3] or "")] for i in range(len(w) - 4)}
+    wanted = {}
+    for y in held:
+        if w := tok(y[3] or ""):
+            wanted[y[0]] = (len(w), len({j for i in range(len(w) - 4) if tuple(w[i : i + 5]) in spans for j in range(i, i + 5)}))
+    assert {r.row_id: (r.n_words, r.covered) for r in overlap.covered_words(train, [test, val]).collect()} == wanted
+
+
+def test_overlaps_under_one_phrase_are_whole(spark):
+    schema = "row_id long, image_id string, emotion_id int, emotion_caption string, source string"
+    start = "w1 w2 w3 w4 w5 w6"
+    said = lambda i: f"{start} {' '.join(f'x{i % 5}{j}' for j in range(4))} y{i}"
+    train = spark.createDataFrame([(i, None, None, said(i), "a") for i in range(1500)], schema)
+    test = spark.createDataFrame([(10000 + i, None, None, said(i) + "b", "a") for i in range(1500)], schema)
+    got = overlap.overlapping_rows(train, [test])
+    # Ten of twelve words are shared by those of one kind.
+    assert got.count() == 5 * 300 * 300 and got.where("train_row % 5 <> (eval_row - 10000) % 5").count() == 0
 
 
 def test_overlaps_of_texts_under_one_full_node_or_in_another_order(spark):
@@ -487,6 +558,47 @@ def test_template_residue(spark):
 
 
 def test_templates_merge():
-    tree = templates.TemplateTree()
-    ids = {tree.add(templates.tokens(f"We counted {i} photos with a {w} and a hat")) for i, w in enumerate(["dog", "cat", "bird"])}
-    assert len(ids) == 1 and tree.templates[ids.pop()] == "We counted <*> photos with a <*> and a hat".split()
+    leaf = templates.Leaf()
+    ids = {leaf.add(templates.tokens(f"We counted {i} photos with a {w} and a hat."), 2) for i, w in enumerate(["dog", "cat", "bird"])}
+    assert ids == {0} and leaf.templates[0] == "we counted <#> photos with a <*> and a hat".split()
+    assert leaf.fillers[0] == {6: {"dog", "cat", "bird"}} and leaf.documents == [6]
+
+
+def test_varying_words_tell_a_sentence_from_a_message(spark):
+    told = "Every visitor to the {} knows that the page was not found on this server last year."
+    fixed = "The image host did lose its page (request 17)."
+    one = spark.createDataFrame([(1, told.format("dune")), (2, fixed)], "doc_id long, text string")
+    assert {r.doc_id for r in templates.template_residue(one, "doc_id", "text").collect()} == {1}
+    words = ["dune", "mill", "quarry", "pond", "harbour", "market", "library", "stadium"]
+    rows = [(i, f"A fine day. {told.format(w)} And so on.") for i, w in enumerate(words)]
+    rows += [(100 + i, f"A {w}. {fixed.replace('17', str(i))} The {w} again.") for i, w in enumerate(words)]
+    rows += [(200 + i, f"The page was not found on this server. The {w}.") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 6):
+        got = {(r.doc_id, r.defect) for r in templates.template_residue(df.repartition(parts), "doc_id", "text").collect()}
+        assert got == {(i, "error") for i in [*range(100, 108), *range(200, 208)]}
+
+
+# Written without a look at the test tables; all but the last of each kind before the patterns were run on them.
+MESSAGES = [
+    "This site can't be reached", "You have been blocked.", "We couldn't find the page you requested.", "Sorry, this content isn't available right now.", "Insert text here",
+    "Oops! That page can’t be found.", "502 Bad Gateway nginx/1.18.0", "Error establishing a database connection", "The requested URL was not found on this server.",
+    "Please turn on JavaScript in your browser to use this site.", "This video is no longer available.", "Your connection timed out, please try again in a few minutes.",
+    "NullPointerException: at com.foo.Bar.baz(Bar.java:12)", "Access to this resource is forbidden", "We are performing scheduled maintenance.", "Hello [Your Name], welcome to {{company}}.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem", "Your caption here", "Dear ${firstName}, thanks", "La page que vous cherchez n'existe plus.",
+    "Die Seite konnte nicht gefunden werden.", "Image failed to load", "Request rate limit exceeded", "asdfasdf qwerty asdf", "test test test test", "The gateway did not respond in time.",
+]
+SENTENCES_BESIDE = [
+    "The page of the book was blank.", "A dog found a link of a chain on the page.", "He could not find the photo in the album of his aunt.", "The server brought two plates to the table.",
+    "We visited the gallery and the picture was gone for repair.", "The error was mine, she said later.", "Browser tabs and cold tea: my whole afternoon.", "He had permission to enter the garden.",
+    "They tried again later that day.", "The gate was forbidden to visitors after dark.", "An animal and its labour, a minister and a temple.", "The doctor said that that was that.",
+]
+
+
+def test_messages_of_other_wording(spark):
+    texts = MESSAGES + SENTENCES_BESIDE
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in templates.template_residue(df, "doc_id", "text").collect()}
+    n = len(MESSAGES)
+    assert len([i for i in range(n) if i in got]) >= 0.9 * n, [texts[i] for i in range(n) if i not in got]
+    assert not [texts[i] for i in range(n, len(texts)) if i in got]

@@ -4,7 +4,6 @@ import re
 
 import pyarrow as pa
 
-from lumenry.llm.pairs import words_of
 from lumenry.llm.words import tokenised, word_marks
 
 
@@ -15,7 +14,6 @@ def plain(text):
 def test_tokenised_as_plain_python():
     texts = ["T-shirt 2's!", "café au lait", "", "   ", "?!", "a b", "x\ny\tz", "…", "ÀÉ word", "it’s", "a" * 100]
     assert tokenised(pa.array([*texts, None])).to_pylist() == [*map(plain, texts), []]
-    assert [words_of(t) for t in texts] == [*map(plain, texts)]
     assert tokenised(pa.array([], pa.string())).to_pylist() == []
 
 
