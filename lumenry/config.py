@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import json
-from pathlib import Path
+
+from pyspark.sql import SparkSession
 
 from lumenry.functions.style import STYLES
 
@@ -39,9 +40,10 @@ class RunConfig:
         found = {k: v for k, v in json.loads(text).items() if k in names}
         return cls(**found | {"emotions": tuple(found.get("emotions", STYLES))})
 
-    def save(self, path: str | Path) -> None:
-        Path(path).write_text(self.to_json())
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the record as JSON to ``path``, on any storage that Spark reaches."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
-    def load(cls, path: str | Path) -> RunConfig:
-        return cls.from_json(Path(path).read_text())
+    def load(cls, spark: SparkSession, path: str) -> RunConfig:
+        return cls.from_json(spark.read.text(path, wholetext=True).first()[0])

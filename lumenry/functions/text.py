@@ -25,6 +25,16 @@ def word_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(tokenize(text)))
 
 
+def capitalise(text: Column) -> Column:
+    """The first letter upper-case, all others lower-case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
+
+
+def preview(text: Column, length: int = 60) -> Column:
+    """The first characters of a text, with dots behind."""
+    return F.concat(F.substring(text, 1, length), F.lit("..."))
+
+
 def photo_key(image_id: Column) -> Column:
     """``number_code`` of a photo name, or null if either part is missing.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from lumenry.models import gradients as ag
+from lumenry.models import gradients, plain
 from lumenry.models.gradients import Value
 from lumenry.operators.vocabulary import EOS, MAX_LEN, PAD, SOS
 
@@ -68,59 +68,56 @@ def parameter_count(weights: dict[str, np.ndarray]) -> int:
 class _Run:
     """One pass over a batch: the state of the decoder and the step from a word to the next word's scores."""
 
-    def __init__(self, kind: str, weights: dict[str, Value], visual: np.ndarray, style: Value | None):
-        self.kind, self.w, self.style = kind, weights, style
-        w, self.visual = weights, Value(visual)
+    def __init__(self, ops, kind: str, weights: dict, visual: np.ndarray, style):
+        self.ops, self.kind, self.w, self.style = ops, kind, weights, style
+        w, self.visual, self.shape = weights, ops.value(visual), visual.shape
         flat = self.visual
         if kind == SPATIAL:
-            n_cells = visual.shape[1]
-            flat = ag.total(self.visual, 1) * Value(np.array(1 / n_cells))
+            flat = ops.total(self.visual, 1) * ops.value(np.array(1 / self.shape[1]))
             self.keys = self.visual @ w["key_w"] + w["key_b"]
-        start = flat if kind in ("Baseline", "CrossAttention") else ag.concat(flat, style)
+        start = flat if kind in ("Baseline", "CrossAttention") else ops.concat(flat, style)
         first = start @ w["init_w"] + w["init_b"]
-        self.h = ag.tanh(first) if kind == SPATIAL else ag.relu(first)
-        self.c = ag.tanh(start @ w["cell_w"] + w["cell_b"]) if kind == SPATIAL else Value(np.zeros_like(self.h.data))
+        self.h = ops.tanh(first) if kind == SPATIAL else ops.relu(first)
+        self.c = ops.tanh(start @ w["cell_w"] + w["cell_b"]) if kind == SPATIAL else ops.value(np.zeros_like(ops.raw(self.h)))
         # With a single style to attend to the weights are 1, so what attention adds is one vector per style.
         self.added = (style @ w["value_w"] + w["value_b"]) @ w["mix_w"] + w["mix_b"] if kind == "CrossAttention" else None
-        self.weights: Value | None = None
+        self.weights = None
 
-    def step(self, tokens: np.ndarray) -> Value:
-        w, x = self.w, ag.take(self.w["word"], tokens)
+    def step(self, tokens: np.ndarray):
+        ops, w = self.ops, self.w
+        x = ops.take(w["word"], tokens)
         if self.kind == "Emotion@Every":
-            x = ag.concat(x, self.style)
+            x = ops.concat(x, self.style)
         elif self.kind == SPATIAL:
-            batch, cells, width = self.visual.data.shape
-            asked = ag.reshape(self.h @ w["ask_w"] + w["ask_b"], (batch, 1, width))
-            scores = ag.reshape(ag.tanh(asked + self.keys) @ w["score_w"], (batch, cells))
-            self.weights = ag.softmax(scores)
-            context = ag.total(ag.reshape(self.weights, (batch, cells, 1)) * self.visual, 1)
-            x = ag.concat(x, context, self.style)
+            batch, cells, width = self.shape
+            asked = ops.reshape(self.h @ w["ask_w"] + w["ask_b"], (batch, 1, width))
+            scores = ops.reshape(ops.tanh(asked + self.keys) @ w["score_w"], (batch, cells))
+            self.weights = ops.softmax(scores)
+            context = ops.total(ops.reshape(self.weights, (batch, cells, 1)) * self.visual, 1)
+            x = ops.concat(x, context, self.style)
         gates = x @ w["step_w"] + self.h @ w["carry_w"] + w["step_b"]
-        n = self.h.data.shape[-1]
-        keep, forget = ag.sigmoid(ag.part(gates, 0, n)), ag.sigmoid(ag.part(gates, n, 2 * n))
-        new, show = ag.tanh(ag.part(gates, 2 * n, 3 * n)), ag.sigmoid(ag.part(gates, 3 * n, 4 * n))
+        n = ops.raw(self.h).shape[-1]
+        keep, forget = ops.sigmoid(ops.part(gates, 0, n)), ops.sigmoid(ops.part(gates, n, 2 * n))
+        new, show = ops.tanh(ops.part(gates, 2 * n, 3 * n)), ops.sigmoid(ops.part(gates, 3 * n, 4 * n))
         self.c = forget * self.c + keep * new
-        self.h = show * ag.tanh(self.c)
+        self.h = show * ops.tanh(self.c)
         top = self.h
         if self.added is not None:
-            top = ag.layer_norm(self.h + self.added, w["norm_scale"], w["norm_shift"])
+            top = ops.layer_norm(self.h + self.added, w["norm_scale"], w["norm_shift"])
         return top @ w["out_w"] + w["out_b"]
 
 
-def _styles(weights: dict[str, Value], kind: str, style_ids: np.ndarray) -> Value | None:
-    return None if kind == "Baseline" else ag.take(weights["style"], style_ids)
-
-
 def loss(kind: str, weights: dict[str, Value], visual: np.ndarray, style_ids: np.ndarray, token_ids: np.ndarray) -> Value:
     """Mean cross-entropy of each next word, padding left out."""
-    run = _Run(kind, weights, visual, _styles(weights, kind, style_ids))
+    style = None if kind == "Baseline" else gradients.take(weights["style"], style_ids)
+    run = _Run(gradients, kind, weights, visual, style)
     losses, counts = [], []
     for t in range(token_ids.shape[1] - 1):
         target = token_ids[:, t + 1]
         n = int((target != PAD).sum())
         if not n:
             break
-        losses.append(ag.cross_entropy(run.step(token_ids[:, t]), target, PAD))
+        losses.append(gradients.cross_entropy(run.step(token_ids[:, t]), target, PAD))
         counts.append(n)
     out = Value(np.array(0.0))
     for one, n in zip(losses, counts):
@@ -136,20 +133,22 @@ def generate(
 
     ``style_vectors`` replace the styles' own; ``trace`` gets the attention of each step.
     """
-    held = {k: Value(v) for k, v in weights.items()}
-    style = Value(style_vectors) if style_vectors is not None else _styles(held, kind, style_ids)
-    run = _Run(kind, held, visual, style)
+    held = {k: plain.value(v) for k, v in weights.items()}
+    style = None
+    if style_vectors is not None:
+        style = plain.value(style_vectors)
+    elif kind != "Baseline":
+        style = held["style"][style_ids]
+    run = _Run(plain, kind, held, visual, style)
     n = len(visual)
     tokens, alive, out = np.full(n, SOS), np.ones(n, dtype=bool), []
     for _ in range(max_len):
         scores = run.step(tokens)
         if trace and run.weights is not None:
-            trace(run.weights.data)
-        tokens = scores.data.argmax(axis=-1)
+            trace(run.weights)
+        tokens = scores.argmax(axis=-1)
         out.append(np.where(alive, tokens, PAD))
         alive &= tokens != EOS
         if not alive.any():
             break
-        # What was computed so far isn't needed for derivatives here.
-        run.h, run.c = Value(run.h.data), Value(run.c.data)
     return np.stack(out, axis=1) if out else np.zeros((n, 0), dtype=int)

@@ -60,6 +60,14 @@ def _fit(g: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     return g
 
 
+def value(x: np.ndarray) -> Value:
+    return Value(x)
+
+
+def raw(x: Value) -> np.ndarray:
+    return x.data
+
+
 def relu(x: Value) -> Value:
     return Value(np.maximum(x.data, 0), (x,), lambda g: (g * (x.data > 0),))
 

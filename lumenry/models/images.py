@@ -78,22 +78,29 @@ def grid_encoder(dim: int = 2048, cells: int = 7, seed: int = 0) -> Callable[[np
     return run
 
 
+def from_pixels(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Height x width x 3, red first, of bytes with blue first; grey and transparent images become colour ones."""
+    raw = np.frombuffer(pixels, np.uint8).reshape(height, width, channels)
+    return np.repeat(raw, 3, axis=2) if channels == 1 else raw[:, :, 2::-1]
+
+
 def encode_images(
     images: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], spatial: bool = False,
     decode: Callable[[bytes], np.ndarray] = decode_ppm,
 ) -> DataFrame:
-    """``(path, feature)`` of ``(path, content)``; the encoder is made once per task, an unreadable image drops out.
+    """``(path, feature)`` of ``(path, content)`` or of decoded images; the encoder is made once per task, an unreadable image drops out.
 
     ``feature`` is one vector, the mean of the cells, or with ``spatial`` all cells.
     """
+    decoded = "pixels" in images.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make_encoder()
         for batch in batches:
             paths, features = [], []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for path, *content in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    cells = encoder(to_tensor(decode(content)))
+                    cells = encoder(to_tensor(from_pixels(*content) if decoded else decode(*content)))
                 except (ValueError, IndexError, TypeError):
                     continue
                 paths.append(path)
@@ -102,4 +109,5 @@ def encode_images(
             yield pa.record_batch([pa.array(paths, pa.string()), pa.array(features, kind)], ["path", "feature"])
 
     schema = "path string, feature array<array<float>>" if spatial else "path string, feature array<float>"
-    return images.select("path", "content").mapInArrow(run, schema)
+    wanted = ("pixels", "height", "width", "channels") if decoded else ("content",)
+    return images.select("path", *wanted).mapInArrow(run, schema)

@@ -11,20 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenry.models import decoders
+from lumenry.operators.vocabulary import EOS
 
 Weights = dict[str, np.ndarray]
 BATCH = 32
 Rewriter = Callable[[str, str], str]
 
 
-def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+def stack(column: pa.Array) -> np.ndarray:
+    """Lists, or lists of lists, of equal lengths as one array."""
+    shape, values = [len(column)], column
+    while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        inner = values.flatten()
+        shape.append(len(inner) // max(1, len(values)))
+        values = inner
+    return values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(shape)
+
+
+def ids_column(ids: np.ndarray) -> pa.ListArray:
+    """Rows of ids, all of one length, as lists."""
+    n, width = ids.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(ids.astype(np.int32).reshape(-1)))
 
 
 def generate_ids(rows: DataFrame, kind: str, weights: Weights, keys: list[str], feature: str = "feature", style: str = "emotion_id", max_len: int = 40) -> DataFrame:
     """``keys`` and ``token_ids`` decoded greedily from ``feature`` and ``style``.
 
-    The result of a row doesn't depend on the rows it is batched with. The
+    The result of a row doesn't depend on the rows it is batched with, but for
+    scores equal in all digits of a float. The
     style-blind model is decoded once per distinct feature by the caller's
     choice of rows.
     """
@@ -33,13 +47,12 @@ def generate_ids(rows: DataFrame, kind: str, weights: Weights, keys: list[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[int]] = []
+            found = [pa.array([], pa.list_(pa.int32()))]
             for start in range(0, batch.num_rows, BATCH):
                 some = batch.slice(start, BATCH)
-                visual = _stack(some.column(some.num_columns - 1))
                 styles = some.column(some.num_columns - 2).to_numpy(zero_copy_only=False).astype(int)
-                found.extend(decoders.generate(kind, weights, visual, styles, max_len).tolist())
-            yield pa.record_batch([*batch.columns[:-2], pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names[:-2], "token_ids"])
+                found.append(ids_column(decoders.generate(kind, weights, stack(some.column(some.num_columns - 1)), styles, max_len)))
+            yield pa.record_batch([*batch.columns[:-2], pa.concat_arrays(found)], [*batch.schema.names[:-2], "token_ids"])
 
     return asked.mapInArrow(run, schema)
 
@@ -55,15 +68,15 @@ def interpolate_ids(rows: DataFrame, weights: Weights, key: str, style_a: int, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            visual = _stack(batch.column(1)) if n else np.zeros((0, 1))
-            ids: list[list[int]] = []
-            for alpha in alphas:
+            visual = stack(batch.column(1))
+            ids = [pa.array([], pa.list_(pa.int32()))]
+            for alpha in alphas if n else ():
                 blended = np.tile((1 - alpha) * a + alpha * b, (n, 1))
-                ids.extend(decoders.generate("Emotion@Every", weights, visual, style_vectors=blended).tolist() if n else [])
+                ids.append(ids_column(decoders.generate("Emotion@Every", weights, visual, style_vectors=blended)))
             yield pa.record_batch(
                 [
                     pa.array(batch.column(0).to_pylist() * steps, pa.int64()), pa.array(np.repeat(np.arange(steps), n).astype(np.int32)),
-                    pa.array([round(float(x), 2) for x in np.repeat(alphas, n)], pa.float64()), pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([round(float(x), 2) for x in np.repeat(alphas, n)], pa.float64()), pa.concat_arrays(ids),
                 ],
                 [key, "step", "alpha", "token_ids"],
             )
@@ -77,14 +90,21 @@ def attention_trace(rows: DataFrame, weights: Weights, key: str, cells: str = "c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for name, style_id, grid in zip(*(c.to_pylist() for c in batch.columns)):
-                seen: list[np.ndarray] = []
-                visual = np.array(grid, dtype=np.float64)[None]
-                ids = decoders.generate(decoders.SPATIAL, weights, visual, np.array([style_id]), max_words, trace=lambda w: seen.append(w[0]))
-                out.extend((name, style_id, pos, int(i), w.tolist()) for pos, (i, w) in enumerate(zip(ids[0], seen)))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
-            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [key, "emotion_id", "pos", "word_id", "weights"])
+            for start in range(0, batch.num_rows, BATCH):
+                some = batch.slice(start, BATCH)
+                styles, seen = some.column(1).to_numpy(zero_copy_only=False), []
+                ids = decoders.generate(decoders.SPATIAL, weights, stack(some.column(2)), styles.astype(int), max_words, trace=seen.append)
+                maps = np.stack(seen, axis=1)  # row, place, cell
+                ended = np.cumsum(ids == EOS, axis=1) - (ids == EOS) == 0  # up to the end word
+                row, pos = np.nonzero(ended)
+                cells_of = maps[row, pos].astype(np.float64)
+                yield pa.record_batch(
+                    [
+                        some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(ids[row, pos].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * cells_of.shape[1]), pa.array(cells_of.reshape(-1))),
+                    ],
+                    [key, "emotion_id", "pos", "word_id", "weights"],
+                )
 
     return asked.mapInArrow(run, f"{key} bigint, emotion_id int, pos int, word_id int, weights array<double>")
 

@@ -37,8 +37,9 @@ def fit(rows: DataFrame, text: str, order: str, min_freq: int = 2) -> DataFrame:
     """``(word, id, freq)``: words of ``min_freq`` occurrences or more, numbered from 4 in order of first occurrence.
 
     First occurrences are ordered by row, then place. Only the kept words, not
-    the occurrences, are ordered, in ranges over the cluster: each word's
-    number is its place in its range and the sizes of the ranges before.
+    the occurrences, are ordered: in ranges of about equal numbers of words
+    over the cluster. Each word's number is its place in its range and the
+    sizes of the ranges before.
     """
     # Row and place as one decimal: unlike a pair of them, its least is kept by a hash aggregation.
     place = F.col(order).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(11,0)")
@@ -47,17 +48,14 @@ def fit(rows: DataFrame, text: str, order: str, min_freq: int = 2) -> DataFrame:
         .agg(F.count("*").alias("freq"), F.min("at").alias("first"))
         .where(F.col("freq") >= min_freq)
     )
-    firsts = stage(firsts, "first_occurrences")  # read three times
-    at = F.col("first").cast("double")
-    ends = firsts.agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    width = F.greatest((F.col("high") - F.col("low")) / 1024.0, F.lit(1.0))
-    placed = firsts.crossJoin(F.broadcast(ends)).withColumn("_range", F.floor((at - F.col("low")) / width))
+    firsts = stage(firsts, "first_occurrences")  # read twice, by the sampling of the ranges too
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A row's generated id has its range in the upper bits and its place in the range, from 0, in the lower 33.
+    ranged = stage(firsts.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    placed = ranged.select("word", "freq", F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_r"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ranges = placed.groupBy("_range").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    within = F.row_number().over(W.partitionBy("_range").orderBy("first"))
-    return placed.withColumn("_r", within).join(F.broadcast(ranges.drop("_m")), "_range").select(
-        "word", (F.col("_r") + F.col("_before") + 3).cast("int").alias("id"), "freq"
-    )
+    return placed.join(F.broadcast(ranges.drop("_m")), "_range").select("word", (F.col("_r") + F.col("_before") + 4).cast("int").alias("id"), "freq")
 
 
 def with_reserved(vocabulary: DataFrame) -> DataFrame:
@@ -99,8 +97,8 @@ def encode(rows: DataFrame, text: str, vocabulary: DataFrame, keys: list[str], m
     """
     said = rows.where(F.col(text).isNotNull()).select(*keys, tokenize(F.col(text)).alias("_words"))
     words = vocabulary.where(F.col("id") > UNK).select("word", "id")
-    if words.count() <= held_words:
-        table = words.collect()
+    table = words.limit(held_words + 1).collect()
+    if len(table) <= held_words:
         schema = said.drop("_words").withColumn("token_ids", F.lit(None).cast("array<int>")).schema
         return said.mapInArrow(_encode([r["word"] for r in table], [r["id"] for r in table], max_len), schema)
     placed = said.select(*keys, F.posexplode_outer("_words").alias("_pos", "word")).where(f"_pos is null or _pos < {max_len}")
@@ -120,19 +118,28 @@ def fixed_length(ids: Column, max_len: int = MAX_LEN) -> Column:
 
 def _decode(words: list[str], ids: list[int], unknown: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = dict(zip(ids, words)) | {UNK: "<UNK>", SOS: None}
+        known = pa.array([*ids, UNK], pa.int32())
+        named = pa.array([*words, RESERVED[UNK], unknown], pa.string())  # the last stands for ids of no word
         for batch in batches:
-            out = []
-            for row in batch.column(batch.num_columns - 1).to_pylist():
-                said = []
-                for i in row or ():
-                    if i in (EOS, PAD):
-                        break
-                    word = named.get(i, unknown)
-                    if word:
-                        said.append(word)
-                out.append(None if row is None else " ".join(said))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(out, pa.string())], [*batch.schema.names[:-1], "caption"])
+            asked = batch.column(batch.num_columns - 1)
+            flat = asked.flatten()
+            numbers = flat.fill_null(PAD).to_numpy(zero_copy_only=False)
+            count = np.diff(asked.offsets.to_numpy())
+            count = np.where(asked.is_valid().to_numpy(zero_copy_only=False), count, 0)
+            row = np.repeat(np.arange(len(count)), count)
+            stop = np.cumsum(np.concatenate([[0], (numbers == EOS) | (numbers == PAD)]))
+            starts = np.cumsum(count) - count
+            # A word is said if no end or padding stands in its row up to it.
+            said = (stop[1:] == stop[starts][row]) & (numbers != SOS)
+            place = pc.index_in(flat, known).fill_null(len(words) + 1)
+            text = named.take(place).filter(pa.array(said))
+            row = row[said]
+            if text.null_count:
+                there = text.is_valid()
+                text, row = text.filter(there), row[there.to_numpy(zero_copy_only=False)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(count)))]).astype(np.int32)), text)
+            joined = pc.if_else(asked.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+            yield pa.record_batch([*batch.columns[:-1], joined], [*batch.schema.names[:-1], "caption"])
 
     return run
 
@@ -148,8 +155,8 @@ def decode(rows: DataFrame, ids: str, vocabulary: DataFrame, keys: list[str], on
     unknown = "<UNK>" if on_unknown == "mark" else None
     asked = rows.select(*keys, F.col(ids).alias("_ids"))
     words = vocabulary.where(F.col("id") > UNK).select("word", "id")
-    if words.count() <= held_words:
-        table = words.collect()
+    table = words.limit(held_words + 1).collect()
+    if len(table) <= held_words:
         schema = asked.drop("_ids").withColumn("caption", F.lit(None).cast("string")).schema
         return asked.mapInArrow(_decode([r["word"] for r in table], [r["id"] for r in table], unknown), schema)
     ends = F.array_position(F.transform("_ids", lambda i: i.isin(EOS, PAD)), F.lit(True))

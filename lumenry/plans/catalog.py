@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lumenry.functions import arrays
 from lumenry.functions.style import style_label
-from lumenry.functions.text import tokenize
+from lumenry.functions.text import capitalise, preview, tokenize
 from lumenry.operators import bleu, vocabulary
 from lumenry.operators import captions as ops
-from lumenry.sources.readers import listing, missing_to_null, strip_index
+from lumenry.sources.readers import listing, missing_to_null, strip_index, union_runs
 from lumenry.stage import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,8 @@ def split_counts(spark, folder):
 
 
 def style_distribution(spark, folder):
-    return ops.counts_by(_table(spark, folder, "train"), "emotion")
+    """Rows of each style, the most first."""
+    return ops.counts_by(_table(spark, folder, "train"), "emotion").orderBy(F.desc("n"), "emotion")
 
 
 def style_cross_product(spark, folder):
@@ -179,19 +180,53 @@ def vector_facts(spark, folder):
 
 
 def attention_context(spark, folder):
-    """Every vector attends to eight others by scaled dot products; the weights and the context they give."""
-    cells = _table(spark, folder, "embeddings").where(F.col("vec_id") < 8).orderBy("vec_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("cells")
-    )
-    asked = _table(spark, folder, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(cells))
-    scores = F.transform("cells", lambda c: arrays.dot(c, F.col("embedding")))
-    weighed = asked.withColumn("weights", arrays.softmax(scores))
+    """Each vector's last eight numbers attend to its own 49 runs of eight, its cells: the weights and the context they give."""
+    v = F.col("embedding")
+    cells = F.transform(F.sequence(F.lit(1), F.lit(49)), lambda i: F.slice(v, i, F.lit(8)))
+    asked = _table(spark, folder, "embeddings").select("vec_id", cells.alias("cells"), F.slice(v, 57, 8).alias("query"))
+    weighed = asked.withColumn("weights", arrays.softmax(F.transform("cells", lambda c: arrays.dot(c, F.col("query")))))
     return weighed.select(
         "vec_id", F.round(arrays.vsum(F.col("weights")), 6).alias("weights_sum"), F.round(F.array_max("weights"), 6).alias("weights_max"),
         F.round(arrays.vsum(arrays.weighted_cells(F.col("cells"), F.col("weights"))), 6).alias("context_sum"),
     )
 
 
+def cell_means(spark, folder):
+    """The mean of each vector's 49 cells."""
+    cells = F.transform(F.sequence(F.lit(1), F.lit(49)), lambda i: F.slice(F.col("embedding"), i, F.lit(8)))
+    means = _table(spark, folder, "embeddings").select("vec_id", arrays.cells_mean(cells).alias("m"))
+    return means.select("vec_id", F.posexplode("m").alias("place", "mean")).select("vec_id", "place", F.round("mean", 6).alias("mean"))
+
+
+def shifted_ids(spark, folder):
+    """What a model is given of each caption of ``train``, and what it is to answer."""
+    words = stage(_vocabulary(spark, folder), "vocabulary")
+    ids = vocabulary.encode(_table(spark, folder, "train"), "emotion_caption", words, ["row_id"])
+    given, wanted = arrays.shifted(F.col("token_ids"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), " ")
+    return ids.select("row_id", joined(given).alias("given"), joined(wanted).alias("wanted"))
+
+
+def union_splits(spark, folder):
+    """All rows of the three splits under one another."""
+    wanted = ("row_id", "image_id", "emotion_id")
+    return union_runs([_table(spark, folder, name).select(*wanted) for name in ("train", "val", "test")])
+
+
+def style_names(spark, folder):
+    """The map of styles to ids, the other way round."""
+    styles = _table(spark, folder, "styles").agg(F.map_from_entries(F.collect_list(F.struct("emotion", "emotion_id"))).alias("m"))
+    return styles.select(F.explode(vocabulary.inverted(F.col("m"))).alias("emotion_id", "emotion")).select("emotion_id", capitalise(F.col("emotion")).alias("name"))
+
+
+def sample_grid(spark, folder):
+    """Five rows of ``train`` to look at: picture, style and how the caption begins."""
+    train = _table(spark, folder, "train")
+    chosen = ops.fixed_sample(train, "row_id", 5, 0)
+    shown = train.join(F.broadcast(chosen), "row_id", "left_semi")
+    return shown.select("row_id", "img_path", "emotion", preview(F.col("emotion_caption")).alias("title"))
+
+
 def _history(spark, folder):
     events = _table(spark, folder, "events")
     by_day = events.groupBy("event_type", F.dayofmonth("ts").alias("epoch")).agg(
@@ -204,6 +239,13 @@ def epoch_running_best(spark, folder):
     return ops.running_best(_history(spark, folder)).select("model", "epoch", "val_loss", "best_before", "improved")
 
 
+def loss_curves(spark, folder):
+    """Two losses of each model by epoch, one under the other, as they are plotted."""
+    events = _table(spark, folder, "events")
+    series = F.when(F.col("event_id") % 2 == 0, "train_loss").otherwise("val_loss")
+    return events.groupBy(F.col("event_type").alias("model"), F.dayofmonth("ts").alias("epoch"), series.alias("series")).agg(F.round(F.avg("value"), 6).alias("loss"))
+
+
 def weighted_loss(spark, folder):
     return _history(spark, folder).groupBy("model").agg(F.round(ops.weighted_mean("val_loss", "n_rows"), 6).alias("loss"))
 
@@ -224,7 +266,7 @@ def queries() -> dict[str, Query]:
         first_caption, caption_layout_strip, image_path_exists, tokenize_docs, word_freq, vocab_build, encode_captions, decode_ids,
         split_counts, style_distribution, style_cross_product, resume_pending, repaired_styles, sample_fixed, nth_unique, ngram_stats,
         bleu_overall, bleu_by_style, ablation_best, survey, interpolate_vectors, vector_facts, attention_context, epoch_running_best,
-        weighted_loss, batch_counts, listing_sizes,
+        weighted_loss, batch_counts, listing_sizes, cell_means, shifted_ids, union_splits, style_names, sample_grid, loss_curves,
     )
     return {f.__name__: f for f in named} | {f"split_{s}": _split(s) for s in ("train", "val", "test")} | modelling.queries()
 
@@ -255,6 +297,9 @@ SPLITS = f"""
     ids AS (SELECT image_id, CASE WHEN r <= ceil(ceil(n * 0.2) / 2) THEN 'test' WHEN r <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM ranked)"""
 
 
+CELLS = "list_transform(generate_series(1, 49), lambda i: embedding[i:i + 7])"
+
+
 def _gram(n: int, col: str) -> str:
     return f"CASE WHEN len({col}) >= {n} THEN list_transform(generate_series(1, len({col}) - {n - 1}), lambda i: array_to_string({col}[i:i + {n - 1}], ' ')) ELSE [] END"
 
@@ -313,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT row_id, coalesce(caption, '') AS caption FROM cut LEFT JOIN spoken USING (row_id)""",
         **{f"split_{s}": f"WITH {SPLITS} SELECT image_id, row_id FROM {STYLED} JOIN ids USING (image_id) WHERE split = '{s}'" for s in ("train", "val", "test")},
         "split_counts": f"WITH {SPLITS} SELECT split, count(*) AS n FROM {STYLED} JOIN ids USING (image_id) GROUP BY split",
-        "style_distribution": "SELECT emotion, count(*) AS n FROM train GROUP BY emotion",
+        "style_distribution": "SELECT emotion, count(*) AS n FROM train GROUP BY emotion ORDER BY n DESC, emotion",
         "style_cross_product": f"WITH {FIRST} SELECT image_id, emotion, emotion_id, '<|system|>' || chr(10) || '{instruction[0]}' || emotion || '{instruction[1]}' || chr(10) || '<|user|>' || chr(10) || caption || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM firsts, styles",
         "resume_pending": f"WITH {FIRST} SELECT image_id, emotion FROM firsts f, styles s WHERE NOT EXISTS (SELECT 1 FROM {STYLED} d WHERE d.image_id = f.image_id AND d.emotion = s.emotion AND d.emotion_caption IS NOT NULL)",
         "repaired_styles": f"SELECT row_id, coalesce({by_id}, {exact}, {fits}) AS style FROM {STYLED}",
@@ -336,11 +381,21 @@ def oracle_sql() -> dict[str, str]:
             round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm,
             round(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) - CAST(list_min(embedding) AS DOUBLE)) / (CAST(list_max(embedding) AS DOUBLE) - CAST(list_min(embedding) AS DOUBLE) + 1e-8))), 4) AS min_max_sum,
             CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax FROM embeddings""",
-        "attention_context": """WITH cells AS (SELECT vec_id AS c, embedding AS e FROM embeddings WHERE vec_id < 8),
-            scores AS (SELECT q.vec_id, c, e, exp(list_sum(list_transform(generate_series(1, len(e)), lambda i: CAST(e[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))) AS s FROM embeddings q, cells),
+        "attention_context": f"""WITH cells AS (SELECT vec_id, {CELLS} AS cells, embedding[57:64] AS q FROM embeddings),
+            each AS (SELECT vec_id, q, unnest(cells) AS e FROM cells),
+            scores AS (SELECT vec_id, e, exp(list_sum(list_transform(generate_series(1, 8), lambda i: CAST(e[i] AS DOUBLE) * CAST(q[i] AS DOUBLE)))) AS s FROM each),
             weights AS (SELECT vec_id, e, s / sum(s) OVER (PARTITION BY vec_id) AS w FROM scores)
             SELECT vec_id, round(sum(w), 6) AS weights_sum, round(max(w), 6) AS weights_max,
                 round(sum(w * list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE)))), 6) AS context_sum FROM weights GROUP BY vec_id""",
+        "cell_means": f"""WITH each AS (SELECT vec_id, unnest({CELLS}) AS e FROM embeddings),
+            numbers AS (SELECT vec_id, unnest(e) AS x, unnest(generate_series(0, 7)) AS place FROM each)
+            SELECT vec_id, CAST(place AS INTEGER) AS place, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM numbers GROUP BY vec_id, place""",
+        "shifted_ids": f"WITH {ENCODED} SELECT row_id, array_to_string(ids[1:39], ' ') AS given, array_to_string(ids[2:40], ' ') AS wanted FROM encoded",
+        "union_splits": " UNION ALL ".join(f"SELECT row_id, image_id, emotion_id FROM {t}" for t in ("train", "val", "test")),
+        "style_names": "SELECT emotion_id, upper(left(emotion, 1)) || lower(substr(emotion, 2)) AS name FROM styles",
+        "sample_grid": "SELECT row_id, img_path, emotion, left(emotion_caption, 60) || '...' AS title FROM train ORDER BY md5('0:' || row_id), row_id LIMIT 5",
+        "loss_curves": """SELECT event_type AS model, CAST(day(ts) AS INTEGER) AS epoch, CASE WHEN event_id % 2 = 0 THEN 'train_loss' ELSE 'val_loss' END AS series,
+            round(avg(value), 6) AS loss FROM events GROUP BY ALL""",
         "epoch_running_best": f"""WITH {HISTORY}, seen AS (SELECT *, min(val_loss) OVER (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM history)
             SELECT model, epoch, val_loss, best_before, best_before IS NULL OR val_loss < best_before AS improved FROM seen""",
         "weighted_loss": f"WITH {HISTORY} SELECT model, round(sum(val_loss * n_rows) / sum(n_rows), 6) AS loss FROM history GROUP BY model",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenry.functions import arrays
 from lumenry.functions.style import STYLES
 from lumenry.functions.text import tokenize
-from lumenry.models import decoders, inference
+from lumenry.models import decoders, images, inference, training
 from lumenry.operators import bleu, vocabulary
 from lumenry.operators import captions as ops
 from lumenry.stage import stage
@@ -63,13 +67,19 @@ def attention_trace(spark, folder):
     return _traced(spark, folder, _words(spark, folder))
 
 
-def _traced(spark, folder, words):
+def _cells():
+    """A vector's 49 runs of eight numbers, as the cells of a 7 x 7 grid."""
+    return F.transform(F.sequence(F.lit(0), F.lit(48)), lambda i: F.slice(F.col("embedding"), i + 1, F.lit(8)))
+
+
+def _demo_styles(spark, folder):
+    return F.broadcast(_table(spark, folder, "styles").where(F.col("emotion").isin("joyful", "sad", "tense")).select("emotion_id"))
+
+
+def _traced(spark, folder, words, vectors=None):
     weights = decoders.init(decoders.SPATIAL, _sizes(words, 8), seed=4)
-    v = F.col("embedding")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(48)), lambda i: F.slice(v, i + 1, F.lit(8)))
-    rows = _table(spark, folder, "embeddings").select("vec_id", cells.alias("cells")).crossJoin(
-        F.broadcast(_table(spark, folder, "styles").where(F.col("emotion").isin("joyful", "sad", "tense")).select("emotion_id"))
-    )
+    vectors = _table(spark, folder, "embeddings") if vectors is None else vectors
+    rows = vectors.select("vec_id", _cells().alias("cells")).crossJoin(_demo_styles(spark, folder))
     return inference.attention_trace(rows, weights, "vec_id")
 
 
@@ -83,11 +93,13 @@ MODELS = ((0, "Baseline"), (1, "Emotion@Start"), (2, "Emotion@Every"), (3, "Cros
 
 
 def _features(spark, folder, images):
-    """``(image_id, vec_id, feature)``: each distinct image gets one of the vectors, computed once and joined back."""
+    """``(image_id, vec_id, feature)``: each distinct image gets one of the vectors, by the places of these in order of their ids."""
     vectors = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("feature"))
-    n = vectors.count()
+    placed = ops.exact_rank(vectors.select("vec_id"), "vec_id", 0).select("vec_id", (F.col("rank") - 1).alias("_place"), "n")
+    n = vectors.select("vec_id").distinct().count()
     keyed = images.select("image_id").where(F.col("image_id").isNotNull()).distinct()
-    return keyed.withColumn("vec_id", F.pmod(F.xxhash64("image_id"), F.lit(max(1, n)))).join(vectors, "vec_id")
+    keyed = keyed.withColumn("_place", F.pmod(F.xxhash64("image_id"), F.lit(max(1, n))))
+    return keyed.join(placed, "_place").join(vectors, "vec_id").select("image_id", "vec_id", "feature")
 
 
 def _decoded(spark, folder, asked, models=MODELS):
@@ -113,13 +125,14 @@ def _decoded(spark, folder, asked, models=MODELS):
 def _scored(spark, folder):
     """Row counts of every model's captions against the test captions."""
     test = _table(spark, folder, "test").select("image_id", "emotion", "emotion_id", F.coalesce("emotion_caption", F.lit("nan")).alias("said"))
-    rows = test.join(_features(spark, folder, test), "image_id")
+    rows = stage(test.join(_features(spark, folder, test), "image_id"), "asked")
     hyps = stage(_decoded(spark, folder, rows), "decoded")
     pairs = rows.select("vec_id", "emotion_id", "emotion", "said").join(hyps, ["vec_id", "emotion_id"])
     return bleu.row_counts(pairs.select("model", "model_ord", "emotion", tokenize(F.col("caption")).alias("hyp"), tokenize(F.col("said")).alias("ref")))
 
 
 def model_bleu(spark, folder):
+    """The ablation table: BLEU-1 to BLEU-4 of the four models."""
     return bleu.overall(_scored(spark, folder), "model", "model_ord")
 
 
@@ -127,6 +140,26 @@ def model_bleu_by_style(spark, folder):
     return bleu.by_style(_scored(spark, folder), "model")
 
 
+def best_model_by_style(spark, folder):
+    """BLEU-4 of each style by the best model."""
+    counts = stage(_scored(spark, folder), "scored")
+    best = bleu.best_model(bleu.overall(counts, "model", "model_ord")).select("model")
+    return bleu.by_style(counts.join(F.broadcast(best), "model"), "model")
+
+
+def final_summary(spark, folder):
+    """The ablation table with the greatest BLEU-4 and which model has it."""
+    table = stage(model_bleu(spark, folder), "ablation")
+    best = bleu.best_model(table).select(F.col("model").alias("best_model"), F.col("bleu_4").alias("best_bleu_4"))
+    return table.crossJoin(F.broadcast(best))
+
+
+def _best(spark, folder) -> tuple[int, str]:
+    """The model of the highest BLEU-4 on the test split."""
+    row = bleu.best_model(model_bleu(spark, folder)).first()
+    return MODELS[2] if row is None else (row["model_ord"], row["model"])
+
+
 def _chosen(spark, folder, n, seed):
     test = _table(spark, folder, "test")
     return _features(spark, folder, ops.fixed_sample(test, "image_id", n, seed))
@@ -138,12 +171,13 @@ def _in_all_styles(spark, folder, images, models):
 
 
 def gallery(spark, folder):
-    """Three test images in all styles by the model that takes the style at every step."""
-    return _in_all_styles(spark, folder, _chosen(spark, folder, 3, 7), MODELS[2:3]).select("image_id", "emotion", "caption")
+    """Three test images in all styles by the best model."""
+    return _in_all_styles(spark, folder, _chosen(spark, folder, 3, 7), [_best(spark, folder)]).select("model", "image_id", "emotion", "caption")
 
 
 def model_survey(spark, folder):
-    said = _in_all_styles(spark, folder, _chosen(spark, folder, 5, 1), MODELS[2:3])
+    """Five test images in all styles by the best model, with the question."""
+    said = _in_all_styles(spark, folder, _chosen(spark, folder, 5, 1), [_best(spark, folder)])
     return said.select("image_id", "emotion", "caption", F.format_string(ops.QUESTION, "emotion").alias("question"))
 
 
@@ -165,11 +199,36 @@ def attention_maps(spark, folder):
     )
 
 
+def _overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [images.attention_overlay(np.array(w)).astype(np.float32).tolist() for w in batch.column("weights").to_pylist()]
+        yield pa.record_batch([*batch.columns[:-1], pa.array(maps, pa.list_(pa.list_(pa.float32())))], [*batch.schema.names[:-1], "overlay"])
+
+
+def attention_demo(spark, folder):
+    """The sixth distinct test image: for three styles the first eight words, each with its map resized to the picture and then scaled."""
+    words = _words(spark, folder)
+    chosen = _features(spark, folder, ops.nth_unique(_table(spark, folder, "test"), "image_id", "row_id", 5))
+    traced = _traced(spark, folder, words, chosen.select("vec_id", F.col("feature").alias("embedding"))).where("pos < 8")
+    named = traced.join(F.broadcast(words.select(F.col("id").alias("word_id"), "word")), "word_id", "left").join(chosen.select("image_id", "vec_id"), "vec_id")
+    out = named.select("image_id", "emotion_id", "pos", F.coalesce("word", F.lit("<UNK>")).alias("word"), "weights")
+    return out.mapInArrow(_overlay, "image_id string, emotion_id int, pos int, word string, overlay array<array<float>>")
+
+
+def train_history(spark, folder):
+    """One epoch of training on all of ``train``, judged on all of ``val``."""
+    words = _words(spark, folder)
+    parts = [_table(spark, folder, name) for name in ("train", "val")]
+    features = _features(spark, folder, parts[0].unionByName(parts[1])).select("image_id", "feature")
+    rows, held = (stage(training.dataset(part, features, words).repartition("row_id"), "dataset") for part in parts)
+    return training.train(rows, held, "Emotion@Every", decoders.init("Emotion@Every", _sizes(words), seed=2), "Emotion@Every", epochs=1)[1]
+
+
 def queries() -> dict:
     names = {"Baseline": "baseline", "Emotion@Start": "start", "Emotion@Every": "every", "CrossAttention": "xattn"}
     return {f"caption_generate_{short}": _generate(kind) for kind, short in names.items()} | {
         f.__name__: f for f in (
             interpolate_captions, attention_trace, styled_rewrites, model_bleu, model_bleu_by_style, gallery, model_survey, demo_two_models,
-            attention_maps,
+            attention_maps, attention_demo, best_model_by_style, final_summary, train_history,
         )
     }

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lumenry import schemas
 
-# Texts that a table reader of the reference's kind takes for a missing value.
+# Texts that common table readers take for a missing value.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
     "NaN", "None", "n/a", "nan", "null",
@@ -48,7 +48,8 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """``(row_id, image_id, caption)`` of a caption file in any of three layouts.
 
     The header decides: ``image, caption``; ``image_id, caption``; or none,
-    then tab-separated ``name#index`` and caption.
+    then tab-separated ``name#index`` and caption. Values may hold line breaks,
+    so a CSV file is read by one task: write large ones as parquet first.
     """
     head = spark.read.text(path).limit(1).collect()
     names = [c.strip().strip('"') for c in head[0][0].split(",")] if head else []
@@ -97,6 +98,16 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return read.load(folder).select("path", "content")
 
 
+def read_decoded_images(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, height, width, channels, pixels)`` of the JPEG, PNG, GIF and BMP files below a folder, decoded by the JVM; others drop out.
+
+    ``pixels`` are bytes by row, blue before green before red.
+    """
+    read = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder)
+    i = F.col("image")
+    return read.select(i["origin"].alias("path"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("pixels"))
+
+
 def image_path(image_id: Column, folder: str, stored: Column | None = None) -> Column:
     """Where an image lies: ``stored`` if that is absolute, else ``folder/image_id``."""
     joined = F.concat_ws("/", F.lit(folder.rstrip("/")), image_id)

@@ -23,9 +23,6 @@ def write_splits(splits: dict[str, DataFrame], folder: str) -> None:
         write_csv(df, f"{folder}/{name}")
 
 
-def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
-    vocabulary.write.mode("overwrite").parquet(path)
-
-
-def write_history(history: DataFrame, path: str) -> None:
-    history.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str) -> None:
+    """Overwrites ``path`` with a vocabulary, history or other small table."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)

@@ -81,10 +81,10 @@ def test_files_and_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, styled.collect()))
 
 
-def test_config_round_trip(tmp_path):
+def test_config_round_trip(spark, tmp_path):
     config = RunConfig("p", "i", 10)
-    config.save(tmp_path / "c.json")
-    assert RunConfig.load(tmp_path / "c.json") == config and config.emotion_to_id["humorous"] == 4 and config.n_emotions == 5
+    config.save(spark, str(tmp_path / "c.json"))
+    assert RunConfig.load(spark, str(tmp_path / "c.json")) == config and config.emotion_to_id["humorous"] == 4 and config.n_emotions == 5
 
 
 # Vocabulary
@@ -331,14 +331,156 @@ def test_training_learns(spark, tmp_path):
         style = i % 5
         rows.append((rng.normal(0, 1, 4).tolist(), style, [1, 4 + style, 9, 2] + [0] * 4))
     df = spark.createDataFrame(rows, "feature array<double>, emotion_id int, token_ids array<int>").repartition(2)
-    path = str(tmp_path / "best.npz")
+    path = str(tmp_path / "best")
     best, history = training.train(df, df, "Emotion@Every", decoders.init("Emotion@Every", SMALL, seed=9), "m", epochs=8, lr=0.2, path=path)
     losses = [r.val_loss for r in history.orderBy("epoch").collect()]
     assert min(losses) < 0.6 * losses[0]
-    assert training.evaluate(df, "Emotion@Every", training.load(path)) == pytest.approx(min(losses))
+    assert training.evaluate(df, "Emotion@Every", training.load(spark, path)) == pytest.approx(min(losses))
     assert training.evaluate(df, "Emotion@Every", best, by="words") == pytest.approx(min(losses), rel=0.05)
 
 
+@pytest.mark.parametrize("kind", [*decoders.KINDS, decoders.SPATIAL])
+def test_decoding_scores_as_training_does(kind):
+    weights = decoders.init(kind, SMALL, seed=4)
+    rng = np.random.default_rng(5)
+    visual = rng.normal(0, 1, (4, 7, 4) if kind == decoders.SPATIAL else (4, 4)).astype(np.float32)
+    styles = np.array([0, 1, 2, 3])
+    held = {k: gradients.Value(v) for k, v in weights.items()}
+    style = None if kind == "Baseline" else gradients.take(held["style"], styles)
+    run, tokens, wanted = decoders._Run(gradients, kind, held, visual, style), np.full(4, 1), []
+    for _ in range(6):
+        tokens = run.step(tokens).data.argmax(axis=-1)
+        wanted.append(tokens)
+    got = decoders.generate(kind, weights, visual, styles, 6)
+    alive = np.cumsum(np.stack(wanted, 1)[:, : got.shape[1]] == 2, axis=1) - (np.stack(wanted, 1)[:, : got.shape[1]] == 2) == 0
+    assert (got[alive] == np.stack(wanted, 1)[:, : got.shape[1]][alive]).all()
+
+
+def test_adam_goes_on_over_epochs(spark):
+    """Two epochs over one partition are what plain steps in the same order come to."""
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(0, 1, 4).tolist(), i % 5, [1, 4 + i % 5, 9, 2, 0, 0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "feature array<double>, emotion_id int, token_ids array<int>").coalesce(1)
+    first = decoders.init("Emotion@Start", SMALL, seed=1)
+    weights, state = first, None
+    for seed in (5, 6):
+        weights, _, state = training.train_epoch(df, "Emotion@Start", weights, 0.01, state, seed)
+    own = {k: v.copy() for k, v in first.items()}
+    adam = training.Adam(own, 0.01)
+    for seed in (5, 6):
+        ordered = df.sortWithinPartitions(F.xxhash64("token_ids", "emotion_id", F.lit(seed))).collect()
+        for at in range(0, 40, training.BATCH):
+            some = ordered[at : at + training.BATCH]
+            visual, ids = np.array([r.feature for r in some], np.float32).astype(float), np.array([r.token_ids for r in some])
+            adam.step(own, training.gradients("Emotion@Start", own, visual, np.array([r.emotion_id for r in some]), ids)[1])
+    assert state[2] == adam.t == 4
+    for k in own:
+        assert weights[k] == pytest.approx(own[k]) and state[0][k] == pytest.approx(adam.m[k]) and state[1][k] == pytest.approx(adam.v[k])
+
+
+def test_sums_of_many_tasks_are_made_in_rounds(spark, monkeypatch):
+    rows = [([float(i), 1.0, 0.0, -1.0], i % 5, [1, 4, 5, 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "feature array<double>, emotion_id int, token_ids array<int>").repartition(50)
+    weights = decoders.init("Baseline", SMALL, seed=2)
+    monkeypatch.setattr(training, "ROUND", 3)
+    a = training.train_epoch(df, "Baseline", weights, 0.01)
+    monkeypatch.setattr(training, "ROUND", 1000)
+    b = training.train_epoch(df, "Baseline", weights, 0.01)
+    assert a[1] == pytest.approx(b[1]) and all(a[0][k] == pytest.approx(b[0][k]) for k in weights)
+
+
+def test_the_attention_model_trains_without_validation(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(rng.normal(0, 1, (49, 4)).tolist(), i % 5, [1, 4 + i % 5, 9, 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "feature array<array<double>>, emotion_id int, token_ids array<int>").repartition(2)
+    best, history = training.train(df, None, decoders.SPATIAL, decoders.init(decoders.SPATIAL, SMALL, seed=9), "a", epochs=3, lr=0.1, path=str(tmp_path / "w"))
+    found = history.orderBy("epoch").collect()
+    assert [r.val_loss for r in found] == [None] * 3 and found[2].train_loss < found[0].train_loss
+    again = training.load(spark, str(tmp_path / "w"))
+    assert all((again[k] == best[k]).all() for k in best)
+    trace = inference.attention_trace(df.select(F.monotonically_increasing_id().alias("k"), F.col("feature").alias("cells"), "emotion_id"), best, "k")
+    assert trace.select("k").distinct().count() == 30
+
+
+def test_dataset_joins_features_ids_and_styles(spark):
+    caps = spark.createDataFrame(
+        [(1, "a", 0, "the dog"), (2, "a", 1, None), (3, "b", 2, "the cat the"), (4, None, 1, "the dog"), (5, "a", None, "dog")],
+        "row_id long, image_id string, emotion_id int, emotion_caption string",
+    )
+    features = spark.createDataFrame([("a", [1.0, 2.0])], "image_id string, feature array<double>")
+    words = vocabulary.fit(caps, "emotion_caption", "row_id")
+    found = training.dataset(caps, features, words).collect()
+    assert [(r.row_id, r.feature, r.emotion_id, r.token_ids[:4]) for r in found] == [(1, [1.0, 2.0], 0, [1, 4, 5, 2])]
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(1)
+    said = [" ".join(f"w{rng.integers(0, 30)}" for _ in range(rng.integers(0, 9))) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(said)), "row_id long, t string")
+    rows = spark.createDataFrame(
+        [(rng.normal(0, 1, 4).tolist(), i % 5, [1, 4 + i % 3, 2, 0]) for i in range(70)], "feature array<double>, emotion_id int, token_ids array<int>"
+    )
+    weights = decoders.init("Emotion@Every", SMALL, seed=9)
+    pairs = spark.createDataFrame([("m", "sad", a.split(), b.split()) for a, b in zip(said, said[1:])], "model string, emotion string, hyp array<string>, ref array<string>")
+    seen = set()
+    for parts in (1, 7):
+        words = {(r.word, r.id, r.freq) for r in vocabulary.fit(df.repartition(parts), "t", "row_id").collect()}
+        score = bleu.overall(bleu.row_counts(pairs.repartition(parts)), "model").first()
+        seen.add((frozenset(words), tuple(score), round(training.evaluate(rows.repartition(parts), "Emotion@Every", weights, by="words"), 9)))
+    assert len(seen) == 1
+
+
+def test_jpeg_and_png_are_decoded_by_the_jvm(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    for name in ("jpg", "png"):
+        picture = jvm.java.awt.image.BufferedImage(40, 30, 1)
+        for x in range(40):
+            for y in range(30):
+                picture.setRGB(x, y, 200 * 65536 + 100 * 256 + 50)
+        jvm.javax.imageio.ImageIO.write(picture, name, jvm.java.io.File(str(tmp_path / f"a.{name}")))
+    (tmp_path / "bad.jpg").write_bytes(b"nothing")
+    found = readers.read_decoded_images(spark, str(tmp_path)).collect()
+    assert len(found) == 2
+    for r in found:
+        decoded = images.from_pixels(bytes(r.pixels), r.height, r.width, r.channels)
+        assert decoded.shape == (30, 40, 3) and np.abs(decoded.astype(int) - [200, 100, 50]).max() <= 3
+    features = images.encode_images(readers.read_decoded_images(spark, str(tmp_path)), lambda: images.grid_encoder(8)).collect()
+    assert len(features) == 2 and features[0].feature == pytest.approx(features[1].feature, abs=0.1)
+
+
+def test_ablation_table_is_written_with_its_models(spark, tmp_path):
+    rows = [(m, i, "sad", ["a", "b", "c", "d", "e"][: 5 - i], ["a", "b", "c", "d", "e"]) for i, m in enumerate(decoders.KINDS)]
+    counts = bleu.row_counts(spark.createDataFrame(rows, "model string, model_ord int, emotion string, hyp array<string>, ref array<string>"))
+    table = bleu.overall(counts, "model", "model_ord")
+    writers.write_csv(table.orderBy("model_ord"), str(tmp_path / "ablation"))
+    back = spark.read.csv(str(tmp_path / "ablation"), header=True)
+    assert back.columns == ["model", "model_ord", "bleu_1", "bleu_2", "bleu_3", "bleu_4"] and {r.model for r in back.collect()} == set(decoders.KINDS)
+    assert bleu.best_model(table).first().model == "Baseline"
+    writers.write_table(table, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+
+
+def test_stages_need_a_shared_folder_on_a_cluster(spark):
+    from lumenry import stage
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        stage.checkpoint_dir(Session())
+    kept = stage.stage(spark.range(5), "numbers")
+    assert kept.count() == 5
+    stage.clear_stages()
+    assert not stage._written
+
+
 def test_images(spark, tmp_path):
     flat = np.full((5, 9, 3), 128, np.uint8)
     raw = b"P6\n# made here\n9 5\n255\n" + flat.tobytes()
@@ -366,3 +508,37 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert STYLES[4] == "humorous"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["attention_context", "cell_means", "shifted_ids", "union_splits", "style_names", "sample_grid", "loss_curves", "style_distribution", "vocab_build", "decode_ids"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for file in os.listdir(folder):
+        db.execute(f"create view {file.removesuffix('.parquet')} as select * from '{folder}/{file}'")
+    found = entry.queries()[name](spark, folder)
+    wanted = db.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in wanted.description]
+    assert sorted(columns) == sorted(found.columns)
+    plain = lambda rows: sorted(repr([round(x, 5) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert plain(found.select(*columns).collect()) == plain(wanted.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_model_queries(spark):
+    folder = "/root/testdata/sf0.001"
+    summary = modelling.final_summary(spark, folder).collect()
+    assert len(summary) == 4 and {r.best_bleu_4 for r in summary} == {max(r.bleu_4 for r in summary)}
+    best = summary[0].best_model
+    assert {r.model for r in modelling.gallery(spark, folder).collect()} == {best}
+    assert modelling.model_survey(spark, folder).count() == 25
+    assert {r.model for r in modelling.best_model_by_style(spark, folder).collect()} == {best}
+    demo = modelling.attention_demo(spark, folder).collect()
+    assert len({r.image_id for r in demo}) == 1 and {r.emotion_id for r in demo} == {0, 1, 2} and len(demo[0].overlay) == 224
+    history = modelling.train_history(spark, folder).collect()
+    assert len(history) == 1 and history[0].val_loss > 0
