@@ -49,9 +49,14 @@ _REFUSES = re.compile(
     r"|\b(?:violat\w+|against|conflicts? with|outside|breach\w*|break\w*|contrary to|not (?:allowed|permitted) (?:by|under)|restricted by|comply with|prevent\w*|prohibit\w*|forbid\w*)(?: \w+){0,3} (?:guidelines?|polic(?:y|ies)|terms|programming|rules)\b"
     r"|\b(?:guidelines?|polic(?:y|ies)|programming)(?: \w+){0,2} (?:prevents?|prohibits?|forbids?|do not allow|does not allow|dont allow|doesnt allow|do not permit|dont permit)\b"
 )
+# Tasks of whoever answers; people in scenes have other ones.
+_OFFICE = (
+    r"(?:assist|help (?:you|with)|comply|fulfill|fulfil|rewrite|rewriting|rephrase|restyle|edit|generate|generating|create|creating|produce|producing|provide|providing|complete|process|proceed|respond|"
+    r"answer|support|accommodate|describe|caption|writ(?:e|ing) (?:about|that|this|it|such)|do (?:that|this|it)|see (?:the|this|that|any) (?:image|photo|picture))"
+)
 #: What is a refusal if the response doesn't tell of the prompt's scene.
 _MAY_REFUSE = re.compile(
-    rf"\b{_WHO}(?: \w+){{0,2}} {_NOT}(?: \w+){{0,3}} {_TASK}\b"
+    rf"\b{_WHO}(?: \w+){{0,2}} {_NOT}(?: \w+){{0,3}} {_OFFICE}\b"
     rf"|\b(?:i|id|i would|we) (?:much )?(?:rather|prefer)(?: to)? not\b|\b{_WHO}(?: \w+){{0,3}} (?:decline|refuse)\b|\b(?:have|need|going|like) to (?:pass|decline|refuse)\b"
     rf"|^{_SORRY}(?: \w+){{0,3}} {_NOT}\b"
     r"|\b(?:please|could you|can you|would you|kindly|try|feel free to|you may|you can)(?: \w+){0,3} (?:provide|share|send|upload|give|supply|submit|attach|choose|pick|ask|enter|resubmit|try|rephrase|clarify|specify)"

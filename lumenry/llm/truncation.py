@@ -16,7 +16,7 @@ from lumenry.llm.words import mix, tokenised, word_marks
 from lumenry.stage import stage
 
 SHINGLE = 5
-BANDS, BAND_ROWS = 6, 2
+BANDS, BAND_ROWS = 10, 2  # a beginning with an edit may agree with the copy's in little more than half of its shingles
 SIMILARITY = 0.8
 COPY_WORDS = SHINGLE + 2  # a text of fewer has less than two shingles besides its last word, which may be cut
 PAD = 5  # words of context
@@ -33,7 +33,7 @@ RATHER = 20  # times as often
 PRIOR, PULL = 0.05, 10.0
 TERMINAL = 0.025
 NEVER_SHARE, NEVER_PRIOR = 0.0005, 0.75  # a word of which so small a share closes texts closes none
-OFTEN = 0.3  # of the texts after these words close with the last: a shorter version, not a cut one
+OFTEN = 0.1  # of the texts after these words close with the last: a shorter version, not a cut one
 
 CLOSED, DOTS, OPEN, MARKED = 0, 1, 2, 3
 UNIT, DOTS_UNIT = 4, 1  # a text that trails off in dots may be cut as well: it closes a context by a quarter, and makes no word known
