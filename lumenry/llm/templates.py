@@ -261,7 +261,8 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leaves.append(leaf)
             messages.append(message)
 
-        some = np.flatnonzero(_flags(units, _SLOT_CUE))
+        slot = _flags(units, _SLOT_CUE)
+        some = np.flatnonzero(slot)
         for i, unit in zip(some, units.take(pa.array(some)).to_pylist()):
             if has_slot(unit):
                 put(row[i], "slot")
@@ -275,7 +276,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 put(row[i], "filler")
         some = np.flatnonzero(cue)
         for i, unit in zip(some, units.take(pa.array(some)).to_pylist()):
-            if toks := tokens(unit):
+            if toks := tokens(_SLOT.sub(" ", unit) if slot[i] else unit):
                 put(row[i], "message", leaf_of(toks), " ".join(toks))
         yield pa.record_batch(
             [batch.column(0).take(pa.array(docs, pa.int64())), pa.array(kinds, pa.string()), pa.array(leaves, pa.string()), pa.array(messages, pa.string())],
