@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenry.functions.text import tokenize
+from lumenry.stage import stage
 
 Q = 16
 BAND = 8  # characters; bands overlap by half
@@ -133,8 +134,9 @@ def _regions(index: _Index, ids: list[int], texts: list[str]) -> pa.RecordBatch:
         item, place = index.owner[entry], index.place[entry]
         doc = np.searchsorted(starts, where, side="right") - 1
         pair = doc * n_items + item
-        enough = np.bincount(pair, minlength=len(texts) * n_items) >= np.tile(index.least, len(texts))
-        keep = enough[pair]
+        # Only pairs that share a q-gram are counted, not all of texts and items.
+        shared, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+        keep = (times >= index.least[shared % n_items])[back]
         where, item, place, doc, pair = where[keep], item[keep], place[keep], doc[keep], pair[keep]
         diagonal = where - starts[doc] - place + (1 << 30)
         for grid in (0, BAND // 2):
@@ -192,6 +194,8 @@ def leaked_passages(
     size = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_key).cast("bigint").alias("id"), _plain(text).alias("text"))
+    if blocks > 1:
+        docs = stage(docs, "plain_documents")  # read once per block
     found = None
     for k in range(blocks):
         block = plain.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
