@@ -59,11 +59,11 @@ def mixture_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = targets.groupBy(source_name(F.col("source")).alias("source")).agg(
         F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     ).where("source is not null")
-    sizes = sized.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("size").alias("own_size"))
+    sizes = sized.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("size").alias("own_size"), F.count("*").alias("n_docs"))
     whole = W.partitionBy(F.lit(0))  # as many rows as there are targets
     return (
         wanted.join(sizes, "source", "left")
-        .withColumn("own_size", F.coalesce("own_size", F.lit(0)))
+        .withColumns({"own_size": F.coalesce("own_size", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0))})
         .withColumn("total_size", F.sum("own_size").over(whole))
         .withColumn("wanted_size", F.col("target_share") * F.col("total_size"))
         .withColumn("short", (F.col("wanted_size") > F.col("max_repeats") * F.col("own_size")) | (F.col("own_size") == 0))
@@ -115,7 +115,11 @@ def systematic_sample(sized: DataFrame, plan: DataFrame, key: str, seed: int = 4
 
 
 def mixture_report(sized: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Per target source the size wanted, the size reached by the sample, and both as shares."""
+    """Per target source the size wanted, the size reached by the sample, and both as shares.
+
+    ``failed`` tells of a source that the sample took as often as it may, or of
+    which there was nothing to take, without reaching its share.
+    """
     plan = mixture_plan(sized, targets)
     got = systematic_sample(sized, plan, key).groupBy("source").agg(
         F.sum(F.col("size") * F.col("copies")).alias("reached_size"), F.sum("copies").alias("n_copies")
@@ -126,4 +130,5 @@ def mixture_report(sized: DataFrame, targets: DataFrame, key: str) -> DataFrame:
         .withColumn("reached_size", F.coalesce("reached_size", F.lit(0)))
         .withColumn("n_copies", F.coalesce("n_copies", F.lit(0)))
         .withColumn("reached_share", F.col("reached_size") / F.greatest(F.sum("reached_size").over(whole), F.lit(1)))
+        .withColumn("failed", (F.col("own_size") == 0) | (F.col("n_copies") == F.col("max_repeats") * F.col("n_docs")) & (F.col("reached_size") < F.col("wanted_size")))
     )
