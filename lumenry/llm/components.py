@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenry.functions.style import STYLES, style_label
+from lumenry.functions.style import style_label
 from lumenry.functions.text import photo_key
 from lumenry.stage import stage
 
 
+BUCKET_ROWS = 1_000_000  # rows of components that one bucket of the order holds
+
+
 def _adjacency(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -119,6 +122,7 @@ def assign_splits(
     rest = {name: max(0.0, w) for name, w in want.items()}
     whole = sum(rest.values()) or 1.0
     light = sizes.where(F.col("_n") <= heavy_share * total) if total else sizes
+    buckets = max(buckets, -(-total // BUCKET_ROWS))
     light = light.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(buckets)))
     before = W.partitionBy("_class").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -142,10 +146,13 @@ def assign_splits(
         name_at = F.when(F.col("_at") < cut, name) if name_at is None else name_at.when(F.col("_at") < cut, name)
     names = list(shares)
     splits = placed.select(component, name_at.otherwise(names[-1]).alias("split"))
-    if heavy:
-        big = rows.sparkSession.createDataFrame(list(heavy.items()), f"{component} string, split string")
-        splits = splits.unionByName(big)
-    return rows.drop("split").join(splits, component)
+    rows = rows.drop("split")
+    if not heavy:
+        return rows.join(splits, component)
+    # Rows of the few heavy components stay where they are.
+    named = F.create_map(*(F.lit(x) for pair in heavy.items() for x in pair))
+    is_heavy = F.col(component).isin(*heavy)
+    return rows.where(~is_heavy).join(splits, component).unionByName(rows.where(is_heavy).withColumn("split", named[F.col(component)]))
 
 
 def _photo(image_id: Column) -> Column:
@@ -206,6 +213,3 @@ def split_report(spark: SparkSession, captions: DataFrame) -> DataFrame:
     return counted.withColumn(
         "share", F.round(F.col("n_rows") / F.sum("n_rows").over(W.partitionBy("style")), 4)
     )
-
-
-__all__ = ["components", "assign_splits", "photo_components", "same_photo_names", "split_captions", "split_report", "STYLES"]

@@ -107,9 +107,9 @@ def unpack(blob: bytes) -> Iterator[tuple[str, int, int]]:
         yield last.decode(), occurrences, records
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], burst: int) -> Iterator[pa.RecordBatch]:
     """Per partition one trie; its subtrees leave in pieces under their prefix."""
-    trie, held = BurstTrie(), 0
+    trie, held = BurstTrie(burst), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         prefixes, blobs, sizes = [], [], []
@@ -136,13 +136,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held += len(occurrences)
         if held > 4_000_000:  # what a worker holds is bounded; the pieces merge later anyway
             yield from flush()
-            trie, held = BurstTrie(), 0
+            trie, held = BurstTrie(burst), 0
     yield from flush()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], burst: int) -> Iterator[pa.RecordBatch]:
     """Matching subtrees of one route, from all workers, into one trie."""
-    trie = BurstTrie()
+    trie = BurstTrie(burst)
     for batch in batches:
         for blob in batch.column("blob").to_pylist():
             for term, occurrences, records in unpack(blob):
@@ -179,7 +179,7 @@ def _reroute(depths: dict[str, int]):
     return run
 
 
-def term_counts(rows: DataFrame, text: str, route_terms: int = 200_000) -> DataFrame:
+def term_counts(rows: DataFrame, text: str, route_terms: int = 200_000, burst: int = BURST) -> DataFrame:
     """``(term, occurrences, records)`` of all words of the non-null values of ``text``.
 
     Workers count into burst tries and send their subtrees, packed, under a
@@ -190,16 +190,16 @@ def term_counts(rows: DataFrame, text: str, route_terms: int = 200_000) -> DataF
     A null or blank text holds no terms; an empty table gives no rows.
     """
     words = rows.where(F.col(text).isNotNull()).select(tokenize(F.col(text)).alias("words"))
-    tries = stage(words.mapInArrow(_count, "prefix string, blob binary, terms bigint"), "tries")
+    tries = stage(words.mapInArrow(lambda batches: _count(batches, burst), "prefix string, blob binary, terms bigint"), "tries")
     sizes = {r["prefix"]: r["n"] for r in tries.groupBy("prefix").agg(F.sum("terms").alias("n")).collect()}
     depths = _depths(sizes, route_terms)
     routed = tries.mapInArrow(_reroute(depths), "route string, blob binary")
-    return routed.groupBy("route").applyInArrow(_merge_table, "term string, occurrences bigint, records bigint")
+    return routed.groupBy("route").applyInArrow(lambda table: _merge_table(table, burst), "term string, occurrences bigint, records bigint")
 
 
-def _merge_table(table: pa.Table) -> pa.Table:
+def _merge_table(table: pa.Table, burst: int) -> pa.Table:
     schema = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
-    return pa.Table.from_batches(_merge(iter(table.to_batches())), schema)
+    return pa.Table.from_batches(_merge(iter(table.to_batches()), burst), schema)
 
 
 def _depths(sizes: dict[str, int], route_terms: int) -> dict[str, int]:
@@ -216,18 +216,18 @@ def _depths(sizes: dict[str, int], route_terms: int) -> dict[str, int]:
             depths[prefix] = 2
         else:
             depths[prefix] = ROUTE_DEPTH
-            while n > route_terms and depths[prefix] < 8:
+            while n > route_terms:
                 depths[prefix] += 1
                 n //= 6
     return depths
 
 
-def marked_terms(rows: DataFrame, text: str, least: int = 2, common_share: float = 0.25) -> DataFrame:
+def marked_terms(rows: DataFrame, text: str, least: int = 2, common_share: float = 0.25, burst: int = BURST) -> DataFrame:
     """``term_counts`` with ``mark``: ``rare`` under ``least`` occurrences, ``common`` in more than
     ``common_share`` of the records with text, else null. A term that is both (tiny tables) is ``rare``."""
     n = rows.agg(F.count(text).alias("n_records"))
     return (
-        term_counts(rows, text).crossJoin(F.broadcast(n))  # one row
+        term_counts(rows, text, burst=burst).crossJoin(F.broadcast(n))  # one row
         .withColumn(
             "mark",
             F.when(F.col("occurrences") < least, "rare").when(F.col("records") > common_share * F.col("n_records"), "common"),
