@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenry.llm import components as comp
 from lumenry.llm import leaks, mixture, near_equal, overlap, pairs, templates, terms, truncation
+from lumenry.stage import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAPTIONS = "flickr8k_emotional_captions"
@@ -105,26 +106,35 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
-def _report(spark: SparkSession, folder: str, sized: DataFrame) -> DataFrame:
-    return mixture.mixture_report(sized, _table(spark, folder, "mix_targets"), "doc_id")
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(mixture.word_sizes(_table(spark, folder, "documents"), "doc_id", "text"), "sizes")
+
+
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes by the tokenizer, which goes over the texts once."""
+    return stage(mixture.token_sizes(_table(spark, folder, "documents"), "doc_id", "text"), "sizes")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    sized = mixture.word_sizes(_table(spark, folder, "documents"), "doc_id", "text")
-    return _report(spark, folder, sized).where("short and reached_size < wanted_size or own_size = 0").select("source")
+    report = mixture.mixture_report(_words(spark, folder), _table(spark, folder, "mix_targets"), "doc_id")
+    return report.where("failed").select("source")
+
+
+def p8_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture by words: what each source has and is to have, and how often a document of it is expected."""
+    plan = mixture.mixture_plan(_words(spark, folder), _table(spark, folder, "mix_targets"))
+    return plan.select("source", "target_share", "max_repeats", "own_size", "n_docs", F.round("wanted_size", 3).alias("wanted_size"), F.round("copies", 6).alias("copies"), "short")
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    sized = mixture.token_sizes(_table(spark, folder, "documents"), "doc_id", "text")
-    plan = mixture.mixture_plan(sized, _table(spark, folder, "mix_targets"))
-    return mixture.systematic_sample(sized, plan, "doc_id")
+    sized = _tokens(spark, folder)
+    return mixture.systematic_sample(sized, mixture.mixture_plan(sized, _table(spark, folder, "mix_targets")), "doc_id")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    sized = mixture.token_sizes(_table(spark, folder, "documents"), "doc_id", "text")
-    return _report(spark, folder, sized).select(
-        "source", "target_share", "max_repeats", "own_size", "wanted_size", "reached_size", "n_copies",
-        F.round("reached_share", 6).alias("reached_share"), "short",
+    report = mixture.mixture_report(_tokens(spark, folder), _table(spark, folder, "mix_targets"), "doc_id")
+    return report.select(
+        "source", "target_share", "max_repeats", "own_size", "wanted_size", "reached_size", "n_copies", F.round("reached_share", 6).alias("reached_share"), "short", "failed",
     )
 
 
@@ -145,7 +155,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found, "p5_rates": p5_rates,
         "p6_found": p6_found, "p6_report": p6_report, "p6_coverage": p6_coverage,
         "p7_found": p7_found, "p7_leaks": p7_leaks,
-        "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+        "p8_found": p8_found, "p8_plan": p8_plan, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
         "p9_found": p9_found, "p9_defects": p9_defects,
     }
 
@@ -164,8 +174,66 @@ def _term_sql(columns: str, where: str) -> str:
         SELECT {columns} FROM marked {where}"""
 
 
+NEAR = """17 * len(list_intersect({0}, {1})) >= 7 * (len({0}) + len({1}))"""
+
+# Distinct pairs of texts of the captions table, each with its least row, and links between near-equal ones.
+CLASSES = f"""
+    texts AS (
+        SELECT row_id, list_sort(list_distinct({WORDS.format('neutral_caption')})) AS n, list_sort(list_distinct({WORDS.format('emotion_caption')})) AS e
+        FROM {CAPTIONS} WHERE neutral_caption IS NOT NULL AND emotion_caption IS NOT NULL),
+    long AS (SELECT * FROM texts WHERE len(n) >= 5 AND len(e) >= 5),
+    heads AS (SELECT n, e, min(row_id) AS head FROM long GROUP BY n, e),
+    firsts AS (SELECT DISTINCT n FROM long),
+    linked AS (SELECT a.n AS n_a, b.n AS n_b FROM firsts a, firsts b WHERE {NEAR.format('a.n', 'b.n')}),
+    head_links AS (SELECT x.head AS a, y.head AS b FROM linked l JOIN heads x ON x.n = l.n_a JOIN heads y ON y.n = l.n_b AND x.head < y.head WHERE {NEAR.format('x.e', 'y.e')}),
+    copies AS (SELECT h.head AS a, l.row_id AS b FROM long l JOIN heads h ON h.n = l.n AND h.e = l.e WHERE h.head <> l.row_id),
+    links AS (SELECT * FROM head_links UNION ALL SELECT * FROM copies)"""
+
+SPANS = f"""
+    held AS (SELECT 'test' AS split, * FROM test UNION ALL SELECT 'val' AS split, * FROM val),
+    runs AS (SELECT DISTINCT w[i:i + 4] AS run FROM (SELECT w, unnest(generate_series(1, len(w) - 4)) AS i
+        FROM (SELECT {WORDS.format('emotion_caption')} AS w FROM train WHERE emotion_caption IS NOT NULL))),
+    said AS (SELECT row_id, {WORDS.format('emotion_caption')} AS w FROM held WHERE emotion_caption IS NOT NULL),
+    windows AS (SELECT row_id, i, w[i:i + 4] AS run FROM (SELECT row_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM said)),
+    places AS (SELECT DISTINCT row_id, i + j AS place FROM windows JOIN runs USING (run), (SELECT unnest(generate_series(0, 4)) AS j)),
+    coverage AS (SELECT s.row_id, len(s.w) AS n_words, (SELECT count(*) FROM places p WHERE p.row_id = s.row_id) AS covered FROM said s WHERE len(s.w) > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    overlaps = f"""
+            a AS (SELECT DISTINCT list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w FROM train WHERE emotion_caption IS NOT NULL),
+            b AS (SELECT DISTINCT list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w FROM held WHERE emotion_caption IS NOT NULL),
+            near AS (SELECT a.w AS w_a, b.w AS w_b FROM a, b WHERE len(a.w) >= 5 AND len(b.w) >= 5 AND {NEAR.format('a.w', 'b.w')}),
+            x AS (SELECT row_id, emotion_id, list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w,
+                regexp_extract(lower(image_id), '[0-9]{{10}}[^0-9a-z]+[0-9a-f]{{10}}') AS photo FROM train),
+            y AS (SELECT row_id, emotion_id, list_sort(list_distinct({WORDS.format('emotion_caption')})) AS w,
+                regexp_extract(lower(image_id), '[0-9]{{10}}[^0-9a-z]+[0-9a-f]{{10}}') AS photo FROM held),
+            pairs AS (
+                SELECT x.row_id AS train_row, y.row_id AS eval_row, 1 AS near, 0 AS shown FROM near JOIN x ON x.w = w_a JOIN y ON y.w = w_b
+                UNION ALL SELECT x.row_id, y.row_id, 0, 1 FROM x JOIN y ON x.photo = y.photo AND x.emotion_id = y.emotion_id WHERE x.photo <> ''),
+            found AS (SELECT train_row, eval_row, max(near) AS near, max(shown) AS shown FROM pairs GROUP BY ALL),
+            by_row AS (SELECT eval_row, count(*) AS pairs, max(near) AS near, max(shown) AS shown FROM found GROUP BY eval_row)"""
     return {
+        "p4_groups": f"""
+            WITH RECURSIVE {CLASSES},
+            ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+            reach(row_id, least_id) AS (SELECT DISTINCT a, a FROM ways UNION SELECT w.b, r.least_id FROM reach r JOIN ways w ON w.a = r.row_id WHERE r.least_id <= w.b)
+            SELECT row_id, min(least_id) AS group_id, (SELECT count(*) FROM ways w WHERE w.a = r.row_id) AS n_links FROM reach r GROUP BY row_id""",
+        "p6_coverage": f"WITH {SPANS} SELECT row_id, n_words, covered FROM coverage",
+        "p6_report": f"""
+            WITH {SPANS}, {overlaps}
+            SELECT split, source, count(*) AS n_rows, count(pairs) AS n_overlapping, count(CASE WHEN near = 1 THEN 1 END) AS n_near_text,
+                count(CASE WHEN shown = 1 THEN 1 END) AS n_same_photo, coalesce(CAST(sum(pairs) AS BIGINT), 0) AS n_pairs,
+                coalesce(CAST(sum(n_words) AS BIGINT), 0) AS n_words, coalesce(CAST(sum(covered) AS BIGINT), 0) AS n_covered
+            FROM held h LEFT JOIN by_row b ON b.eval_row = h.row_id LEFT JOIN coverage c ON c.row_id = h.row_id GROUP BY split, source""",
+        "p8_plan": f"""
+            WITH sized AS (SELECT lower(trim(source)) AS source, coalesce(len({WORDS.format('text')}), 0) AS n FROM documents),
+            own AS (SELECT t.source, any_value(t.target_share) AS target_share, any_value(t.max_repeats) AS max_repeats,
+                coalesce(CAST(sum(s.n) AS BIGINT), 0) AS own_size, count(s.source) AS n_docs
+                FROM mix_targets t LEFT JOIN sized s ON s.source = t.source GROUP BY t.source),
+            wanted AS (SELECT *, target_share * (SELECT sum(own_size) FROM own) AS w FROM own)
+            SELECT source, target_share, max_repeats, own_size, n_docs, round(w, 3) AS wanted_size,
+                round(CASE WHEN own_size = 0 THEN 0 ELSE least(w / own_size, max_repeats) END, 6) AS copies, w > max_repeats * own_size OR own_size = 0 AS short FROM wanted""",
         "p2_found": f"""
             WITH names AS (
                 SELECT DISTINCT image_id, regexp_replace(lower(image_id), '%[0-9a-f][0-9a-f]', '_', 'g') AS s
