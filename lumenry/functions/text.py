@@ -48,10 +48,8 @@ def photo_key(image_id: Column) -> Column:
     far = r"(?<![0-9a-f])([0-9]{10})(?![0-9a-f]).*?(?<![0-9a-z])([0-9a-f]{10})(?![0-9a-f])"
 
     def take(pattern: str) -> Column:
-        whole = F.regexp_extract(plain, pattern, 0)
-        return F.when(
-            F.length(whole) > 0,
-            F.concat_ws("_", F.regexp_extract(plain, pattern, 1), F.regexp_extract(plain, pattern, 2)),
-        )
+        # A match begins with the number and ends with the code; it is looked for once.
+        ends = F.transform(F.array(F.regexp_substr(plain, F.lit(pattern))), lambda m: F.concat(F.left(m, F.lit(10)), F.lit("_"), F.right(m, F.lit(10))))
+        return F.element_at(ends, 1)
 
     return F.coalesce(take(strict), take(joined), take(far))
