@@ -193,7 +193,7 @@ def attention_maps(spark, folder):
     words = _words(spark, folder)
     traced = _traced(spark, folder, words).where("pos < 8")
     words = words.select(F.col("id").alias("word_id"), "word")
-    named = traced.join(F.broadcast(words), "word_id", "left")
+    named = traced.join(words, "word_id", "left")
     return named.select(
         "vec_id", "emotion_id", "pos", F.coalesce("word", F.lit("<UNK>")).alias("word"), arrays.grid(arrays.min_max(F.col("weights"))).alias("map")
     )
@@ -210,7 +210,7 @@ def attention_demo(spark, folder):
     words = _words(spark, folder)
     chosen = _features(spark, folder, ops.nth_unique(_table(spark, folder, "test"), "image_id", "row_id", 5))
     traced = _traced(spark, folder, words, chosen.select("vec_id", F.col("feature").alias("embedding"))).where("pos < 8")
-    named = traced.join(F.broadcast(words.select(F.col("id").alias("word_id"), "word")), "word_id", "left").join(chosen.select("image_id", "vec_id"), "vec_id")
+    named = traced.join(words.select(F.col("id").alias("word_id"), "word"), "word_id", "left").join(chosen.select("image_id", "vec_id"), "vec_id")
     out = named.select("image_id", "emotion_id", "pos", F.coalesce("word", F.lit("<UNK>")).alias("word"), "weights")
     return out.mapInArrow(_overlay, "image_id string, emotion_id int, pos int, word string, overlay array<array<float>>")
 
