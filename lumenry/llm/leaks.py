@@ -18,6 +18,7 @@ BAND_WORDS = 3
 EDITS = 1
 BLOCK_BYTES = 4_000_000  # of item text that a task holds at a time
 SLICE_BYTES = 400_000
+COUNTER = 4_000_000  # pairs of texts and items that are counted in one array
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -116,6 +117,14 @@ def _search(items: list[tuple[int, str]], min_words: int, edits: int):
     return run
 
 
+def _often(pair: np.ndarray, most: int) -> np.ndarray:
+    """How often each entry's pair occurs: by a counter of all possible pairs where that is small, else of those that occur."""
+    if most <= COUNTER:
+        return np.bincount(pair, minlength=most)[pair]
+    _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+    return times[back]
+
+
 def _regions(index: _Index, ids: list[int], texts: list[str]) -> pa.RecordBatch:
     found: dict[tuple[int, int], tuple[int, int]] = {}
     joined = ("\n" * Q).join(texts).encode()
@@ -134,9 +143,7 @@ def _regions(index: _Index, ids: list[int], texts: list[str]) -> pa.RecordBatch:
         item, place = index.owner[entry], index.place[entry]
         doc = np.searchsorted(starts, where, side="right") - 1
         pair = doc * n_items + item
-        # Only pairs that share a q-gram are counted, not all of texts and items.
-        shared, back, times = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = (times >= index.least[shared % n_items])[back]
+        keep = _often(pair, len(texts) * n_items) >= index.least[item]
         where, item, place, doc, pair = where[keep], item[keep], place[keep], doc[keep], pair[keep]
         diagonal = where - starts[doc] - place + (1 << 30)
         for grid in (0, BAND // 2):
