@@ -48,7 +48,7 @@ _ENGLISH = frozenset(w for w in STOPWORDS["en"].split()) - {"in", "do"}
 # What stands in a message: things that fail, and how. These patterns are of the kind that matches in linear time, as they go over all text.
 _THING = (
     r"(?:pages?|sites?|websites?|files?|documents?|resources?|urls?|links?|address|images?|photos?|pictures?|albums?|galler(?:y|ies)|videos?|contents?|items?|posts?|articles?|"
-    r"accounts?|services?|servers?|hosts?|databases?|connections?|requests?|applications?|apps?|modules?|systems?|networks?|captions?|slideshows?|store)"
+    r"accounts?|services?|servers?|hosts?|databases?|connections?|requests?|applications?|apps?|modules?|systems?|networks?)"
 )
 _REASON = "(?:" + "|".join(REASONS) + ")"
 _UNABLE = r"(?:cannot|can't|can not|could not|couldn't|unable to|failed to|failure to|not able to|isn't able to)"
@@ -97,8 +97,8 @@ _WEAKLY = re.compile(_WEAK)
 _CUES = "(?i)" + "|".join((_ERROR.replace("<code>", r"\b[45]\d\d\b"), _SCRIPT, _STOPGAP, _WEAK, rf"^\W*(?:(?:http|error)\W*)?{_REASON}\W*$"))
 # Words by which a sentence tells of such things: reports, and what they are found on. They count where too few documents have the sentence to show what varies in it.
 _REPORTS = re.compile(
-    r"\b(?:told|tells?|said|says|explain\w*|learn\w*|asks?|asked|talk\w*|jok\w+|laugh\w*|remember\w*|recall\w*|wrote|writes|describ\w+|print of|posters?|paintings?|signs?\b.*\b(?:said|reads?|saying|next to)|once|museum|"
-    r"lesson|class|chapter|novel|comic|cartoon|story|he|she|they|his|her|him|their)\b"
+    r"\b(?:told|tells?|said|says|explain\w*|learn\w*|asks?|asked|talk\w*|jok\w+|laugh\w*|remember\w*|recall\w*|wrote|writes|describ\w+|posters?|paintings?|signs?(?! (?:in|up|on|off|out))|"
+    r"lessons?|chapters?|novels?|comics?|cartoons?|story|stories|this (?:year|week|month)|last (?:year|week|month)|he|she|they|his|her|him|their)\b"
 )
 
 _SLOT = re.compile(
