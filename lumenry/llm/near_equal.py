@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ COMBINATION = 3
 COMBINATION_ACROSS = 4  # as only entries that both sides have move, more words cost little and say more
 COMBINED = ((24, 4), (64, 3), (256, 2))  # words of the larger text of a pair up to which at most so many are combined; beyond, single words are
 BLOCK_ROWS = 1024
+SMALL_PRODUCT = 400  # pairs of two blocks that are compared at once
 CELLS = 1 << 20  # entries made at a time
 TEXTS_A_BITMAP = 1_000_000  # of one task that makes a bitmap
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -205,7 +207,7 @@ def near_equal_links(
     # Shared words needed of two sets, and what they can share by their sketches: a bit that the other lacks is a word it lacks.
     need = F.ceil((F.col("n_a") + F.col("n_b")) * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
     lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
-    product = (
+    matched = (
         large.join(small, ["sig", "turn"])
         .where((F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a"))))
         .where(F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
@@ -225,7 +227,7 @@ def near_equal_links(
     least = F.lit(1.0)
     for order in range(1, k + 1):
         least = F.when((used == order) & (short > order), _combinations(short, order)).otherwise(least)
-    pairs = product.where(F.col("entries") >= least).select("a", "b")
+    pairs = matched.where(F.col("entries") >= least).select("a", "b")
     words = sets.select("id", "text")
     checked = (
         pairs.join(words.select(F.col("id").alias("a"), F.split("text", " ").alias("x")), "a")
@@ -240,9 +242,15 @@ def _long_enough(sets: DataFrame, min_words: int, k: int) -> DataFrame:
     return sets.withColumn("id", F.col("id").cast("bigint")).where(F.size(F.split("text", " ")) >= max(min_words, k))
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = pc.split_pattern(batch.column(0), " ").flatten().value_counts()
+        yield pa.record_batch([counts.field(0), counts.field(1)], ["word", "n"])
+
+
 def _ranks(sets: DataFrame) -> dict[str, int]:
     """The most frequent words, the most frequent with the greatest number; any others count as rarer."""
-    counted = sets.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = sets.select("text").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
     return {r["word"]: len(top) - i for i, r in enumerate(top)}
 
@@ -267,50 +275,63 @@ def _combinations(n: Column, k: int) -> Column:
     return out
 
 
-def _near(x: frozenset, y: frozenset, num: int, den: int) -> bool:
-    if len(x) * den < len(y) * num or len(y) * den < len(x) * num:
-        return False
-    shared = len(x & y)
-    return shared * den >= (len(x) + len(y) - shared) * num
+def _sketch(words: frozenset[str]) -> int:
+    out = 0
+    for w in words:
+        out |= 1 << (zlib.crc32(w.encode()) & 63)
+    return out
 
 
-def _compare(t: Fraction, min_words: int, all_pairs: bool):
-    """Pairs within one block, or between two blocks whose first texts are linked."""
-    num, den = t.numerator, t.denominator
+class _Block:
+    """The distinct texts of a block with their rows, sizes and sketches."""
 
-    def sets(block: list[dict]) -> list[tuple[frozenset, list[int]]]:
+    def __init__(self, rows: list[dict], min_words: int):
         by_text: dict[str, list[int]] = {}
-        for row in block:
+        for row in rows:
             by_text.setdefault(row["text"], []).append(row["id"])
         found = [(frozenset(text.split(" ")), sorted(ids)) for text, ids in by_text.items()]
-        return [x for x in found if len(x[0]) >= min_words]
+        found = [x for x in found if len(x[0]) >= min_words]
+        self.words, self.ids = [x[0] for x in found], [x[1] for x in found]
+
+    def _facts(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([len(w) for w in self.words], dtype=np.int64), np.array([_sketch(w) for w in self.words], dtype=np.uint64)
+
+    def _possible(self, other: _Block, t: Fraction) -> Iterator[tuple[int, int]]:
+        """Places here and there whose texts may be near-equal: all of small blocks, else those that sizes and sketches leave."""
+        if len(self.words) * len(other.words) <= SMALL_PRODUCT:
+            yield from combinations(range(len(self.words)), 2) if other is self else product(range(len(self.words)), range(len(other.words)))
+            return
+        (n, a), (m, b) = ((x[:, None], y[:, None]) for x, y in (self._facts(), other._facts()))
+        m, b = m.T, b.T
+        shared = np.minimum(n - np.bitwise_count(a & ~b), m - np.bitwise_count(b & ~a))
+        left = shared * (t.numerator + t.denominator) >= t.numerator * (n + m)
+        yield from zip(*(x.tolist() for x in np.nonzero(np.triu(left, 1) if other is self else left)))
+
+    def near(self, other: _Block, t: Fraction) -> Iterator[tuple[int, int]]:
+        """Places of near-equal texts here and there; of a block with itself each pair once."""
+        num, den = t.numerator, t.denominator
+        for i, j in self._possible(other, t):
+            x, y = self.words[i], other.words[j]
+            if len(x) * den >= len(y) * num and len(y) * den >= len(x) * num:
+                same = len(x & y)
+                if same * den >= (len(x) + len(y) - same) * num:
+                    yield i, j
+
+
+def _compare(t: Fraction, min_words: int, all_pairs: bool):
+    """Pairs within one block, or between two blocks whose first texts are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a: list[int] = []
-            out_b: list[int] = []
+            linked: list[tuple[int, int]] = []
             for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = sets(one)
-                if two is None:
-                    linked = []
-                    for i, (p, ids) in enumerate(x):
-                        if all_pairs:
-                            linked.extend(combinations(ids, 2))
-                        else:
-                            linked.extend((ids[0], other) for other in ids[1:])
-                        linked.extend(
-                            (a, b) for q, others in x[i + 1 :] if _near(p, q, num, den)
-                            for a in (ids if all_pairs else ids[:1]) for b in (others if all_pairs else others[:1])
-                        )
-                else:
-                    y = sets(two)
-                    linked = [
-                        (a, b) for p, ids in x for q, others in y if _near(p, q, num, den)
-                        for a in (ids if all_pairs else ids[:1]) for b in (others if all_pairs else others[:1])
-                    ]
-                out_a.extend(min(p) for p in linked)
-                out_b.extend(max(p) for p in linked)
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                x = _Block(one, min_words)
+                y = x if two is None else _Block(two, min_words)
+                for ids in x.ids if two is None else ():
+                    linked.extend(combinations(ids, 2) if all_pairs else ((ids[0], other) for other in ids[1:]))
+                for i, j in x.near(y, t) if x.words and y.words else ():
+                    linked.extend(product(x.ids[i], y.ids[j]) if all_pairs else [(x.ids[i][0], y.ids[j][0])])
+            yield pa.record_batch([pa.array([min(p) for p in linked], pa.int64()), pa.array([max(p) for p in linked], pa.int64())], ["a", "b"])
 
     return run
 
@@ -333,7 +354,9 @@ def near_equal_rows(
     canonical = lambda c: F.concat_ws(" ", word_set(F.col(c)))
     rows = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull())
     texts = rows.select(F.col(key).cast("bigint").alias("id"), canonical(first).alias("first"), canonical(second).alias("second"))
-    counts = texts.groupBy(F.unhex(F.md5("first")).alias("mark")).agg(F.count("*").alias("n"))
+    # Texts as written are counted before their words are looked for.
+    written = rows.groupBy(F.col(first).alias("first")).agg(F.count("*").alias("n"))
+    counts = written.groupBy(F.unhex(F.md5(canonical("first"))).alias("mark")).agg(F.sum("n").alias("n"))
     heavy = stage(counts.where(F.col("n") > BLOCK_ROWS).select("mark"), "heavy")
     any_heavy = not heavy.isEmpty()
     marked = texts.withColumn("mark", F.unhex(F.md5("first")))

@@ -496,6 +496,11 @@ def test_leaks_match_brute_force(spark):
     assert leaks.leaked_passages(a, b.limit(0), "item_id", "doc_id").collect() == []
 
 
+def test_pairs_are_counted_alike_by_both_ways():
+    pair = np.random.default_rng(0).integers(0, 50, 400)
+    assert (leaks._often(pair, 50) == leaks._often(pair, leaks.COUNTER + 1)).all() and (leaks._often(pair, 50) == np.bincount(pair)[pair]).all()
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK_BYTES", 100)
     text = " ".join(f"w{i}" for i in range(30))
@@ -565,7 +570,7 @@ def test_templates_merge():
 
 
 def test_varying_words_tell_a_sentence_from_a_message(spark):
-    told = "Every visitor to the {} knows that the page was not found on this server last year."
+    told = "Every visitor to the {} knows that the page was not found on this server in spring."
     fixed = "That picture was moved by its owner (request 17)."
     one = spark.createDataFrame([(1, told.format("dune")), (2, fixed)], "doc_id long, text string")
     assert {r.doc_id for r in templates.template_residue(one, "doc_id", "text").collect()} == {1}
@@ -587,6 +592,7 @@ MESSAGES = [
     "NullPointerException: at com.foo.Bar.baz(Bar.java:12)", "Access to this resource is forbidden", "We are performing scheduled maintenance.", "Hello [Your Name], welcome to {{company}}.",
     "Sed ut perspiciatis unde omnis iste natus error sit voluptatem", "Your caption here", "Dear ${firstName}, thanks", "La page que vous cherchez n'existe plus.",
     "Die Seite konnte nicht gefunden werden.", "Image failed to load", "Request rate limit exceeded", "asdfasdf qwerty asdf", "test test test test", "The gateway did not respond in time.",
+    "Your session has expired, please sign in again.", "Animals such as {{name}} are welcome.",
 ]
 SENTENCES_BESIDE = [
     "The page of the book was blank.", "A dog found a link of a chain on the page.", "He could not find the photo in the album of his aunt.", "The server brought two plates to the table.",
