@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -109,16 +109,20 @@ def attention_trace(rows: DataFrame, weights: Weights, key: str, cells: str = "c
     return asked.mapInArrow(run, f"{key} bigint, emotion_id int, pos int, word_id int, weights array<double>")
 
 
+STUB_PHRASES = {
+    "joyful": "with a bright smile", "sad": "in quiet sorrow", "tense": "as danger nears", "romantic": "with tender hearts", "humorous": "to everyone's amusement"
+}
+
+
 def stub_rewriter(seed: int = 0) -> Rewriter:
     """A deterministic stand-in for a language model: the caption with a phrase of its style."""
-    phrases = {"joyful": "with a bright smile", "sad": "in quiet sorrow", "tense": "as danger nears", "romantic": "with tender hearts", "humorous": "to everyone's amusement"}
 
     def run(caption: str, emotion: str) -> str:
         if not caption:
             raise ValueError("nothing to rewrite")
-        pick = zlib.crc32(f"{seed}:{caption}".encode()) % 2
+        pick = int(hashlib.md5(f"{seed}:{caption}".encode()).hexdigest()[0], 16) % 2
         base = caption.strip().rstrip(" .")
-        return f"{base} {phrases[emotion]}." if pick else f"{phrases[emotion].capitalize()}, {base[0].lower()}{base[1:]}."
+        return f"{base} {STUB_PHRASES[emotion]}." if pick else f"{STUB_PHRASES[emotion].capitalize()}, {base[0].lower()}{base[1:]}."
 
     return run
 

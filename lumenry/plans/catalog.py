@@ -333,6 +333,8 @@ HISTORY = """history AS (SELECT event_type AS model, CAST(day(ts) AS INTEGER) AS
 
 
 def oracle_sql() -> dict[str, str]:
+    from lumenry.plans import modelling
+
     style_text = "regexp_replace(lower(emotion), '[^a-z]', '', 'g')"
     styles = ("joyful", "sad", "tense", "romantic", "humorous")
     by_id = "CASE emotion_id " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(styles)) + " END"
@@ -343,7 +345,7 @@ def oracle_sql() -> dict[str, str]:
     ) + " END"
     instruction = ops.INSTRUCTION.replace("'", "''").split("%s")
     vec = "list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))"
-    return {
+    return modelling.oracle_sql() | {
         "first_caption": f"WITH {FIRST} SELECT image_id, caption FROM firsts",
         "caption_layout_strip": f"SELECT row_id, split_part(image_id, '#', 1) AS image_id, CASE WHEN {MISSING.format('caption')} THEN NULL ELSE caption END AS caption FROM raw_captions",
         "image_path_exists": f"WITH {FIRST} SELECT image_id, concat_ws('/', 'Images', image_id) AS img_path FROM firsts WHERE concat_ws('/', 'Images', image_id) IN (SELECT img_path FROM {STYLED} WHERE img_path IS NOT NULL)",

@@ -232,3 +232,19 @@ def queries() -> dict:
             attention_maps, attention_demo, best_model_by_style, final_summary, train_history,
         )
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the one query here that has no model in it."""
+    from lumenry.plans.catalog import FIRST
+
+    phrases = " ".join(f"WHEN '{style}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for style, text in inference.STUB_PHRASES.items())
+    return {
+        "styled_rewrites": f"""
+            WITH {FIRST},
+            grid AS (SELECT image_id, emotion, CASE emotion {phrases} END AS phrase, strpos('13579bdf', left(md5('0:' || caption), 1)) > 0 AS behind,
+                regexp_replace(regexp_replace(caption, '^\\s+|\\s+$', '', 'g'), '[ .]+$', '') AS base FROM firsts, styles WHERE caption <> '')
+            SELECT image_id, emotion, trim(CASE WHEN behind THEN base || ' ' || phrase || '.'
+                ELSE upper(left(phrase, 1)) || substr(phrase, 2) || ', ' || lower(left(base, 1)) || substr(base, 2) || '.' END) AS emotion_caption
+            FROM grid WHERE behind OR base <> ''"""
+    }

@@ -511,7 +511,7 @@ def test_entry_and_names(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["attention_context", "cell_means", "shifted_ids", "union_splits", "style_names", "sample_grid", "loss_curves", "style_distribution", "vocab_build", "decode_ids"])
+@pytest.mark.parametrize("name", ["attention_context", "cell_means", "shifted_ids", "union_splits", "style_names", "sample_grid", "loss_curves", "style_distribution", "vocab_build", "decode_ids", "styled_rewrites"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
