@@ -14,10 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.functions.text import word_set
 from lumenry.llm.bitmaps import bits_for, collect, has
 from lumenry.llm.components import components
-from lumenry.llm.words import mix, word_marks
+from lumenry.llm.words import mix, word_marks, word_sets
 from lumenry.stage import stage
 
 COMMON_WORDS = 4096  # words whose order is by count; all others come before them, in hash order
@@ -336,6 +335,12 @@ def _compare(t: Fraction, min_words: int, all_pairs: bool):
     return run
 
 
+def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns behind the first as sets of words."""
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), *(word_sets(c) for c in batch.columns[1:])], batch.schema.names)
+
+
 def near_equal_rows(
     rows: DataFrame, key: str, first: str, second: str, threshold: float = 0.7, min_words: int = 5, all_pairs: bool = True
 ) -> DataFrame:
@@ -351,12 +356,12 @@ def near_equal_rows(
     same product, and the two kinds of links are joined.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    canonical = lambda c: F.concat_ws(" ", word_set(F.col(c)))
     rows = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull())
-    texts = rows.select(F.col(key).cast("bigint").alias("id"), canonical(first).alias("first"), canonical(second).alias("second"))
+    named = rows.select(F.col(key).cast("bigint").alias("id"), F.col(first).alias("first"), F.col(second).alias("second"))
+    texts = named.mapInArrow(_as_sets, "id bigint, first string, second string")
     # Texts as written are counted before their words are looked for.
-    written = rows.groupBy(F.col(first).alias("first")).agg(F.count("*").alias("n"))
-    counts = written.groupBy(F.unhex(F.md5(canonical("first"))).alias("mark")).agg(F.sum("n").alias("n"))
+    written = named.groupBy("first").agg(F.count("*").alias("n")).select("n", "first").mapInArrow(_as_sets, "n bigint, first string")
+    counts = written.groupBy(F.unhex(F.md5("first")).alias("mark")).agg(F.sum("n").alias("n"))
     heavy = stage(counts.where(F.col("n") > BLOCK_ROWS).select("mark"), "heavy")
     any_heavy = not heavy.isEmpty()
     marked = texts.withColumn("mark", F.unhex(F.md5("first")))

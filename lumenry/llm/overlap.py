@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenry.functions.text import photo_key, tokenize
+from lumenry.functions.text import photo_key
 from lumenry.llm.bitmaps import bits_for, collect, has
 from lumenry.llm.near_equal import COMBINATION_ACROSS, entries_across, near_equal_links
-from lumenry.llm.words import mix, word_marks
+from lumenry.llm.words import mix, tokenised, word_marks, word_sets
 from lumenry.stage import stage
 
 SPAN_WORDS = 5
@@ -92,25 +92,35 @@ def shared_suffixes(texts: DataFrame, words: int = SPAN_WORDS) -> DataFrame:
     return suffixes.join(nodes.select("head"), "head", "left_semi").select("id", "pos", "side")
 
 
-def _sides(train: DataFrame, held_out: list[DataFrame]) -> DataFrame:
+def _texts(as_sets: bool):
+    """The last column as its words, or its set of words, joined by blanks; a null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = batch.columns[-1]
+            yield pa.record_batch([*batch.columns[:-1], word_sets(said) if as_sets else pc.binary_join(tokenised(said), " ")], batch.schema.names)
+
+    return run
+
+
+def _sides(train: DataFrame, held_out: list[DataFrame], as_sets: bool) -> DataFrame:
     """Rows of all splits with ``side``, the caption's words and the photo; staged, as they are read three times."""
     wanted = ["row_id", "image_id", "emotion_id", "emotion_caption"]
     rows = train.select(*wanted).withColumn("side", F.lit(TRAIN))
     for part in held_out:
         rows = rows.unionByName(part.select(*wanted).withColumn("side", F.lit(EVAL)))
-    plain = rows.select(
-        "row_id", "side", "emotion_id", photo_key(F.col("image_id")).alias("photo"), F.array_join(tokenize(F.col("emotion_caption")), " ").alias("text")
-    )
+    named = rows.select(F.col("row_id").cast("bigint"), "side", F.col("emotion_id").cast("bigint"), photo_key(F.col("image_id")).alias("photo"), F.col("emotion_caption").alias("text"))
+    plain = named.mapInArrow(_texts(as_sets), "row_id bigint, side int, emotion_id bigint, photo string, text string")
     # Equal texts are told by a mark of 128 bits, so that the text needn't move again.
     return stage(plain.withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64("text", F.lit(7))}), "sides")
 
 
-def _classes(rows: DataFrame, distinct: bool) -> DataFrame:
-    """Distinct texts, or their distinct words, with the least of their rows and the sides they are on."""
-    found = rows.where("text is not null and text <> ''").groupBy("m1", "m2").agg(
+def _classes(rows: DataFrame) -> DataFrame:
+    """Distinct texts with the least of their rows and the sides they are on."""
+    found = rows.where("text <> ''").groupBy("m1", "m2").agg(
         F.min("row_id").alias("id"), F.bit_or("side").alias("side"), F.any_value("text").alias("text")
     )
-    return stage(found.withColumn("text", F.array_join(F.array_distinct(F.split("text", " ")), " ")) if distinct else found, "classes")
+    return stage(found, "classes")
 
 
 def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: float = 0.7, min_words: int = 5) -> DataFrame:
@@ -118,16 +128,16 @@ def overlapping_rows(train: DataFrame, held_out: list[DataFrame], threshold: flo
 
     Two rows overlap if their captions are near-equal (shared / union of the
     distinct words at least ``threshold``, each with ``min_words`` of them or
-    more), or if they show the same photo in the same style. Equal captions are
-    one text, and its rows are paired at the end. Near-equal texts need not
+    more), or if they show the same photo in the same style. Captions of equal
+    words are one text, and its rows are paired at the end. Near-equal texts need not
     share a span (they may have another order, or an edit in every fifth word),
     so they aren't found by the suffix array but by the product of texts and
     combinations of rare words across the two sides, which is whole, however
     many texts share a phrase. Rows with null or short captions, photos or
     styles overlap by the other rule only. ``row_id`` is unique over all tables.
     """
-    rows = _sides(train, held_out)
-    classes = _classes(rows, True)
+    rows = _sides(train, held_out, True)
+    classes = _classes(rows)
     sets = classes.select("id", "text", "side")
     k = min(COMBINATION_ACROSS, min_words)
     entries = entries_across(sets, threshold, min_words, k)
@@ -184,8 +194,8 @@ def overlap_report(train: DataFrame, held_out: dict[str, DataFrame]) -> DataFram
 def covered_words(train: DataFrame, held_out: list[DataFrame], words: int = SPAN_WORDS) -> DataFrame:
     """``(row_id, n_words, covered)`` of the rows of ``held_out``: how many of their words lie in a span of
     ``words`` words or more that training has too, by the suffixes of all texts."""
-    rows = _sides(train, held_out)
-    classes = _classes(rows, False)
+    rows = _sides(train, held_out, False)
+    classes = _classes(rows)
     places = shared_suffixes(classes, words).where(F.col("side").bitwiseAND(EVAL) > 0)
     covered = (
         places.select("id", F.explode(F.sequence("pos", F.col("pos") + words - 1)).alias("at")).distinct()

@@ -21,6 +21,25 @@ def tokenised(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, flat.filter(pc.not_equal(flat, "")))
 
 
+def word_sets(texts: pa.Array) -> pa.Array:
+    """The distinct words of each text joined by single blanks, in an order that is the same for all texts; a null text has none."""
+    words = tokenised(texts)
+    flat = words.flatten().dictionary_encode()
+    n = len(flat.dictionary)
+    if not n:
+        return pa.array([""] * len(texts), pa.string())
+    by_mark = np.argsort(word_marks(flat.dictionary.to_pylist(), False)[0])
+    place = np.empty(n, dtype=np.int64)
+    place[by_mark] = np.arange(n)
+    row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    keys = row * n + place[flat.indices.to_numpy(zero_copy_only=False)]
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    counts = np.bincount(keys // n, minlength=len(texts))
+    found = flat.dictionary.take(pa.array(by_mark[keys % n]))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), found), " ")
+
+
 def word_marks(words: list[str], beginnings: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """A mark of each word, and for each length the words longer than that with the marks of their beginnings."""
     raw = [w.encode() for w in words]

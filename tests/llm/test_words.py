@@ -4,7 +4,7 @@ import re
 
 import pyarrow as pa
 
-from lumenry.llm.words import tokenised, word_marks
+from lumenry.llm.words import tokenised, word_marks, word_sets
 
 
 def plain(text):
@@ -23,3 +23,10 @@ def test_marks_of_beginnings():
     found = {(words[i], int(m)) for at, ms in begun for i, m in zip(at, ms)}
     assert ("harbour", int(marks[1])) in found and ("harbour", int(marks[2])) in found and ("harb", int(marks[2])) in found
     assert len(set(marks.tolist())) == 4
+
+
+def test_word_sets_are_equal_for_equal_words():
+    texts = ["b a c a", "C, b! A", "", None, "a b", "?!", "x" * 90 + " y", "y " + "x" * 90]
+    found = word_sets(pa.array(texts)).to_pylist()
+    assert [sorted(f.split()) for f in found] == [sorted(set(plain(t or ""))) for t in texts]
+    assert found[0] == found[1] and found[6] == found[7] and word_sets(pa.array([None, ""], pa.string())).to_pylist() == ["", ""]
