@@ -103,15 +103,25 @@ class _Incidence:
                     yield np.repeat(some, len(combos)), n, mix(mark.reshape(-1)), own, np.tile(small, len(some))
 
 
-def _entries(ids: pa.Array, sketch: np.ndarray, text: np.ndarray, n: int, mark: np.ndarray, large: np.ndarray, small: np.ndarray, turn: int) -> pa.RecordBatch:
-    m = len(mark)
-    return pa.record_batch(
-        [
-            pa.array(mark.view(np.int64)), ids.take(pa.array(text)), pa.array(np.full(m, n, np.int32)), pa.array(large), pa.array(small),
-            pa.array(np.full(m, turn, np.int32)), pa.array(sketch[text].view(np.int64)),
-        ],
-        ["sig", "id", "n", "large", "small", "turn", "sketch"],
-    )
+class _Entries:
+    """Entries of one batch of texts, put together so that few batches leave."""
+
+    def __init__(self, ids: pa.Array):
+        self.ids, self.held, self.size = ids, [], 0
+
+    def add(self, text: np.ndarray, n: int, mark: np.ndarray, large: bool | np.ndarray, small: bool | np.ndarray, turn: int) -> None:
+        m = len(mark)
+        self.size += m
+        self.held.append((text, np.full(m, n, np.int32), mark, np.broadcast_to(large, m), np.broadcast_to(small, m), np.full(m, turn, np.int32)))
+
+    def take(self, sketch: np.ndarray) -> pa.RecordBatch:
+        empty = [np.zeros(0, t) for t in (np.int64, np.int32, np.uint64, bool, bool, np.int32)]
+        text, n, mark, large, small, turn = (np.concatenate(x) for x in zip(empty, *self.held))
+        self.held, self.size = [], 0
+        return pa.record_batch(
+            [pa.array(mark.view(np.int64)), self.ids.take(pa.array(text)), pa.array(n), pa.array(large), pa.array(small), pa.array(turn), pa.array(sketch[text].view(np.int64))],
+            ["sig", "id", "n", "large", "small", "turn", "sketch"],
+        )
 
 
 _ENTRIES = "sig bigint, id bigint, n int, large boolean, small boolean, turn int, sketch bigint"
@@ -121,8 +131,12 @@ def _matrix(ranks: dict[str, int], t: Fraction, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         incidence = _Incidence(ranks, t, k)
         for batch in batches:
+            found = _Entries(batch.column(0))
             for text, n, mark, large, small in incidence.rows(batch.column(1)):
-                yield _entries(batch.column(0), incidence.sketch, text, n, mark, np.full(len(mark), large), small, 0)
+                found.add(text, n, mark, large, small, 0)
+                if found.size > CELLS:
+                    yield found.take(incidence.sketch)
+            yield found.take(incidence.sketch)
 
     return run
 
@@ -137,12 +151,17 @@ def _matrix_of_side(ranks: dict[str, int], t: Fraction, k: int, side: int, other
         incidence = _Incidence(ranks, t, k)
         as_small, as_large = others
         for batch in batches:
+            found = _Entries(batch.column(0))
             for text, n, mark, large, small in incidence.rows(batch.column(1)):
                 if large:
-                    keep = has(as_small, mark)
-                    yield _entries(batch.column(0), incidence.sketch, text[keep], n, mark[keep], np.ones(int(keep.sum()), bool), np.zeros(int(keep.sum()), bool), side)
-                keep = small & has(as_large, mark)
-                yield _entries(batch.column(0), incidence.sketch, text[keep], n, mark[keep], np.zeros(int(keep.sum()), bool), np.ones(int(keep.sum()), bool), 3 - side)
+                    keep = np.flatnonzero(has(as_small, mark))
+                    found.add(text[keep], n, mark[keep], True, False, side)
+                keep = np.flatnonzero(small)
+                keep = keep[has(as_large, mark[keep])]
+                found.add(text[keep], n, mark[keep], False, True, 3 - side)
+                if found.size > CELLS:
+                    yield found.take(incidence.sketch)
+            yield found.take(incidence.sketch)
 
     return run
 
