@@ -52,7 +52,8 @@ _REFUSES = re.compile(
 # Tasks of whoever answers; people in scenes have other ones.
 _OFFICE = (
     r"(?:assist|help (?:you|with)|comply|fulfill|fulfil|rewrite|rewriting|rephrase|restyle|edit|generate|generating|create|creating|produce|producing|provide|providing|complete|process|proceed|respond|"
-    r"answer|support|accommodate|describe|caption|writ(?:e|ing) (?:about|that|this|it|such)|do (?:that|this|it)|see (?:the|this|that|any) (?:image|photo|picture))"
+    r"answer|support|accommodate|describe|caption|writ(?:e|ing) (?:about|that|this|it|such)|do (?:that|this|it)|see (?:the|this|that|any) (?:image|photo|picture)|"
+    r"(?:change|alter|adjust|modify|make|turn|put|give)(?: \w+){0,4} (?:texts?|captions?|sentences?|lines?|tone|style|descriptions?|wording))"
 )
 #: What is a refusal if the response doesn't tell of the prompt's scene.
 _MAY_REFUSE = re.compile(
