@@ -15,8 +15,8 @@ PROBES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # of each mark, three bits
 
 
 def bits_for(n: int) -> int:
-    """Size, as a power of two, of a bitmap for ``n`` marks: one in a thousand others looks like one, up to ``2 ** MOST_BITS`` bits."""
-    return min(MOST_BITS, max(LEAST_BITS, (max(1, n) - 1).bit_length() + 5))
+    """Size, as a power of two, of a bitmap for ``n`` marks: one in five hundred others looks like one, up to ``2 ** MOST_BITS`` bits."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, n) - 1).bit_length() + 4))
 
 
 def _places(marks: np.ndarray, bits: int, probe: int) -> np.ndarray:
