@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumenry import stage
-from lumenry.llm import bitmaps, pairs, truncation
+from lumenry.llm import bitmaps, near_equal, pairs, truncation
 
 
 def marks(n, seed):
@@ -54,3 +54,23 @@ def test_bitmaps_in_files_change_no_result(spark, monkeypatch):
     monkeypatch.setattr(bitmaps, "HELD_BITS", 17)
     assert both() == held
     stage.clear_stages()
+
+
+def test_sliced_entries_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(40)]
+    texts = [set(rng.sample(words, 9)) for _ in range(60)]
+    texts += [t - {min(t)} | {rng.choice(words)} for t in texts]
+    rows = [(i, " ".join(sorted(t)), 1 + (i >= 60)) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame(rows, "id bigint, text string, side int").dropDuplicates(["text"])
+    wanted = {
+        (a, b) for a, s, x in sets.collect() for b, t, y in sets.collect()
+        if x < y and 10 * len({*s.split()} & {*t.split()}) >= 7 * len({*s.split()} | {*t.split()})
+    }
+    made = []
+    monkeypatch.setattr(near_equal, "SLICE_ENTRIES", 50)
+    monkeypatch.setattr(near_equal, "stage", lambda df, name: made.append(name) or stage.stage(df, name))
+    entries = near_equal.entries_across(sets, k=4)
+    found = {tuple(r) for r in near_equal.near_equal_links(sets, k=4, entries=entries).collect()}
+    assert wanted and wanted <= found and made.count("matched") == near_equal.MOST_SLICES
+    stage.clear_stages()
