@@ -7,8 +7,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenry.llm import components, languages, leaks, mixture, near_equal, overlap, pairs, templates, terms, truncation
+from lumenry.stage import clear_stages, stage
 
 
 def tok(text):
@@ -313,6 +315,27 @@ def test_cut_copies_are_told_by_their_whole(spark, share):
     assert set(got) <= cut and len(got) >= 0.98 * len(cut)
 
 
+def test_texts_that_share_a_phrase_make_no_pairs(spark, monkeypatch):
+    said = "the old keeper of the tower walks along the quiet shore with "
+    long = "lantern" * 9
+    rows = [(i, f"{said}x{i}q") for i in range(40)] + [(100 + i, f"{said}y{i}z.") for i in range(40)]
+    rows += [(200, f"{said}lan"), (201, f"{said}lantern."), (202, f"an {said}{long[:50]}"), (203, f"an {said}{long}.")]
+    staged = {}
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        if name == "facts":
+            staged["others"] = staged[name].where(F.col("kind") == truncation._COPY).select("x").distinct().count()
+        return staged[name]
+
+    monkeypatch.setattr(truncation, "stage", kept)
+    df = spark.createDataFrame([(i, text, "a prompt of a scene") for i, text in rows], "row_id bigint, said string, asked string")
+    got = {r.row_id: r.reason for r in truncation.truncated_rows(df, "row_id", "said", "asked").collect()}
+    assert got[200] == got[202] == "copy"
+    assert staged["others"] == 2  # 201 and 203
+    clear_stages()
+
+
 def test_truncation_of_nothing(spark):
     df = spark.createDataFrame([], "row_id long, said string, asked string, source string")
     assert truncation.truncated_rows(df, "row_id", "said", "asked").collect() == []
