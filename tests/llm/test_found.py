@@ -333,6 +333,8 @@ def test_texts_that_share_a_phrase_make_no_pairs(spark, monkeypatch):
     got = {r.row_id: r.reason for r in truncation.truncated_rows(df, "row_id", "said", "asked").collect()}
     assert got[200] == got[202] == "copy"
     assert staged["others"] == 2  # 201 and 203
+    monkeypatch.setattr(truncation, "PAIRS_AT_ONCE", 1)
+    assert {r.row_id: r.reason for r in truncation.truncated_rows(df, "row_id", "said", "asked").collect()} == got
     clear_stages()
 
 
